@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tidelog.llm import bpe_words, packing, quality_rules, simhash, token_files
+from tidelog.llm import bpe_words, license_scan, packing, quality_rules, simhash, token_files, toxicity
 from tidelog.llm.shared import table
 
 
@@ -20,6 +20,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,6 +46,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op4_packing": op4_packing,
+        "op5_toxicity": op5_toxicity,
+        "op7_license": op7_license,
         "op8_quality_rules": op8_quality_rules,
         "op9_bpe": op9_bpe,
         "op10_token_files": op10_token_files,
