@@ -8,14 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tidelog.llm import bpe_words, license_scan, packing, quality_rules, simhash, token_files, toxicity
+from tidelog.llm import ann, bpe_words, license_scan, line_dedup, packing, quality_rules, simhash, token_files, toxicity
 from tidelog.llm.shared import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,7 +53,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_simhash": op2_simhash,
+        "op3_nearest": op3_nearest,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op7_license": op7_license,
