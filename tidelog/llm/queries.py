@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tidelog.llm import ann, bpe_words, license_scan, line_dedup, packing, quality_rules, simhash, token_files, toxicity
+from tidelog.llm import ann, bpe_words, gru_lm, license_scan, line_dedup, packing, quality_rules, simhash, token_files, toxicity
 from tidelog.llm.shared import table
 
 
@@ -34,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("matches")
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_nearest": op3_nearest,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
+        "op6_gru_lm": op6_gru_lm,
         "op7_license": op7_license,
         "op8_quality_rules": op8_quality_rules,
         "op9_bpe": op9_bpe,
