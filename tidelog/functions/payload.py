@@ -7,7 +7,7 @@ import json
 from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from tidelog.schemas import SOLD_STATES
 
@@ -44,7 +44,7 @@ def resolve_reason(item_state: Column, found: Column) -> Column:
     return F.struct(reason.alias("reason"), F.when(reason == "unknown", "low").otherwise("normal").alias("confidence"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(body: pd.Series, event_id: pd.Series, event_type: pd.Series, aggregate_id: pd.Series, occurred_at: pd.Series, seq: pd.Series, schema_version: pd.Series) -> pd.Series:
     """Payload and six envelope fields (which win), keys sorted, no blanks, ASCII only.
 
