@@ -1,28 +1,33 @@
 """Blocks of documents as word tables: each block's distinct words, and its texts as places in them.
 
-A join with a table of words then takes one row per block and word, however often the
-word occurs; its results return to the block and are read by place.
+A table of words is hashed to buckets. Each block sends one compressed list of its own
+distinct words to each bucket, where the lists meet; the bucket works on each distinct word
+once and answers each block with one compressed reply. However often a word occurs, it
+travels once for each block, and no row per occurrence is ever made. A word in every block,
+or a source with a third of all rows, is no hot key: a bucket holds many words.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Characters after which a block is closed. A longer text is a block of its own.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 24_000_000
 
-SCHEMA = "block long, doc_ids array<long>, lengths array<long>, places binary, words array<string>, counts array<long>"
+SCHEMA = "block long, doc_ids array<long>, lengths array<long>, places binary, buckets binary, words array<binary>, counts array<binary>"
 
 
-def pack(places: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte of each, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=5).compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -30,24 +35,57 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def word_blocks(docs: DataFrame, cut: Callable[[str], list[str]], counted: Callable[[object], bool], chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per block. ``cut`` gives a text's words; ``counts`` holds how often each word
-    occurs in the documents for whose id ``counted`` is true. Null texts have no words, or
-    those that ``cut("")`` gives. Block ids are random, so write the table before use.
+def pack_words(words: list[str]) -> bytes:
+    raw = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, raw), "<u4", len(raw))
+    return zstandard.ZstdCompressor(level=5).compress(np.array([len(raw)], "<u4").tobytes() + sizes.tobytes() + b"".join(raw))
+
+
+def unpack_words(data: bytes) -> list[str]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4)).tolist()
+    body = data[4 + 4 * n :]
+    return [body[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)]
+
+
+def bucket_number(spark: SparkSession) -> int:
+    """As many buckets as the session's shuffles have partitions, so they grow with the data."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+
+
+def word_blocks(docs: DataFrame, cut: Callable[[str], list[str]], counted: Callable[[object], bool] | None = None, chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per block. Words stand in order of frequency in the block; ``places`` are ranks in it,
+    ``buckets`` each word's bucket, ``words`` the bucket's words in that order, ``counts`` how often
+    each occurs in documents for whose id ``counted`` is true. Null texts have the words that
+    ``cut("")`` gives. Block ids are random, so write the table before use.
     """
+    number = bucket_number(docs.sparkSession)
 
     def close(ids, lengths, places, known) -> pd.DataFrame:
-        flat = np.fromiter((p for doc in places for p in doc), np.uint32, sum(lengths))
-        mask = np.repeat([bool(counted(i)) for i in ids], lengths) if ids else np.zeros(0, bool)
-        counts = np.bincount(flat[mask.astype(bool)], minlength=len(known)) if len(flat) else np.zeros(0, np.int64)
-        return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "doc_ids": [ids], "lengths": [lengths], "places": [pack(flat)], "words": [list(known)], "counts": [counts.tolist()]})
+        flat = np.concatenate(places) if places else np.zeros(0, np.uint32)
+        order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
+        rank = np.empty(len(known), np.int64)
+        rank[order] = np.arange(len(known))
+        flat = rank[flat]
+        listed = list(known)
+        words = [listed[i] for i in order.tolist()]
+        buckets = np.fromiter((zlib.crc32(w.encode()) % number for w in words), np.int64, len(words))
+        own = [np.flatnonzero(buckets == b) for b in range(number)] if number <= 64 else np.split(np.argsort(buckets, kind="stable"), np.searchsorted(np.sort(buckets), np.arange(1, number)))
+        if counted is None:
+            counts = [b""] * number
+        else:
+            mask = np.repeat(np.array([bool(counted(i)) for i in ids], dtype=bool), lengths)
+            n = np.bincount(flat[mask], minlength=len(words))
+            counts = [pack(n[o]) for o in own]
+        return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "doc_ids": [ids], "lengths": [lengths], "places": [pack(flat)], "buckets": [pack(buckets)], "words": [[pack_words([words[i] for i in o.tolist()]) for o in own]], "counts": [counts]})
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, lengths, places, known, size = [], [], [], {}, 0
         for frame in frames:
             for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
                 words = cut(text or "")
-                places.append([known.setdefault(w, len(known)) for w in words])
+                places.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
                 ids.append(None if pd.isna(doc_id) else int(doc_id))
                 lengths.append(len(words))
                 size += len(text or "")
@@ -57,5 +95,27 @@ def word_blocks(docs: DataFrame, cut: Callable[[str], list[str]], counted: Calla
         if ids:
             yield close(ids, lengths, places, known)
 
-    # object columns keep ids whole where some are null
+    # ids as text keep whole where some are null
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(build, SCHEMA)
+
+
+def lists_by_bucket(table: DataFrame) -> DataFrame:
+    """A row per block and bucket: block, bucket, words, counts."""
+    return table.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("bucket", "w")).select("block", "bucket", "w.words", "w.counts")
+
+
+def with_replies(table: DataFrame, replies: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """``work(block row, its replies by bucket, places of each bucket's words)`` for every block.
+
+    ``replies`` has the columns of (block as long), bucket and reply; ``work`` gives a frame."""
+    number = bucket_number(table.sparkSession)
+
+    def run(key: tuple, block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        by_bucket = dict(zip(found["bucket"].tolist(), found["reply"].tolist()))
+        (row,) = block.itertuples()
+        buckets = unpack(row.buckets)
+        order = np.argsort(buckets, kind="stable")
+        edges = np.searchsorted(buckets[order], np.arange(number + 1))
+        return work(row, [by_bucket[b] for b in range(number)], [order[a:b] for a, b in zip(edges[:-1], edges[1:])], len(buckets))
+
+    return table.drop("counts").groupBy("block").cogroup(replies.select(F.col("block").alias("of"), "bucket", "reply").groupBy("of")).applyInPandas(run, schema)

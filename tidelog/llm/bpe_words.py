@@ -1,8 +1,9 @@
 """BPE encoding through a table of distinct words, and decoding through id-to-piece lookup.
 
 1. Each block of documents lists its distinct words; its texts become places in that list.
-2. The distinct words of all blocks are encoded once each.
-3. The ids join back to (block, place) by word, and the blocks put their texts' ids together.
+2. The lists meet in buckets by a hash of the word. The table of distinct words of a bucket is
+   encoded once.
+3. The ids return to (block, place), and the blocks put their texts' ids together.
 4. For decoding, each id is joined to its piece (a table as long as the vocabulary, sent to
    all tasks), once for each word of a block.
 """
@@ -11,15 +12,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tidelog.llm import blocks, tokens
-from tidelog.llm.shared import written
+from tidelog.llm.shared import written_by_key
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -42,32 +42,40 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids and decode to the empty text. Repeated rows and null
     ids come out as they came in; an empty table gives an empty table.
     """
-    table = written(blocks.word_blocks(docs, tokens.byte_words, lambda _: False).drop("counts"), "bpe-blocks")
-    used = table.select("block", F.posexplode("words").alias("place", "word"))
+    table = written_by_key(blocks.word_blocks(docs, tokens.byte_words), "bpe_blocks", "block")
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"word": frame["word"], "ids": tokens.encode_words(frame["word"].tolist(), path)})
+    def encode(frame: pd.DataFrame) -> pd.DataFrame:
+        lists = [blocks.unpack_words(x) for x in frame["words"]]
+        distinct = list({w: None for words in lists for w in words})
+        table = dict(zip(distinct, tokens.encode_words(distinct, path)))
+        out = []
+        for words in lists:
+            ids = [table[w] for w in words]
+            out.append(blocks.pack(np.concatenate(([len(ids)], np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids)), np.frombuffer(b"".join(ids), "<u4")))))
+        return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "reply": out})
 
-    distinct = used.select("word").distinct().mapInPandas(encode, "word string, ids binary")
-    back = used.join(distinct, "word").select(F.col("block").alias("of"), "place", "ids")
+    replies = blocks.lists_by_bucket(table).drop("counts").groupBy("bucket").applyInPandas(encode, "block long, bucket int, reply binary")
 
-    def assemble(key: tuple, block: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+    def assemble(row, replies: list[bytes], places: list[np.ndarray], n_words: int) -> pd.DataFrame:
         pieces = byte_pieces(path)
-        ids = [np.frombuffer(x, "<u4").tolist() for x in found.sort_values("place")["ids"]]
-        shown = [",".join(map(str, x)) for x in ids]
-        text = [b"".join([pieces[i] for i in x]) for x in ids]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        out = []
-        for row in block.itertuples():
-            places, at = blocks.unpack(row.places), 0
-            for doc_id, n in zip(row.doc_ids, row.lengths):
-                own = places[at : at + n].tolist()
-                at += n
-                decoded = b"".join([text[p] for p in own]).decode("utf-8", "replace")
-                out.append((doc_id, int(sizes[own].sum()) if own else 0, hashlib.sha256(",".join([shown[p] for p in own]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+        shown, text, sizes = [""] * n_words, [b""] * n_words, np.zeros(n_words, np.int64)
+        for reply, own in zip(replies, places):
+            flat = blocks.unpack(reply)
+            n = int(flat[0])
+            sizes[own] = flat[1 : n + 1]
+            ends, ids = np.cumsum(flat[1 : n + 1]).tolist(), flat[n + 1 :].tolist()
+            for p, a, b in zip(own.tolist(), [0, *ends[:-1]], ends):
+                shown[p] = ",".join(map(str, ids[a:b]))
+                text[p] = b"".join([pieces[i] for i in ids[a:b]])
+        out, at = [], 0
+        flat = blocks.unpack(row.places)
+        for doc_id, n in zip(row.doc_ids, row.lengths):
+            own = flat[at : at + n].tolist()
+            at += n
+            decoded = b"".join([text[p] for p in own]).decode("utf-8", "replace")
+            out.append((doc_id, int(sizes[own].sum()) if own else 0, hashlib.sha256(",".join([shown[p] for p in own]).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
         frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         frame["doc_id"] = frame["doc_id"].astype("Int64")
         return frame
 
-    return table.drop("words").groupBy("block").cogroup(back.groupBy("of")).applyInPandas(assemble, RESULT)
+    return blocks.with_replies(table.drop("words"), replies, assemble, RESULT)

@@ -40,6 +40,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write ``df`` as a table in the warehouse, dealt by a hash of ``key`` to as many buckets as
+    shuffles have partitions, so that later grouping by ``key`` moves nothing."""
+    spark = df.sparkSession
+    name = f"tidelog_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    place = f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(place)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
