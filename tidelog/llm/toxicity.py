@@ -9,6 +9,7 @@ the model learns which sentences offend, and can name them.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidelog.llm.shared import id_crc
 
 #: Labelled documents from which the model is fitted, at most, and their length.
-SAMPLE_DOCUMENTS = 8000
-SAMPLE_CHARS = 100_000
+SAMPLE_DOCUMENTS = 3500
+SAMPLE_CHARS = 20_000
 #: Features need this many documents of the sample; the model holds so many at most.
 MIN_DOCUMENTS = 5
 MOST_FEATURES = 40_000
@@ -72,21 +73,24 @@ def fit(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Model
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(-40.0, {})
-    bags = [[sorted(f for w in set(s) for f in features(w)) for s in sentences(t)] for t in texts]
-    seen: Counter = Counter(w for bag in bags for w in set().union(*bag))
-    vocabulary = {w: i for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MOST_FEATURES]) if n >= MIN_DOCUMENTS}
-    doc_of, row_of, word_of, rows = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = [vocabulary[w] for w in s if w in vocabulary]
+    seen: Counter = Counter()
+    for text in texts:
+        seen.update({f for words in sentences(text) for w in words for f in features(w)})
+    often = sorted(((n, f) for f, n in seen.items() if n >= MIN_DOCUMENTS), key=lambda x: (-x[0], x[1]))[:MOST_FEATURES]
+    del seen
+    vocabulary = {f: i for i, (_, f) in enumerate(often)}
+    doc_of, row_of, word_of, rows = array("i"), array("i"), array("i"), 0
+    for d, text in enumerate(texts):
+        for words in sentences(text):
+            own = [vocabulary[f] for w in sorted(set(words)) for f in features(w) if f in vocabulary]
             doc_of.append(d)
-            word_of += own
-            row_of += [rows] * len(own)
+            word_of.extend(own)
+            row_of.extend([rows] * len(own))
             rows += 1
-    doc_of, row_of, word_of = (np.array(x, dtype=np.int64) for x in (doc_of, row_of, word_of))
+    doc_of, row_of, word_of = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (doc_of, row_of, word_of))
     theta = np.zeros(len(vocabulary) + 1)
     positive = np.zeros(len(vocabulary))
-    pairs = np.unique(doc_of[row_of] * len(vocabulary) + word_of) if len(row_of) else np.zeros(0, np.int64)
+    pairs = np.unique(doc_of[row_of].astype(np.int64) * len(vocabulary) + word_of) if len(row_of) else np.zeros(0, np.int64)
     np.add.at(positive, pairs % max(len(vocabulary), 1), y[pairs // max(len(vocabulary), 1)])
     total = np.bincount(pairs % max(len(vocabulary), 1), minlength=len(vocabulary))[: len(vocabulary)]
     theta[:-1] = np.clip(np.log((positive + 0.5) / (y.sum() + 1)) - np.log((total - positive + 0.5) / ((1 - y).sum() + 1)), -1, 3)
