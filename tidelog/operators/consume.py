@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidelog.operators.log import positions
 from tidelog.schemas import ACCOUNT_EVENTS, CATALOG_EVENTS, EVENT_TYPES, LAG_ALARM
 
+#: Log numbers that are looked through to find a cursor's place.
+BUCKET = 1024
+
 
 def scope_filters(kind: Column, category: Column, account_alias: Column) -> Column:
     """A typed scope as the map of payload fields it asks for."""
@@ -72,11 +75,18 @@ def peek(log: DataFrame, subscriptions: DataFrame, cursors: DataFrame, limit: in
     last scanned), last_read_seq, drained. The limit counts scanned rows."""
     dense = positions(log, ["seq"])
     at = subscriptions.where("active").join(cursors.select("consumer_name", "last_seq"), "consumer_name", "left").withColumn("last_seq", F.coalesce("last_seq", F.lit(0)))
-    # a cursor's position is the dense position of the last row at or below it
-    bound = dense.select("seq", "pos")
-    start = at.select("consumer_name", "last_seq").distinct().join(bound, F.col("seq") <= F.col("last_seq"), "left").groupBy("consumer_name").agg(F.coalesce(F.max("pos"), F.lit(0)).alias("start"))
+    # A cursor's position is that of the last row at or below it: in its own bucket of numbers,
+    # or else at the end of an earlier bucket. Only cursors are compared with buckets.
+    bucket = lambda c: F.floor(F.col(c) / BUCKET)
+    rows = dense.select("seq", "pos", bucket("seq").alias("b"))
+    cursor = at.select("consumer_name", "last_seq", bucket("last_seq").alias("b")).distinct()
+    inside = cursor.join(rows, "b").where("seq <= last_seq").groupBy("consumer_name").agg(F.max("pos").alias("inside"))
+    ends = rows.groupBy("b").agg(F.max("pos").alias("end")).withColumnRenamed("b", "eb")
+    before = cursor.join(ends, F.col("eb") < F.col("b")).groupBy("consumer_name").agg(F.max("end").alias("before"))
+    start = cursor.select("consumer_name").join(inside, "consumer_name", "left").join(before, "consumer_name", "left").select("consumer_name", F.coalesce("inside", "before", F.lit(0)).alias("start"))
     window = at.join(start, "consumer_name")
-    scanned = dense.join(window, (F.col("pos") > F.col("start")) & (F.col("pos") <= F.col("start") + limit))
+    wanted = window.withColumn("pos", F.explode(F.sequence(F.col("start") + 1, F.col("start") + limit)))
+    scanned = wanted.join(dense, "pos")
     hit = matches(F.col("event_type"), F.col("payload"), F.col("event_types"), F.col("filters"))
     got = scanned.groupBy("consumer_name").agg(F.count("*").alias("scanned"), F.count(F.when(hit, 1)).alias("n_items"), F.max("seq").alias("next_seq"))
     out = window.select("consumer_name", F.col("last_seq").alias("last_read_seq")).join(got, "consumer_name", "left")

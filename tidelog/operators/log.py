@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidelog.schemas import EVENT_COLUMNS
@@ -21,20 +23,30 @@ def one_log(*families: DataFrame) -> DataFrame:
     return out
 
 
+def stable(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the checkpoint folder, so that every later read sees the same partitions."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidelog-"))
+    return rows.checkpoint()
+
+
 def positions(rows: DataFrame, order: list[str], name: str = "pos", partitions: int | None = None) -> DataFrame:
     """Gapless numbers from 1 in ``order`` without one task that sees all rows.
 
-    Rows are dealt by range, numbered within their partition, and shifted by the counts of
-    the partitions before, a table of one row per partition. ``order`` must tell rows apart."""
-    spark = rows.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(partitions, *order).withColumn("_part", F.spark_partition_id()).persist()
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
+    Rows are dealt by range, sorted and numbered where they are, and shifted by the counts of
+    the partitions before, a table of one row per partition. One exchange in all. ``order``
+    must tell rows apart."""
+    partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # this id is the partition's number times 2^33 plus the row's place in it
+    placed = stable(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    out = ranged.withColumn("_row", F.row_number().over(inside)).join(shift, "_part")
-    return out.withColumn(name, F.col("_shift") + F.col("_row")).drop("_part", "_shift", "_row")
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    shift = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(shift, "_part").withColumn(name, F.col("_shift") + place).drop("_part", "_shift", "_id")
 
 
 def new_events(events: DataFrame, log: DataFrame) -> DataFrame:
