@@ -164,3 +164,28 @@ def test_poison_is_parked_and_the_rest_goes_on(spark):
 def test_router_needs_types():
     with pytest.raises(ValueError):
         Router().on()
+
+
+def test_guarantee_stream_equals_levels(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    end, ticks = datetime(2026, 1, 2), [datetime(2026, 1, 1) - timedelta(hours=2) + timedelta(hours=5 * k) for k in range(8)]
+    rows = spark.createDataFrame([(i, end + timedelta(hours=i), t) for i in range(3) for t in ticks], "item_id long, guarantee_end timestamp, tick timestamp")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.guarantee_timers(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("timers").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = sorted((r.item_id, r.tick, r.label) for r in spark.table("timers").collect())
+    expected = sorted((r.item_id, r.tick, {1: "24h", 2: "6h", 3: "1h"}[r.level]) for r in feeds.guarantee_levels(rows).collect())
+    assert got == expected and got
+
+
+def test_consumer_stream_and_streamed_dedup(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"e{k % 4}", "new_lot" if k % 2 else "lot_updated", '{"category":"steam"}' if k % 3 else "{}") for k in range(12)], "seq long, event_id string, event_type string, payload string")
+    rows = rows.withColumn("occurred_at", F.timestamp_seconds(F.col("seq") * 60))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    run = lambda df, name: df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
+    assert run(jobs.subscribed(source(), ["new_lot"], {"category": "steam"}, 2), "tail") and run(jobs.deduplicated(source()), "once")
+    assert sorted(r.seq for r in spark.table("tail").collect()) == [5, 7, 11]
+    assert sorted(r.event_id for r in spark.table("once").collect()) == ["e0", "e1", "e2", "e3"]
