@@ -373,7 +373,7 @@ def _(s, d):
 _NOW = "(select max(happened) from {event_log})"
 
 
-@query("op1_prune", f"select seq from {{event_log}} where not (seq <= (select min(last_seq) + 400 from {{cursors}}) and happened < {_NOW} - 86400 * 10)".replace("86400 * 10", "86400 * 30 * 0"))
+@query("job_op1_prune", f"select seq from {{event_log}} where not (seq <= (select min(last_seq) + 400 from {{cursors}}) and happened < {_NOW} - 86400 * 10)".replace("86400 * 10", "86400 * 30 * 0"))
 def _(s, d):
     rows = stored(s, d)
     now = rows.agg(F.max("occurred_at")).collect()[0][0]
@@ -453,7 +453,7 @@ def _(s, d):
     return consume.lag(load(s, d, "cursors"), load(s, d, "event_log"), 500)
 
 
-@query("op2_replay", "select consumer_name, case when consumer_name = 'sink:5' then 17 else last_seq end last_seq from {cursors}")
+@query("job_op2_replay", "select consumer_name, case when consumer_name = 'sink:5' then 17 else last_seq end last_seq from {cursors}")
 def _(s, d):
     return consume.replayed(load(s, d, "cursors"), "sink:5", 17)
 
@@ -461,27 +461,27 @@ def _(s, d):
 _DEAD = "select consumer_name, seq from {matched} where seq % 50 = 0"
 
 
-@query("op3_redrive", f"with dead as ({_DEAD}) select c.consumer_name, case when c_custkey % 2 = 0 and m is not null then greatest(m - 1, 0) else last_seq end last_seq from {{cursors}} c join {{subscriptions}} using (consumer_name) left join (select consumer_name, min(seq) m from dead group by 1) using (consumer_name) union all select s.consumer_name, greatest(min(seq) - 1, 0) from dead join {{subscriptions}} s using (consumer_name) where c_custkey % 2 = 0 and s.consumer_name not in (select consumer_name from {{cursors}}) group by 1")
+@query("job_op3_redrive", f"with dead as ({_DEAD}) select c.consumer_name, case when c_custkey % 2 = 0 and m is not null then greatest(m - 1, 0) else last_seq end last_seq from {{cursors}} c join {{subscriptions}} using (consumer_name) left join (select consumer_name, min(seq) m from dead group by 1) using (consumer_name) union all select s.consumer_name, greatest(min(seq) - 1, 0) from dead join {{subscriptions}} s using (consumer_name) where c_custkey % 2 = 0 and s.consumer_name not in (select consumer_name from {{cursors}}) group by 1")
 def _(s, d):
     dead = load(s, d, "matched").where("seq % 50 = 0").select("consumer_name", "seq")
     who = load(s, d, "subscriptions").where("c_custkey % 2 = 0").select("consumer_name")
     return consume.redriven(dead, load(s, d, "cursors"), who)[1]
 
 
-@query("op4_start_position", "select consumer_name, case when transport in ('webhook', 'polling') then case when backfill then 0 else (select count(*) from {events}) end else greatest(coalesce(try_cast(case c_custkey % 3 when 0 then 'abc' when 1 then '-4' else cast(c_custkey as varchar) end as bigint), 0), 0) end start from {subscriptions}")
+@query("job_op4_start_position", "select consumer_name, case when transport in ('webhook', 'polling') then case when backfill then 0 else (select count(*) from {events}) end else greatest(coalesce(try_cast(case c_custkey % 3 when 0 then 'abc' when 1 then '-4' else cast(c_custkey as varchar) end as bigint), 0), 0) end start from {subscriptions}")
 def _(s, d):
     given = F.expr("case c_custkey % 3 when 0 then 'abc' when 1 then '-4' else cast(c_custkey as string) end")
     rows = load(s, d, "subscriptions").crossJoin(log.head(load(s, d, "event_log")))
     return rows.select("consumer_name", consume.start_position(F.col("transport"), F.col("backfill"), given, F.col("head")).alias("start"))
 
 
-@query("op5_confirm_read", "select consumer_name, greatest(last_seq, (c_custkey * 11) % 900) last_seq from {cursors} join {subscriptions} using (consumer_name)")
+@query("job_op5_confirm_read", "select consumer_name, greatest(last_seq, (c_custkey * 11) % 900) last_seq from {cursors} join {subscriptions} using (consumer_name)")
 def _(s, d):
     requests = load(s, d, "subscriptions").select("consumer_name", ((F.col("c_custkey") * 11) % 900).alias("up_to_seq"))
     return consume.confirmed_reads(load(s, d, "cursors"), requests)
 
 
-@query("op6_drop_inactive", "select consumer_name, last_seq from {cursors} where consumer_name not in (select consumer_name from {subscriptions} where not active)")
+@query("job_op6_drop_inactive", "select consumer_name, last_seq from {cursors} where consumer_name not in (select consumer_name from {subscriptions} where not active)")
 def _(s, d):
     return consume.without_inactive(load(s, d, "cursors"), load(s, d, "subscriptions"))
 
