@@ -271,6 +271,24 @@ def test_language_model_gradients():
         assert abs((up - down) / 2e-5 - grads[k][at]) < 1e-4 * max(1, abs(grads[k][at]))
 
 
+def test_language_model_learns_from_every_training_text(spark):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(40)]
+    turned = lambda k: " ".join(words[(i + k) % 40] for i in range(4000))
+    data = [(i, turned(i)) for i in range(12)]  # 28,000 characters each
+    got = gru_lm.score_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(2)).collect()
+    assert any(r.held_out for r in got) and all(r.score > 0.5 * r.base_score for r in got)
+
+
+def test_language_model_words_grow_with_the_tokens():
+    sizes = [gru_lm.vocabulary_size(10**k) for k in range(5, 11)]
+    assert sizes[0] == gru_lm.FREQUENT and sizes[-3] < sizes[-2] < sizes[-1] and all(n % gru_lm.CLASS_WORDS == 0 for n in sizes)
+    net = gru_lm.Network(frequent=sizes[-1])
+    doc = np.array([0, sizes[-1] - 1, sizes[-1] + gru_lm.ENDINGS - 1])
+    net.train([doc])
+    assert np.isfinite(net.score([doc])).all()
+
+
 def test_state_is_carried_across_windows():
     net = gru_lm.Network()
     doc = np.arange(100) % 50
