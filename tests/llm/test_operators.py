@@ -145,6 +145,35 @@ def test_ann_recall(spark):
     assert ann.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_ann_with_a_third_of_copies(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((3000, 16))
+    x[rng.permutation(3000)[:1000]] = x[7]
+    near = rng.permutation(3000)[:400]
+    x[near] = x[11] * (1 + 1e-4 * rng.standard_normal((400, 1)))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(frame, frame.where("vec_id % 20 = 0")).toPandas().sort_values(["query_id", "rank"])
+    hits, of_copies = 0, 0
+    for q, g in got.groupby("query_id"):
+        s = np.round(x @ x[q], 9)
+        s[q] = -np.inf
+        true = np.lexsort((np.arange(3000), -s))[:20]
+        assert len(g) == 20
+        hits += len(set(true) & set(g.vec_id))
+        if (x[q] == x[7]).all() or q in near:
+            of_copies += 1
+            assert list(g.vec_id) == list(true)
+    assert got.query_id.nunique() == 150 and of_copies > 20 and hits >= 0.95 * 20 * 150
+
+
+def test_ann_visits_lists_until_k_are_found(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate((rng.standard_normal((4000, 8)), 50 + rng.standard_normal((6, 8)), rng.standard_normal((6, 8)) - 50))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(frame, frame.where("vec_id >= 4000 or vec_id < 20"), covered=0.1).groupBy("query_id").count().collect()
+    assert len(got) == 32 and all(r["count"] == 20 for r in got)
+
+
 def test_bpe(docs, rows, empty):
     t = Tokenizer.from_file(BYTE)
     expected = []

@@ -3,10 +3,12 @@
 Vectors are dealt to lists by k-means and their residuals are cut into parts of two
 dimensions with 16 code words each. Codes minimise an error in which the part along the
 vector weighs ``ETA`` times as much, since it moves large inner products most. A query scans
-the codes of its nearest lists by table lookups and reranks the best with exact products.
+the codes of its nearest lists by table lookups and reranks with exact products the best, and
+whatever the error of its codes could still bring among them.
 
-Centroids and code words come from a bounded sample; every row is indexed. A list of many
-rows is cut into blocks, and so are the queries that visit it, so no task holds a whole list.
+Equal vectors are indexed once, with their smallest ids. Centroids and code words come from a
+bounded sample; every row is indexed. A list of many vectors is cut into blocks, and so are the
+queries that visit it, so no task holds a whole list.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from tidelog.llm.shared import written
 SAMPLE_ROWS = 5_000
 PART = 2
 ETA = 4.0
-#: Rows a list has on average; candidates reranked in each block of a list.
+#: Vectors a list has on average; candidates reranked at least in each block of a list.
 LIST_ROWS = 1000
 RERANKED = 100
-#: Queries visit as many lists as hold this share of the sample's true neighbours.
+#: Queries visit as many lists as hold this share of the sample's true neighbours, and more where those hold too few.
 COVERED = 0.97
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 2048
@@ -114,6 +116,32 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(finite & F.exists("v", lambda x: x != 0))
 
 
+def least(ids: np.ndarray, k: int) -> np.ndarray:
+    """The smallest ids, of each at most k and 2 k in all: so many that k are left without any one id."""
+    ids = np.sort(ids)
+    same = np.arange(len(ids)) - np.searchsorted(ids, ids)
+    return ids[same < k][: 2 * k]
+
+
+def distinct_vectors(good: DataFrame, k: int) -> DataFrame:
+    """v and ids, a row for each distinct vector. Batches are grouped before they are dealt, so a
+    vector that fills a third of the table sends a few ids of each batch."""
+
+    def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            # adding 0.0 makes equal the two zeros
+            keys = [(np.asarray(v, np.float64) + 0.0).tobytes() for v in frame["v"]]
+            ids = frame["vec_id"].groupby(pd.Series(keys, index=frame.index), sort=False).agg(list)
+            yield pd.DataFrame({"v": ids.index, "ids": [least(np.array(x, np.int64), k) for x in ids]})
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"v": frame["v"], "ids": [least(np.asarray(x, np.int64), k) for x in frame["ids"]]})
+
+    parts = good.mapInPandas(gather, "v binary, ids array<long>")
+    return parts.groupBy("v").agg(F.flatten(F.collect_list("ids")).alias("ids")).mapInPandas(merge, "v binary, ids array<long>")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, covered: float = COVERED) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for each row of ``queries`` (same columns: vec_id, embedding).
 
@@ -123,14 +151,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, covered: float =
     """
     schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
-    good = _valid(vectors)
-    sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
+    good = written(distinct_vectors(_valid(vectors), k), "ann-distinct")
+    first = F.col("ids")[0]
+    sample = [np.frombuffer(r["v"]) for r in good.orderBy(F.xxhash64(first), first, "v").limit(SAMPLE_ROWS).collect()]
     if not sample:
         return spark.createDataFrame([], schema)
-    lengths = [len(r["v"]) for r in sample]
+    lengths = [len(v) for v in sample]
     d = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    rows = good.where(F.size("v") == d).count()
-    x = np.array([r["v"] for r in sample if len(r["v"]) == d])
+    good = good.where(F.octet_length("v") == 8 * d)
+    rows = good.count()
+    x = np.array([v for v in sample if len(v) == d])
     lists = max(1, min(len(x) // 20, rows // LIST_ROWS))
     book = fit(x, lists)
     width = book.centroids.shape[1]
@@ -143,51 +173,78 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, covered: float =
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = padded(frame["v"])
+            x = padded(frame["v"].map(np.frombuffer))
             near = book.lists_of(x)
             codes = book.encode(x, near)
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "v": [a.tobytes() for a in x[:, :d]], "list": near, "codes": [c.tobytes() for c in codes]})
+            error = x - book.centroids[near] - book.words[np.arange(len(book.words)), codes].reshape(x.shape)
+            # the second part is for products in single precision
+            slack = np.linalg.norm(error, axis=1) + 1e-5 * (np.linalg.norm(x, axis=1) + np.linalg.norm(book.centroids[near], axis=1))
+            yield pd.DataFrame({"v": frame["v"], "ids": frame["ids"], "list": near, "codes": [c.tobytes() for c in codes], "slack": slack})
 
+    indexed = written(good.mapInPandas(index, "v binary, ids array<long>, list int, codes binary, slack double"), "ann-index")
     probes = lists_to_visit(np.pad(x, ((0, 0), (0, width - d))), book.centroids, k, covered)
+    # ids of a list that aren't the query's own, at least
+    others = np.zeros(len(book.centroids), np.int64)
+    for r in indexed.select("list", F.explode("ids").alias("id")).distinct().groupBy("list").count().collect():
+        others[r["list"]] = r["count"] - 1
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             x = padded(frame["v"])
-            best = np.argsort(-(x @ book.centroids.T), axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"query_id": np.repeat(frame["vec_id"].values, probes), "q": np.repeat(np.array([a.tobytes() for a in x[:, :d]], dtype=object), probes), "list": best.reshape(-1)})
+            best = np.argsort(-(x @ book.centroids.T), axis=1, kind="stable")
+            enough = (np.cumsum(others[best], axis=1) < k).sum(1) + 1
+            n = np.clip(enough, min(probes, len(others)), len(others))
+            yield pd.DataFrame({"query_id": np.repeat(frame["vec_id"].values, n), "q": np.repeat(np.array([a.tobytes() for a in x[:, :d]], dtype=object), n), "list": np.concatenate([b[:m] for b, m in zip(best, n)]) if len(n) else best.reshape(-1)})
 
-    indexed = written(good.where(F.size("v") == d).mapInPandas(index, "vec_id long, v binary, list int, codes binary"), "ann-index")
     asked = written(_valid(queries).where(F.size("v") == d).dropDuplicates(["vec_id"]).mapInPandas(visit, "query_id long, q binary, list int"), "ann-queries")
     cut = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
     sizes = cut(indexed, BLOCK_ROWS, "blocks").join(cut(asked, BLOCK_QUERIES, "chunks"), "list")
-    left = indexed.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    left = left.select("vec_id", "v", "codes", "list", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    left = indexed.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64(first), F.col("blocks")).cast("int"))
+    left = left.select("v", "ids", "codes", "slack", "list", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     right = asked.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
     right = right.select("query_id", "q", F.col("list").alias("l"), F.col("chunk").alias("c"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
 
     def scan(key: tuple, rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(asking):
-            ids = rows["vec_id"].values
+            ids = [np.asarray(x, np.int64) for x in rows["ids"]]
+            low, high = np.array([x[0] for x in ids]), np.array([x[-1] for x in ids])
             v = np.frombuffer(b"".join(rows["v"]), np.float64).reshape(-1, d)
             codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-            q = np.frombuffer(b"".join(asking["q"]), np.float64).reshape(-1, d)
+            all_q = np.frombuffer(b"".join(asking["q"]), np.float64).reshape(-1, d)
             qids = asking["query_id"].values
-            wide = np.zeros((len(q), width))
-            wide[:, :d] = q
-            lut = np.einsum("qmp,mjp->mqj", wide.reshape(len(q), -1, PART), book.words).astype(np.float32)
+            wide = np.zeros((len(all_q), width))
+            wide[:, :d] = all_q
+            lut = np.einsum("qmp,mjp->mqj", wide.reshape(len(all_q), -1, PART), book.words).astype(np.float32)
+            base = wide @ book.centroids[key[0]]
             take = min(len(ids), RERANKED + k)
-            for a in range(0, len(q), 256):
-                rough = np.zeros((min(256, len(q) - a), len(ids)), np.float32)
+            for a in range(0, len(all_q), 256):
+                q, own = all_q[a : a + 256], qids[a : a + 256, None]
+                rough = np.zeros((len(q), len(ids)), np.float32)
                 for m in range(len(lut)):
                     rough += lut[m, a : a + 256][:, codes[:, m]]
-                best = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-                exact = np.einsum("qnd,qd->qn", v[best], q[a : a + 256])
-                for i in range(len(best)):
-                    own = ids[best[i]] != qids[a + i]
-                    order = np.lexsort((ids[best[i]][own], -exact[i][own]))[:k]
-                    out.append(pd.DataFrame({"query_id": qids[a + i], "vec_id": ids[best[i]][own][order], "score": exact[i][own][order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": float})
+                rough = rough + base[a : a + 256, None]
+                rough[(low == own) & (high == own)] = -np.inf  # vectors of the query alone
+                need = np.isfinite(rough)
+                if take < len(ids):
+                    best = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+                    exact = np.where(np.take_along_axis(need, best, 1), np.einsum("qnd,qd->qn", v[best], q), -np.inf)
+                    kth = np.partition(exact, take - k, axis=1)[:, take - k]
+                    # what the error of its code keeps below the k-th can't be among the first k
+                    need &= rough + np.linalg.norm(q, axis=1)[:, None] * rows["slack"].values >= kth[:, None]
+                among = np.flatnonzero(need.any(0))
+                exact = np.where(need[:, among], q @ v[among].T, -np.inf)
+                for i in range(len(q)):
+                    least_score = np.partition(exact[i], len(among) - k)[len(among) - k] if len(among) > k else -np.inf
+                    of = np.flatnonzero((exact[i] >= least_score) & (exact[i] > -np.inf))
+                    if len(of):
+                        found = np.concatenate([ids[j] for j in among[of]])
+                        scores = np.repeat(exact[i, of], [len(ids[j]) for j in among[of]])
+                        found, scores = found[found != own[i, 0]], scores[found != own[i, 0]]
+                        order = np.lexsort((found, -scores))[:k]
+                        out.append((np.full(len(order), own[i, 0]), found[order], scores[order]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
     found = left.groupBy("list", "block", "chunk").cogroup(right.groupBy("l", "b", "c")).applyInPandas(scan, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
