@@ -127,6 +127,27 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_reaches_the_ends_of_runs(spark):
+    rnd = random.Random(8)
+    pool = [" ".join(f"w{k}x{i}" for i in range(n)) for k, n in enumerate([60, 10, 3, 10, 20, 45, 5, 30, 1, 12])]
+    texts = [[pool[0], pool[1]], [pool[0], pool[3]], [pool[0], pool[3]]]
+    texts += [rnd.choices(pool, k=rnd.randint(2, 9)) for _ in range(60)]
+    seen, expected = set(), {}
+    for d, lines in enumerate(texts):
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(len(x.split()) for x in lines[a : b + 1]) >= 50:
+                    run = tuple(lines[a : b + 1])
+                    if run in seen:
+                        gone.update(range(a, b + 1))
+                    seen.add(run)
+        expected[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    assert expected[2] == ""
+    frame = spark.createDataFrame([(d, "\n".join(lines)) for d, lines in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(frame).collect()} == expected
+
+
 def test_ann_recall(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 16))

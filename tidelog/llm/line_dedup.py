@@ -1,14 +1,17 @@
 """Line dedup by winnowing over line hashes.
 
-A window is a run of whole lines, from each line on, that just reaches ``min_words`` words.
-Each window picks its least line hash (the last of equals): that line is a fingerprint, and a
+A window is a run of whole lines, from each line with words on or back from it, that just
+reaches ``min_words`` words. Each line with words of a repeated run is in such a window inside
+the run: the one from the run's first line, the one back from its last, or else the one back
+from the line itself. Each window picks its least line hash (the last of equals): that line is a fingerprint, and a
 repeated run of ``min_words`` words or more is sure to hold a window, so to share one. Every
 later place of a window is joined with the first place of the same window; neighbouring
 windows mostly pick the same line and so give one pair of positions. Pairs on one diagonal of
 two documents are extended line by line both ways, and the lines of the later run go.
 
 A window that thousands of documents share gives one pair for each later place: never all
-pairs. What has an earlier copy anywhere has one at the first place of a window inside it.
+pairs. A window that has an earlier copy anywhere has one at its first place.
+Lines without words at the ends of a run go only if that first place goes on alike.
 """
 
 from __future__ import annotations
@@ -33,12 +36,13 @@ def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
-    """(window hash, first line, chosen line) of each window that starts with a line that has words."""
+    """(window hash, first line, chosen line) of each window that starts or ends with a line that has words."""
     ends = np.concatenate(([0], np.cumsum(words)))
     stops = np.searchsorted(ends, ends[:-1] + min_words, side="left")
+    starts = np.searchsorted(ends, ends[1:] - min_words, side="right") - 1
+    on, back = np.flatnonzero((stops <= len(words)) & (words > 0)), np.flatnonzero((starts >= 0) & (words > 0))
     out = []
-    for i in np.flatnonzero((stops <= len(words)) & (words > 0)).tolist():
-        j = int(stops[i])
+    for i, j in sorted({*zip(on.tolist(), stops[on].tolist()), *zip(starts[back].tolist(), (back + 1).tolist())}):
         own = hashes[i:j]
         out.append((xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63), i, j - 1 - int(np.argmin(own[::-1]))))
     return out
