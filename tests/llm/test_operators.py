@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelog.llm import ann, bpe_words, components, gru_lm, license_scan, line_dedup, packing, quality_rules, simhash, token_files, tokens, toxicity
@@ -44,7 +45,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    return spark.createDataFrame(rows, DOC).repartition(3)
+    return spark.createDataFrame(rows, DOC).repartition(3)  # repeated rows, rows without an id
 
 
 @pytest.fixture(scope="module")
@@ -194,6 +195,19 @@ def test_ann_visits_lists_until_k_are_found(spark):
     got = ann.search(frame, frame.where("vec_id >= 4000 or vec_id < 20"), covered=0.1).groupBy("query_id").count().collect()
     assert len(got) == 32 and all(r["count"] == 20 for r in got)
 
+def test_ann_ties_and_lengths(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2500, 6))
+    x[:1500, 0] = 9.0  # equal products with the queries along the first axis
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    data += [(3000 + i, [1.0 + i, 2.0]) for i in range(30)] + [(4000, [5.0])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("query_id", F.lit("clash"))
+    asked = spark.createDataFrame([(9000, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (3000, [1.0, 2.0]), (4000, [5.0])], "vec_id long, embedding array<double>")
+    got = ann.search(frame, asked).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got if r.query_id == 9000] == list(range(20))
+    assert [r.vec_id for r in got if r.query_id == 3000] == list(range(3029, 3009, -1))
+    assert not [r for r in got if r.query_id == 4000]
+
 
 def test_bpe(docs, rows, empty):
     t = Tokenizer.from_file(BYTE)
@@ -241,11 +255,31 @@ def test_packing(docs, rows, empty):
             at += n
         assert at <= 2048
     t = Tokenizer.from_file(BYTE)
-    sizes = [len(t.encode(s or "", add_special_tokens=False).ids) + 1 for _, s, *_ in rows]
-    assert sum(r.length for r in got) == sum(sizes) and len(by) == math.ceil(sum(sizes) / 2048)
+    expected, total = [], 0
+    for i, s, *_ in rows:
+        ids, at, k = [*t.encode(s or "", add_special_tokens=False).ids, 0], 0, 0
+        total += len(ids)
+        while at < len(ids):
+            n = (len(ids) % 2048 or 2048) if k == 0 else 2048
+            expected.append((i, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())))
+            at, k = at + n, k + 1
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(expected, key=str)
+    assert len(by) == math.ceil(total / 2048) and all(r.bins >= r.bound for r in got)
     assert packing.pack_documents(empty, BYTE).count() == 0
 
 
+def test_groups_with_gaps_exchange(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 12)
+    rnd = random.Random(5)
+    data = [(None if k % 3 == 0 else 7, " word" * rnd.randint(300, 1400)) for k in range(150)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("part", "row", "piece", "length")})
+    got = packing.pack_documents(frame, BYTE).collect()
+    lengths = [t.count("word") + 1 for _, t in data]
+    assert sorted(r.length for r in got) == sorted(lengths)
+    one = len(set(packing.best_fit(lengths)))
+    assert packing.lower_bound(lengths) <= len({r.sequence_id for r in got}) <= one + 3
+
+
 def test_bounds_and_best_fit():
     rnd = random.Random(0)
     for _ in range(100):

@@ -27,8 +27,7 @@ RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 @cache
 def byte_pieces(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary; special tokens stand for their text."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    table = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    table = tokens.byte_letters()
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
@@ -47,11 +46,13 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     def encode(frame: pd.DataFrame) -> pd.DataFrame:
         lists = [blocks.unpack_words(x) for x in frame["words"]]
         distinct = list({w: None for words in lists for w in words})
-        table = dict(zip(distinct, tokens.encode_words(distinct, path)))
+        place = {w: i for i, w in enumerate(distinct)}
+        ids, ends = tokens.encode_words(distinct, path, "byte")
+        sizes = np.diff(ends, prepend=0)
         out = []
         for words in lists:
-            ids = [table[w] for w in words]
-            out.append(blocks.pack(np.concatenate(([len(ids)], np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids)), np.frombuffer(b"".join(ids), "<u4")))))
+            own = np.fromiter((place[w] for w in words), np.int64, len(words))
+            out.append(blocks.pack(np.concatenate(([len(own)], sizes[own], tokens.laid_out(ids, (ends - sizes)[own], sizes[own])))))
         return pd.DataFrame({"block": frame["block"], "bucket": frame["bucket"], "reply": out})
 
     replies = blocks.lists_by_bucket(table).drop("counts").groupBy("bucket").applyInPandas(encode, "block long, bucket int, reply binary")

@@ -2,9 +2,11 @@
 
 Documents become pieces of at most ``capacity`` tokens. Full pieces are sequences as they
 are. The others are dealt to groups by a hash and packed best-fit decreasing in each.
-Dual-feasible functions give each group a lower bound; a group at its bound is certified.
-Sequences that aren't full, of all groups, then exchange their pieces: they are dealt anew
-and packed again, as long as that saves sequences.
+Dual-feasible functions give each group a lower bound, and one for all pieces together.
+A group at its bound is certified and stays as it is. Groups with a gap exchange the pieces
+of their sequences that aren't full and are packed again; where every group is at its bound
+but their sum is not at the bound of all, the gap lies between the groups, and all their
+open sequences exchange. This goes on until the whole is certified or nothing is saved.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog.llm import tokens
@@ -22,6 +25,9 @@ from tidelog.llm.shared import written
 CAPACITY = 2048
 #: Pieces of one group; bounds a task's memory and time.
 GROUP_PIECES = 100_000
+END = 0
+
+PIECES = 100_000
 #: Exchanges at most; each leaves out what is full already.
 ROUNDS = 4
 END = 0
@@ -33,23 +39,26 @@ def pieces(docs: DataFrame, path: str, cut: str = "byte", capacity: int = CAPACI
     """A row per piece of every document. A document longer than ``capacity`` starts with its
     shorter piece. Null and empty texts are one piece that holds only the end id."""
 
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = np.array([end], dtype="<u4").tobytes()
-        for frame in frames:
-            out = []
-            for doc_id, data in zip(frame["doc_id"].tolist(), tokens.encode_texts(frame["text"].tolist(), path, cut)):
-                data += last
-                total = len(data) // 4
-                at, k = 0, 0
-                while at < total:
-                    size = (total % capacity or capacity) if k == 0 else capacity
-                    out.append((None if pd.isna(doc_id) else int(doc_id), k, at, size, zlib.crc32(data[4 * at : 4 * (at + size)])))
-                    at, k = at + size, k + 1
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(build, PIECES)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.array([end], dtype="<u4")
+        for batch in batches:
+            ids, at_row = batch.column("doc_id"), 0
+            for flat, ends in tokens.encode_arrow(batch.column("text"), path, cut):
+                rows, out = [], []
+                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    own = np.append(flat[a:b], last)
+                    at, k = 0, 0
+                    while at < len(own):
+                        size = (len(own) % capacity or capacity) if k == 0 else capacity
+                        out.append((k, at, size, zlib.crc32(own[at : at + size].tobytes())))
+                        rows.append(at_row)
+                        at, k = at + size, k + 1
+                    at_row += 1
+                columns = [pa.array(x, pa.int64()) for x in zip(*out)]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    made = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, "doc_id string, piece long, start long, length long, ids_crc32 long")
+    return made.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32")
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[int]:
@@ -74,11 +83,10 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def lower_bound(lengths: list[int], capacity: int = CAPACITY) -> int:
+def bound_of(n: np.ndarray, capacity: int = CAPACITY) -> int:
     """The best bound from two families of dual-feasible functions over a histogram of lengths."""
-    if not lengths:
+    if not n.sum():
         return 0
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1)
     total = np.cumsum(n * size)
     count = np.cumsum(n)
@@ -93,6 +101,13 @@ def lower_bound(lengths: list[int], capacity: int = CAPACITY) -> int:
     return best
 
 
+def lower_bound(lengths: list[int], capacity: int = CAPACITY) -> int:
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bins", "bound"]
+
+
 def _packed(items: DataFrame, number: int, capacity: int) -> DataFrame:
     """``items`` with sequence_id, filled (tokens in the sequence) and the group's count and bound."""
     groups = max(1, -(-items.count() // GROUP_PIECES))
@@ -104,36 +119,47 @@ def _packed(items: DataFrame, number: int, capacity: int) -> DataFrame:
         frame["filled"] = frame.groupby("sequence_id")["length"].transform("sum")
         frame["offset"] = frame.groupby("sequence_id")["length"].cumsum() - frame["length"]
         frame["bins"], frame["bound"] = frame["sequence_id"].nunique(), lower_bound(lengths, capacity)
-        return frame[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "filled", "part", "bins", "bound"]]
+        return frame[[*COLUMNS, "filled", "part"]]
 
-    dealt = items.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(number)), F.lit(groups)))
-    done = dealt.groupBy("part").applyInPandas(pack, PIECES + ", sequence_id long, offset long, filled long, part long, bins long, bound long")
+    # the row's number spreads rows without an id, and rows that repeat
+    dealt = items.select(*COLUMNS[:5]).withColumn("row", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "row", F.lit(number)), F.lit(groups))).drop("row")
+    done = dealt.groupBy("part").applyInPandas(pack, PIECES + ", sequence_id long, offset long, bins long, bound long, filled long, part long")
     return written(done, "packed")
 
 
 def pack_documents(docs: DataFrame, path: str, cut: str = "byte", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece, and bins and
+    bound: how many sequences its group was packed into last, and the least it could take.
 
-    All rows are packed, null and repeated ones too; an empty table gives an empty table.
+    All rows are packed: null ids and texts too, and repeated rows each on their own. An empty
+    table gives an empty table. Other columns of ``docs`` play no part.
     """
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     cutup = written(pieces(docs, path, cut, capacity, end), "pieces")
-    whole = cutup.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    parts = [whole.select(columns)]
-    packed = _packed(cutup.where(F.col("length") < capacity), 0, capacity)
-    for number in range(1, ROUNDS + 1):
-        counts = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound")).agg(F.count("*"), F.sum("bins"), F.sum("bound"), F.sum(F.col("bins") - F.col("bound"))).collect()[0]
-        if counts[0] == 0 or (counts[0] == 1 and counts[3] == 0):
-            break  # nothing to pack, or one group that is certified
-        open_ = packed.where(F.col("filled") < capacity)
-        again = _packed(open_, number, capacity)
-        saved = open_.select("sequence_id").distinct().count() - again.select("sequence_id").distinct().count()
-        if saved <= 0:
-            break
-        parts.append(packed.where(F.col("filled") == capacity).select(columns))
-        packed = again
-    parts.append(packed.select(columns))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    whole = cutup.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id())
+    whole = whole.withColumns({"offset": F.lit(0).cast("long"), "bins": F.lit(1).cast("long"), "bound": F.lit(1).cast("long")})
+    rest = cutup.where(F.col("length") < capacity)
+    histogram = np.zeros(capacity + 1, np.int64)
+    for r in rest.groupBy("length").count().collect():  # at most a row for each length
+        histogram[r["length"]] = r["count"]
+    least = bound_of(histogram, capacity)
+    packed, number, everywhere = _packed(rest, 0, capacity), 0, False
+    total = _sequences(packed)
+    while total > least:
+        gap = F.lit(everywhere) | (F.col("bins") > F.col("bound"))
+        moving = packed.where(gap & (F.col("filled") < capacity))
+        before = _sequences(moving)
+        again = _packed(moving, number + 1, capacity) if before > 1 else None
+        saved = before - _sequences(again) if again is not None else 0
+        if saved > 0:
+            stay = packed.where(~(gap & (F.col("filled") < capacity)))
+            packed, number, total = written(stay.unionByName(again), "packed"), number + 1, total - saved
+        if saved <= 0 and everywhere:
+            break  # an exchange between all groups saved nothing
+        everywhere = saved <= 0
+    return whole.select(COLUMNS).union(packed.select(COLUMNS))
+
+
+def _sequences(packed: DataFrame) -> int:
+    """Every sequence begins once."""
+    return packed.where("offset = 0").count()
