@@ -1,9 +1,11 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a probability from a logistic model of
-its words and their beginnings (offending stems take many endings); the document's is the noisy-or, 1 - prod(1 - p). Only documents have labels: the
-gradient of the bag's loss reaches its sentences in proportion to what each contributes, so
-the model learns which sentences offend, and can name them.
+its words and their beginnings (offending stems take many endings); the document's is the
+noisy-or, 1 - prod(1 - p). Only documents have labels: the gradient of the bag's loss reaches
+its sentences in proportion to what each contributes, so the model learns which sentences
+offend, and can name them. Scores are calibrated on documents of the sample that a model
+fitted without them has scored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,18 @@ from tidelog.llm.shared import id_crc
 SAMPLE_DOCUMENTS = 3500
 SAMPLE_CHARS = 20_000
 #: Features need this many documents of the sample; the model holds so many at most.
-MIN_DOCUMENTS = 5
+MIN_DOCUMENTS = 2
 MOST_FEATURES = 40_000
 #: Letters of the beginnings that count as features.
 BEGINNINGS = (4, 5)
 #: Words whose weight a worker remembers; bounds memory only.
 REMEMBERED = 300_000
 STEPS = 200
+#: Parts of the sample that are scored by a model of the others, for calibration.
+FOLDS = 3
 PREDICTED_FROM = 0.7
+#: Probability from which a sentence counts as offending.
+OFFENDING = 0.5
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _EDGE = ".,;:!?\"'()[]{}*#_-"
@@ -49,6 +55,8 @@ def features(word: str) -> list[str]:
 class Model:
     bias: float
     weights: dict[str, float]
+    slope: float = 1.0
+    shift: float = 0.0
     known: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     def word(self, w: str) -> float:
@@ -63,9 +71,46 @@ class Model:
         """The logit of one sentence; each distinct word counts once."""
         return self.bias + sum(map(self.word, sorted(set(words))))
 
-    def score(self, text: str | None) -> float:
-        z = np.array([self.sentence(words) for words in sentences(text)])
-        return float(-np.expm1(-np.logaddexp(0.0, z).sum())) + 0.0
+    def logits(self, text: str | None) -> np.ndarray:
+        return np.array([self.sentence(words) for words in sentences(text)])
+
+    def bag(self, z: np.ndarray) -> float:
+        """The logit of the noisy-or of sentences with these logits; minus infinity without any."""
+        missed = float(np.logaddexp(0.0, z).sum())  # minus the log probability that none offends
+        return missed + float(np.log(-np.expm1(-missed))) if missed > 0 else -np.inf
+
+    def score(self, z: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.slope * self.bag(z) + self.shift, -700, 700)))) if len(z) else 0.0
+
+
+def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through logits ``x`` and labels ``y``, by Newton's steps."""
+    x = np.clip(x, -30, 30)
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    w = np.array([1.0, 0.0])
+    design = np.column_stack((x, np.ones_like(x)))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        grad = design.T @ (p - target) + 1e-3 * (w - (1.0, 0.0))
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(hessian, grad), -1, 1)
+    return max(float(w[0]), 0.05), float(w[1])
+
+
+def fit_calibrated(texts: list[str | None], labels: list[int]) -> Model:
+    """:func:`fit` on all, with the curve from FOLDS parts that models of the others have scored."""
+    model = fit(texts, labels)
+    if not model.weights:
+        return model
+    y, x = np.array(labels, dtype=float), np.zeros(len(labels))
+    for k in range(FOLDS):
+        own = set(range(k, len(texts), FOLDS))
+        rest = [i for i in range(len(texts)) if i not in own]
+        part = fit([texts[i] for i in rest], [labels[i] for i in rest])
+        for i in own:
+            x[i] = part.bag(part.logits(texts[i]))
+    slope, shift = calibrated(x, y)
+    return Model(model.bias, model.weights, slope, shift)
 
 
 def fit(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Model:
@@ -113,26 +158,52 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most SAMPLE_DOCUMENTS labelled documents whose id isn't held out.
 
     Rows without a label don't count; a document with several labels is toxic if one says so.
+    Documents are chosen by a hash of their ids among ids alone; only the texts of the chosen
+    are fetched, each distinct text of an id once, and those beyond SAMPLE_CHARS left out.
+    """
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    marks = labels.where("toxic is not null and doc_id is not null").where(id_crc() % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = marks.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("place", place)
+    total = known.count()
+    # a few more than needed, so that tasks send no more than that
+    share = min(1.0, (SAMPLE_DOCUMENTS + 6 * SAMPLE_DOCUMENTS**0.5) / max(total, 1))
+    chosen = known.where(F.col("place") < F.lit(int(share * (1 << 30)))).orderBy("place", "doc_id").limit(SAMPLE_DOCUMENTS).collect()
+    if not chosen:
+        return fit([], [])
+    wanted = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in chosen], "doc_id long, toxic int")
+    texts = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(wanted), "doc_id")
+    once = texts.groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = sorted(once.collect(), key=lambda r: (r["doc_id"], r["hash"]))
+    return fit_calibrated([r["text"] for r in rows], [r["toxic"] for r in rows])
+
+
+def scored(docs: DataFrame, model: Model, least: float = OFFENDING) -> DataFrame:
+    """All columns of ``docs`` with held_out, score, predicted and offending: the numbers (from 0)
+    of the sentences whose own probability is ``least`` or more.
+
+    Null and empty texts score 0 and have no sentences. Repeated rows are scored alike, null ids
+    count as the empty text in the split, and an empty table gives an empty table. Columns of
+    ``docs`` named like an added one are replaced.
     """
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
-    known = docs.where(id_crc() % 3 != 1).where(F.length("text") <= SAMPLE_CHARS).join(marks, F.col("doc_id") == F.col("_id"))
-    rows = known.select("text", "_toxic", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCUMENTS).collect()
-    return fit([r["text"] for r in rows], [int(r["_toxic"]) for r in rows])
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with held_out, score and predicted. Null and empty texts score 0."""
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype=float)
+    @F.pandas_udf("score double, offending array<int>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        scores, offending = [], []
+        line = float(np.log(least / (1 - least)))
+        for text in texts:
+            z = model.logits(text)
+            scores.append(model.score(z))
+            offending.append(np.flatnonzero(z >= line).tolist())
+        return pd.DataFrame({"score": scores, "offending": offending})
 
-    docs = docs.drop("held_out", "score", "predicted")
-    out = docs.withColumn("held_out", id_crc() % 3 == 1).withColumn("score", of(F.col("text").cast("string")))
-    return out.withColumn("predicted", (F.col("score") >= PREDICTED_FROM).cast("int"))
+    docs = docs.drop("held_out", "score", "predicted", "offending")
+    found = of(F.col("text").cast("string"))
+    out = docs.withColumn("offending", found).withColumn("held_out", id_crc() % 3 == 1)
+    return out.withColumns({"score": F.col("offending.score"), "predicted": (F.col("offending.score") >= PREDICTED_FROM).cast("int"), "offending": F.col("offending.offending")})
 
 
-def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def offending_sentences(docs: DataFrame, model: Model, least: float = OFFENDING) -> DataFrame:
     """doc_id, sentence (number from 0), probability and words of sentences from ``least`` on."""
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
