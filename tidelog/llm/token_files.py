@@ -9,11 +9,13 @@ by its offset alone. The dictionary lies beside the files in a table of its own.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -59,12 +61,17 @@ def write_files(docs: DataFrame, folder: str, path: str, cut: str = "space", end
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, bytearray(dictionary))], "sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
-    def compress(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        last = np.array([end], dtype="<u4").tobytes()
-        for frame in frames:
-            ids = [x + last for x in tokens.encode_texts(frame["text"].tolist(), path, cut)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "n": [len(x) // 4 for x in ids], "frame": [press.compress(serialize(x, width)) for x in ids]})
+        last = np.array([end], dtype="<u4")
+        for batch in batches:
+            doc_ids, row = batch.column("doc_id"), 0
+            for flat, ends in tokens.encode_arrow(batch.column("text"), path, cut):
+                edges = [0, *ends.tolist()]
+                packed = [press.compress(serialize(np.append(flat[a:b], last).tobytes(), width)) for a, b in zip(edges, edges[1:])]
+                sizes = pa.array(np.diff(edges) + 1, pa.int64())
+                yield pa.RecordBatch.from_arrays([doc_ids.slice(row, len(packed)), sizes, pa.array(packed, pa.binary())], names=["doc_id", "n", "frame"])
+                row += len(packed)
 
     def shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def close() -> pd.DataFrame:
@@ -84,10 +91,12 @@ def write_files(docs: DataFrame, folder: str, path: str, cut: str = "space", end
         if ids:
             yield close()
 
-    frames = docs.mapInPandas(compress, "doc_id string, n long, frame binary").withColumn("key", F.col("doc_id").cast("long"))
+    frames = docs.mapInArrow(compress, "doc_id string, n long, frame binary").withColumn("key", F.col("doc_id").cast("long"))
     frames = written(frames, "frames")
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = frames.repartitionByRange(partitions, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id()).drop("key")
+    # the row's number parts rows that share an id or have none
+    ranged = frames.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(partitions, "key", "row")
+    ranged = ranged.sortWithinPartitions("key", "row").withColumn("part", F.spark_partition_id()).drop("key", "row")
     ranged.mapInPandas(shard, FILES).write.option("compression", "none").parquet(f"{folder}/files")
 
 
@@ -137,8 +146,6 @@ def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[in
 def round_trip(docs: DataFrame, path: str, cut: str = "space", end: int = END) -> DataFrame:
     """Write ``docs`` to new files in the shared folder and read them back."""
     spark = docs.sparkSession
-    import uuid
-
     folder = f"{scratch_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_files(docs, folder, path, cut, end)
     return read_files(spark, folder)
