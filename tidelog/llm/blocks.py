@@ -15,9 +15,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidelog.llm import tokens
+
 #: Characters after which a block is closed. A longer text is a block of its own.
 BLOCK_CHARS = 24_000_000
 
@@ -54,15 +58,16 @@ def bucket_number(spark: SparkSession) -> int:
     return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
 
 
-def word_blocks(docs: DataFrame, cut: Callable[[str], list[str]], counted: Callable[[object], bool] | None = None, chars: int = BLOCK_CHARS) -> DataFrame:
+def word_blocks(docs: DataFrame, numbered: Callable[[pa.Array], tuple[pa.Array, np.ndarray, np.ndarray]], counted: Callable[[object], bool] | None = None, chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per block. Words stand in order of frequency in the block; ``places`` are ranks in it,
     ``buckets`` each word's bucket, ``words`` the bucket's words in that order, ``counts`` how often
-    each occurs in documents for whose id ``counted`` is true. Null texts have the words that
-    ``cut("")`` gives. Block ids are random, so write the table before use.
+    each occurs in documents for whose id ``counted`` is true. ``numbered`` gives a column's distinct
+    words, the number of each word of its texts, and where each text's words end. Null texts count
+    as empty. Block ids are random, so write the table before use.
     """
     number = bucket_number(docs.sparkSession)
 
-    def close(ids, lengths, places, known) -> pd.DataFrame:
+    def close(ids, lengths, places, known) -> pa.RecordBatch:
         flat = np.concatenate(places) if places else np.zeros(0, np.uint32)
         order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
         rank = np.empty(len(known), np.int64)
@@ -78,17 +83,24 @@ def word_blocks(docs: DataFrame, cut: Callable[[str], list[str]], counted: Calla
             mask = np.repeat(np.array([bool(counted(i)) for i in ids], dtype=bool), lengths)
             n = np.bincount(flat[mask], minlength=len(words))
             counts = [pack(n[o]) for o in own]
-        return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "doc_ids": [ids], "lengths": [lengths], "places": [pack(flat)], "buckets": [pack(buckets)], "words": [[pack_words([words[i] for i in o.tolist()]) for o in own]], "counts": [counts]})
+        columns = [
+            pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(flat)]), pa.array([pack(buckets)]),
+            pa.array([[pack_words([words[i] for i in o.tolist()]) for o in own]], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.binary())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "lengths", "places", "buckets", "words", "counts"])
 
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lengths, places, known, size = [], [], [], {}, 0
-        for frame in frames:
-            for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
-                words = cut(text or "")
-                places.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words)))
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                lengths.append(len(words))
-                size += len(text or "")
+        for batch in batches:
+            doc_ids, row = [None if x is None else int(x) for x in batch.column("doc_id").to_pylist()], 0
+            for run in tokens.runs(batch.column("text")):
+                words, numbers, ends = numbered(run)
+                own = np.fromiter((known.setdefault(w, len(known)) for w in words.to_pylist()), np.int64, len(words))
+                places.append(own[numbers].astype(np.uint32))
+                ids += doc_ids[row : row + len(run)]
+                lengths += np.diff(ends, prepend=0).tolist()
+                row += len(run)
+                size += pc.sum(pc.utf8_length(run)).as_py() or 0
                 if size >= chars:
                     yield close(ids, lengths, places, known)
                     ids, lengths, places, known, size = [], [], [], {}, 0
@@ -96,7 +108,7 @@ def word_blocks(docs: DataFrame, cut: Callable[[str], list[str]], counted: Calla
             yield close(ids, lengths, places, known)
 
     # ids as text keep whole where some are null
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(build, SCHEMA)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, SCHEMA)
 
 
 def lists_by_bucket(table: DataFrame) -> DataFrame:

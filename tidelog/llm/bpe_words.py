@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -41,7 +41,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     Null and empty texts have no ids and decode to the empty text. Repeated rows and null
     ids come out as they came in; an empty table gives an empty table.
     """
-    table = written_by_key(blocks.word_blocks(docs, tokens.byte_words), "bpe_blocks", "block")
+    table = written_by_key(blocks.word_blocks(docs, partial(tokens.numbered_words, cut="byte")), "bpe_blocks", "block")
 
     def encode(frame: pd.DataFrame) -> pd.DataFrame:
         lists = [blocks.unpack_words(x) for x in frame["words"]]

@@ -161,8 +161,9 @@ def encode_words(words: pa.Array | list[str], path: str, cut: str) -> tuple[np.n
     return (laid_out(np.concatenate(ids), starts, sizes) if len(rest) else ids[0]), np.cumsum(sizes)
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Runs of texts of about SLICE_BYTES; a longer text is a run of its own."""
+def runs(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about SLICE_BYTES, null ones as empty; a longer text is a run of its own."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0)
     a = 0
     while a < len(texts):
@@ -201,7 +202,7 @@ def encode_arrow(texts: pa.Array | pa.ChunkedArray, path: str, cut: str) -> Iter
     A null text counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    for run in _slices(pc.fill_null(texts.cast(pa.large_string()), "")):
+    for run in runs(texts):
         words, numbers, edges = numbered_words(run, cut)
         ids, ends = encode_words(words, path, cut)
         sizes = np.diff(ends, prepend=0)
