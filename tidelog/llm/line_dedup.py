@@ -6,8 +6,8 @@ the run: the one from the run's first line, the one back from its last, or else
 from the line itself. Each window picks its least line hash (the last of equals): that line is a fingerprint, and a
 repeated run of ``min_words`` words or more is sure to hold a window, so to share one. Every
 later place of a window is joined with the first place of the same window; neighbouring
-windows mostly pick the same line and so give one pair of positions. Pairs on one diagonal of
-two documents are extended line by line both ways, and the lines of the later run go.
+windows mostly pick the same line and so give one pair of positions. The pairs of two documents
+are extended both ways together, and the lines of the later runs go.
 
 A window that thousands of documents share gives one pair for each later place: never all
 pairs. A window that has an earlier copy anywhere has one at its first place.
@@ -23,7 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.llm.shared import written
+from tidelog.llm.shared import fresh, written
 
 MIN_WORDS = 50
 
@@ -48,23 +48,47 @@ def winnow(hashes: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) ->
     return out
 
 
+def extended(mine: np.ndarray, theirs: np.ndarray, places: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """First and last line of the runs that go on alike around ``places`` of ``mine``, beside the lines
+    ``shifts`` further on in ``theirs``; covered ones merged. All are halved in at once by sums of
+    line hashes times powers, so a text that repeats itself throughout takes n log n steps."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+    n = max(len(mine), len(theirs)) + 1
+    powers = np.ones(n, np.uint64)
+    np.multiply.accumulate(np.full(n - 1, base, np.uint64), out=powers[1:])
+    sums = lambda h: np.concatenate((np.zeros(1, np.uint64), np.cumsum(h.view(np.uint64) * powers[: len(h)], dtype=np.uint64)))
+    own, other = sums(mine), sums(theirs)
+    up, down = powers[np.maximum(shifts, 0)], powers[np.maximum(-shifts, 0)]
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (own[b] - own[a]) * up == (other[b + shifts] - other[a + shifts]) * down
+
+    low, high = places, np.minimum(len(mine), len(theirs) - shifts)
+    while (low < high).any():
+        half = (low + high + 1) // 2
+        fits = alike(places, half)
+        low, high = np.where(fits, half, low), np.where(fits, high, half - 1)
+    stops, low, high = low, np.maximum(0, -shifts), places
+    while (low < high).any():
+        half = (low + high) // 2
+        fits = alike(half, places)
+        low, high = np.where(fits, low, half + 1), np.where(fits, half, high)
+    spans = np.unique(np.column_stack((low, stops - 1)), axis=0)
+    spans = spans[spans[:, 0] <= spans[:, 1]]
+    most = np.maximum.accumulate(spans[:, 1]) if len(spans) else spans[:, 1]
+    return spans[np.append(True, spans[1:, 1] > most[:-1])[: len(spans)]]
+
+
 def runs(pairs: DataFrame) -> DataFrame:
-    """Extend each pair of positions (columns pos, mine, shift, theirs) both ways: first and last line."""
+    """Extend each pair of positions of two documents (mine, theirs, places, shifts) both ways: first and last lines."""
 
     def extend(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             first, last = [], []
             for row in frame.itertuples():
-                same = np.asarray(row.mine) == np.asarray(row.theirs)
-                starts, stops = [], []
-                for p in sorted(set(row.places)):
-                    if stops and p <= stops[-1]:
-                        continue
-                    left, right = np.flatnonzero(~same[:p]), np.flatnonzero(~same[p:])
-                    starts.append(int(left[-1]) + 1 if len(left) else 0)
-                    stops.append(p + int(right[0]) - 1 if len(right) else len(same) - 1)
-                first.append(starts)
-                last.append(stops)
+                spans = extended(*(np.asarray(x, np.int64) for x in (row.mine, row.theirs, row.places, row.shifts)))
+                first.append(spans[:, 0].tolist())
+                last.append(spans[:, 1].tolist())
             yield pd.DataFrame({"id": frame["id"], "hash": frame["hash"], "first": first, "last": last})
 
     return pairs.mapInPandas(extend, "id string, hash long, first array<long>, last array<long>")
@@ -96,16 +120,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     pairs = at.join(first, "window").where("at != src")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     pairs = pairs.select(F.col("at.n").cast("string").alias("id"), "at.hash", F.col("src.n").cast("string").alias("src_id"), F.col("src.hash").alias("src_hash"), (F.col("src.place") - F.col("at.place")).alias("shift"), "at.place")
-    diagonals = pairs.groupBy("id", "hash", "src_id", "src_hash", "shift").agg(F.collect_set("place").alias("places"))
-    diagonals = diagonals.where(~(same("id", "src_id") & (F.col("hash") == F.col("src_hash")) & (F.col("shift") >= 0)))
+    pairs = pairs.where(~(same("id", "src_id") & (F.col("hash") == F.col("src_hash")) & (F.col("shift") >= 0)))
+    meetings = pairs.groupBy("id", "hash", "src_id", "src_hash").agg(F.collect_set(F.struct("place", "shift")).alias("at"))
     lines = seen.where(F.size("windows") > 0).select("id", "hash", "lines").groupBy("id", "hash").agg(F.first("lines").alias("lines"))
     mine = lines.select(F.coalesce("id", F.lit("")).alias("k"), F.col("hash").alias("h"), F.col("lines").alias("mine"))
-    theirs = lines.select(F.coalesce("id", F.lit("")).alias("k2"), F.col("hash").alias("h2"), F.col("lines").alias("all"))
-    joined = diagonals.join(mine, (F.coalesce("id", F.lit("")) == F.col("k")) & (F.col("hash") == F.col("h")))
+    theirs = lines.select(F.coalesce("id", F.lit("")).alias("k2"), F.col("hash").alias("h2"), F.col("lines").alias("theirs"))
+    joined = meetings.join(mine, (F.coalesce("id", F.lit("")) == F.col("k")) & (F.col("hash") == F.col("h")))
     joined = joined.join(theirs, (F.coalesce("src_id", F.lit("")) == F.col("k2")) & (F.col("src_hash") == F.col("h2")))
-    # the other document's lines beside mine; null where it has none
-    beside = F.transform(F.col("mine"), lambda _, i: F.when(i + F.col("shift") >= 0, F.get(F.col("all"), i + F.col("shift"))))
-    joined = joined.select("id", "hash", "places", "mine", F.transform(beside, lambda x, i: F.coalesce(x, F.bitwise_not(F.get(F.col("mine"), i)))).alias("theirs"))
+    joined = joined.select("id", "hash", "mine", "theirs", F.col("at.place").alias("places"), F.col("at.shift").alias("shifts"))
     found = runs(joined).select("id", "hash", F.explode(F.arrays_zip("first", "last")).alias("r"))
     return found.groupBy("id", "hash").agg(F.collect_set("r").alias("runs")).select("id", "hash", F.sort_array("runs").alias("runs"))
 
@@ -115,13 +137,16 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``removed_lines`` (array of first, last). A text that is a copy as a whole becomes empty.
 
     A null text stays null. Empty tables stay empty. The first place of a run, by doc_id and
-    line, stays. Runs shorter than ``min_words`` words stay.
+    line, stays. Runs shorter than ``min_words`` words stay. Repeated rows come out alike, as often
+    as they came in; columns of ``docs`` named ``removed_lines`` are replaced, others kept.
     """
     docs = docs.drop("removed_lines")
-    found = repeated_runs(docs, min_words).select(F.coalesce("id", F.lit("")).alias("_k"), F.col("hash").alias("_h"), F.col("runs").alias("_runs"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    out = keyed.join(found, (F.col("_id") == F.col("_k")) & (F.col("_text_hash") == F.col("_h")), "left")
-    gone = lambda i: F.exists(F.col("_runs"), lambda r: (r["first"] <= i) & (r["last"] >= i))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~gone(i)), "\n")
-    spans = F.coalesce(F.col("_runs"), F.array().cast("array<struct<first:bigint,last:bigint>>"))
-    return out.select(*[F.when(F.col("_runs").isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], spans.alias("removed_lines"))
+    own_id, own_hash, other_id, other_hash, runs_ = fresh(docs, "own_id", "own_hash", "other_id", "other_hash", "line_runs")
+    text = F.col("text").cast("string")
+    found = repeated_runs(docs, min_words).select(F.coalesce("id", F.lit("")).alias(other_id), F.col("hash").alias(other_hash), F.col("runs").alias(runs_))
+    keyed = docs.withColumn(own_id, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn(own_hash, F.xxhash64(F.coalesce(text, F.lit(""))))
+    out = keyed.join(found, (F.col(own_id) == F.col(other_id)) & (F.col(own_hash) == F.col(other_hash)), "left")
+    gone = lambda i: F.exists(F.col(runs_), lambda r: (r["first"] <= i) & (r["last"] >= i))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~gone(i)), "\n")
+    spans = F.coalesce(F.col(runs_), F.array().cast("array<struct<first:bigint,last:bigint>>"))
+    return out.select(*[F.when(F.col(runs_).isNotNull(), left).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], spans.alias("removed_lines"))

@@ -17,10 +17,12 @@ _own_folder: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder all executors share. A local one only where Spark itself is local and names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="tidelog-"))
     return _own_folder[0]
@@ -53,6 +55,17 @@ def written_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have, one for each of ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
