@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import words_of, written
+from tidelog.llm.shared import fresh, words_of, written
 
 SEED = 42
 SHINGLE = 3
@@ -53,14 +53,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the signed 64-bit fingerprint ``fp`` of every row."""
+@F.pandas_udf(T.LongType())
+def simhash_of(texts: pd.Series) -> pd.Series:
+    """The fingerprint of each text as a signed number."""
+    return pd.Series(np.array([fingerprint(t) for t in texts], dtype="<u8").view("<i8"))
 
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], dtype="<u8").view("<i8"))
 
-    return docs.select("doc_id", of(F.col("text").cast("string")).alias("fp"))
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and the signed 64-bit fingerprint ``fp`` of every row."""
+    return docs.select("doc_id", simhash_of(F.col("text").cast("string")).alias("fp"))
 
 
 def _segment(fp: str, i: int) -> Column:
@@ -109,32 +110,38 @@ def links(distinct: DataFrame) -> DataFrame:
     return near.union(met).distinct()
 
 
+def _with_least(prints: DataFrame) -> DataFrame:
+    """fp and least: the smallest ``key`` of all rows whose fingerprints are linked to fp's."""
+    classes = prints.groupBy("fp").agg(F.min("key").alias("first"))
+    roots = components(written(links(classes.select("fp")), "simhash-links"))
+    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = classes.groupBy("root").agg(F.min("first").alias("least"))
+    return classes.join(least, "root").select("fp", "least")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id, links.
+    """One row per row of ``docs``: doc_id, fingerprint (hex), component_id.
 
     ``component_id`` is the smallest doc_id that can be reached by links of at most
-    two bits; ``links`` counts the other distinct fingerprints linked to a row's own.
-    Null and empty texts have fingerprint zero and link like any other. A null doc_id
+    two bits. Null and empty texts have fingerprint zero and link like any other. A null doc_id
     is kept and is never the smallest unless its whole component is null. Repeated rows
-    come out as often as they came in; an empty table gives an empty table.
+    come out as often as they came in; an empty table gives an empty table. Other columns of
+    ``docs`` are left out.
     """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     prints = written(fingerprints(docs), "simhash-prints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = written(links(classes.select("fp")), "simhash-links")
-    roots = components(found)
-    both = found.union(found.select("b", "a"))
-    degree = both.distinct().groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "fp")
-    classes = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = classes.where("fp != root").groupBy("root").agg(F.min("first").alias("least"))
-    head = classes.where("fp = root").select("root", F.col("first").alias("own"))
-    least = head.join(smallest, "root", "left").select("root", F.least("own", "least").alias("component_id"))
-    classes = classes.join(least, "root").join(degree, "fp", "left")
-    out = prints.join(classes.select("fp", "component_id", "links"), "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    out = prints.join(_with_least(prints.withColumn("key", key)), "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; ids must be unique."""
-    keep = near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    marked = keep.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(marked, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of ``docs`` for each component: that with the smallest doc_id (null last, then by a
+    hash of the text). All columns are kept; an empty table gives an empty table."""
+    own_hash, kept_id, kept_hash = fresh(docs, "own_hash", "kept_id", "kept_hash")
+    text_hash = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    prints = docs.select("doc_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", text_hash.alias("hash")).alias("key"), simhash_of(F.col("text").cast("string")).alias("fp"))
+    least = _with_least(written(prints.select("key", "fp"), "simhash-prints"))
+    kept = least.select(F.col("least.doc_id").alias(kept_id), F.col("least.hash").alias(kept_hash)).distinct()
+    hashed = docs.withColumn(own_hash, text_hash)
+    found = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash)), "left_semi")
+    return found.dropDuplicates(["doc_id", own_hash]).drop(own_hash)
