@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import json
 import random
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -63,22 +64,27 @@ def test_history_is_the_poll_by_poll_rule(spark, misses):
     assert sorted((r.category, r.item_id, r.poll_epoch, r.event_type) for r in got.collect()) == sorted(expected)
 
 
-def test_streamed_snapshots_equal_history(spark, tmp_path):
+def test_streamed_snapshots_equal_history(spark):
     rnd = random.Random(9)
     epochs = [1, 2, 4, 5, 6, 9]
     history = {e: {i: (rnd.choice([5, 6, 7]), rnd.choice("ab")) for i in range(5) if rnd.random() < 0.6 or i == 0} for e in epochs}
-    store, emitted = {"b": spark.createDataFrame([], "category string, item_id long, price decimal(18,2), content_hash string, miss_count int")}, []
-    first = history[1]
-    store["b"] = spark.createDataFrame([("c", i, Decimal(p), h, 0) for i, (p, h) in first.items()], store["b"].schema)
+    history[5] = {}  # a poll that found nothing counts as a miss
+    schema = "category string, item_id long, price decimal(18,2), content_hash string, miss_count int"
+    store, emitted = {"b": spark.createDataFrame([], schema), "last": {}}, []
 
-    def save(df, epoch):
-        rows = [tuple(r) for r in df.select("category", "item_id", "price", "content_hash", "miss_count").collect()]
-        store["b"] = spark.createDataFrame(rows, "category string, item_id long, price decimal(18,2), content_hash string, miss_count int")
+    def save(events, baseline, epoch):
+        emitted.extend((r.item_id, r.poll_epoch, r.event_type) for r in events.collect())
+        store["b"] = spark.createDataFrame([tuple(r) for r in baseline.select("category", "item_id", "price", "content_hash", "miss_count").collect()], schema)
+        store["last"]["c"] = epoch
 
-    run = jobs.snapshot_batches(lambda: store["b"], save, lambda df, e: emitted.extend((r.item_id, r.poll_epoch, r.event_type) for r in df.collect()), 2)
-    rows = [("c", i, e, Decimal(p), h, 0) for e in epochs[1:] for i, (p, h) in history[e].items()]
-    run(spark.createDataFrame(rows, LOT + ", place int"), 0)
-    assert sorted(emitted) == rule(history, 2)
+    taken = lambda: spark.createDataFrame(list(store["last"].items()), "category string, poll_epoch long")
+    run = jobs.snapshot_batches(lambda: store["b"], save, taken, 2)
+    rows = [("c", i, e, Decimal(p), h, 0) for e in epochs for i, (p, h) in history[e].items()]
+    for batch in (epochs[:3], epochs[:3], epochs[3:]):  # the first one comes twice
+        polls = spark.createDataFrame([("c", e) for e in batch], "category string, poll_epoch long")
+        run(spark.createDataFrame([r for r in rows if r[2] in batch], LOT + ", place int"), polls, 0)
+    assert emitted[0] == (None, 1, "snapshot_initialized")
+    assert sorted(emitted[1:]) == rule(history, 2)
 
 
 def test_diff_branches(spark):
@@ -127,6 +133,67 @@ def test_append_twice_changes_nothing(spark, tmp_path):
     assert [r.n_events for r in pages] == [2, 2, 2] and pages[-1].next_seq == 6
 
 
+def test_a_repeated_or_crashed_run_loses_nothing(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/log"
+    rows = spark.createDataFrame([event(i) for i in range(5)], EVENT)
+    log.commit(rows, folder, 1, ["event_id"])
+    log.commit(rows, folder, 1, ["event_id"])
+    assert log.read(spark, folder).count() == 5
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # after the events, before the marker
+        m.setattr(log, "_mark", crash)
+        with pytest.raises(RuntimeError):
+            log.commit(spark.createDataFrame([event(8)], EVENT), folder, 2, ["event_id"], rows.limit(1))
+    assert log.read(spark, folder).count() == 5 and log.read_baseline(spark, folder, EVENT).count() == 0
+    log.commit(spark.createDataFrame([event(8), event(9)], EVENT), folder, 2, ["event_id"], rows.limit(1))
+    assert sorted((r.seq, r.event_id) for r in log.read(spark, folder).collect())[5:] == [(6, "e8"), (7, "e9")]
+    assert log.read_baseline(spark, folder, EVENT).count() == 1
+
+
+def test_pruning_rewrites_affected_runs_and_keeps_the_head(spark, tmp_path):
+    folder = f"file://{tmp_path}/log"
+    at = lambda i, day: (f"e{i}", "new_lot", 1, str(i), datetime(2026, 1, day), f"h{i}", "{}", 1)
+    log.commit(spark.createDataFrame([at(1, 1), at(2, 20)], EVENT), folder, 1, ["event_id"])
+    log.commit(spark.createDataFrame([at(3, 21), at(4, 22)], EVENT), folder, 2, ["event_id"])
+    cursors = spark.createDataFrame([("a", 3), ("b", 9)], "consumer_name string, last_seq long")
+    now = F.lit(datetime(2026, 2, 15))
+    assert log.rewrite_pruned(spark, folder, cursors, now, 1) == 1  # the age rule keeps 2 and 3
+    assert sorted(r.seq for r in log.read(spark, folder).collect()) == [2, 3, 4]
+    assert log.rewrite_pruned(spark, folder, cursors, F.lit(datetime(2026, 6, 1)), 1) == 2
+    assert sorted(r.seq for r in log.read(spark, folder).collect()) == [4]
+    assert log.rewrite_pruned(spark, folder, cursors.withColumn("last_seq", F.lit(9)), F.lit(datetime(2026, 6, 1)), 1) == 1
+    log.commit(spark.createDataFrame([at(5, 1)], EVENT), folder, 3, ["event_id"])
+    assert [(r.seq, r.event_id) for r in log.read(spark, folder).collect()] == [(5, "e5")]
+
+
+def test_no_threshold_before_the_purchase(spark):
+    end = datetime(2026, 1, 2)
+    watched = spark.createDataFrame([(1, end, end - timedelta(hours=3))], "item_id long, guarantee_end timestamp, watched_from timestamp")
+    ticks = spark.createDataFrame([(end - timedelta(hours=h),) for h in (20, 5, 2)], "tick timestamp")
+    assert [(r.tick, r.label) for r in feeds.threshold_crossings(watched, ticks).collect()] == [(end - timedelta(hours=2), "6h")]
+
+
+def test_dead_letters_can_be_decoded_again(spark):
+    rows = spark.createDataFrame([("new_lot", "7", datetime(2026, 1, 1, 5), "h", 2, '{"a":1}')], "event_type string, aggregate_id string, occurred_at timestamp, content_hash string, schema_version int, payload string")
+    packed = rows.select(pl.pack_dead_letter(*[F.col(c) for c in rows.columns]).alias("p"))
+    assert json.loads(packed.collect()[0].p)["_meta"].keys() == {"event_type", "aggregate_id", "occurred_at", "content_hash", "schema_version"}
+    assert packed.select(*pl.unpack_dead_letter(F.col("p"))).collect() == rows.collect()
+
+
+def test_fan_out_by_scope_is_the_match_of_each_pair(spark):
+    rnd = random.Random(1)
+    logged = [(k, rnd.choice(["new_lot", "rating_changed"]), json.dumps({x: rnd.choice(["a", "b", "1"]) for x in ("category", "account_alias", "other") if rnd.random() < 0.6})) for k in range(60)] + [(99, "new_lot", None), (98, "new_lot", "no json")]
+    asked = [(f"s{k}", rnd.sample(["new_lot", "rating_changed", "x"], 2), {x: rnd.choice("ab1") for x in ("category", "account_alias", "other") if rnd.random() < 0.4}, k % 7 != 0) for k in range(40)]
+    rows = spark.createDataFrame(logged, "seq long, event_type string, payload string")
+    sub = spark.createDataFrame(asked, "consumer_name string, event_types array<string>, filters map<string,string>, active boolean")
+    parsed = lambda p: json.loads(p) if p and p[0] == "{" else {}
+    expected = sorted((n, k) for n, types, f, on in asked for k, t, p in logged if on and t in types and all(parsed(p).get(x) == v for x, v in f.items()))
+    assert sorted((r.consumer_name, r.seq) for r in consume.fan_out(rows, sub).collect()) == expected
+
+
 def test_peek_and_confirm(spark):
     rows = spark.createDataFrame([(1, "new_lot", "{}"), (2, "price_dropped", "{}"), (3, "new_lot", "{}")], "seq long, event_type string, payload string")
     sub = spark.createDataFrame([("s", ["new_lot"], {}, True)], "consumer_name string, event_types array<string>, filters map<string,string>, active boolean")
@@ -138,9 +205,9 @@ def test_peek_and_confirm(spark):
 
 
 def test_outcomes(spark):
-    rows = [("a", 1, 1, 500, None, None), ("a", 1, 2, 200, True, None), ("a", 2, 1, 400, None, None), ("a", 3, 1, None, None, "timeout"), ("a", 3, 2, 503, None, None), ("a", 3, 3, 429, None, None), ("a", 4, 1, 200, False, None)]
+    rows = [("a", 1, 1, 500, None, None), ("a", 1, 2, 200, True, None), ("a", 2, 1, 400, None, None), ("a", 3, 1, None, None, "timeout"), ("a", 3, 2, 503, None, None), ("a", 3, 3, 429, None, None), ("a", 4, 1, 200, False, None), ("a", 5, 1, None, None, "unsafe_url:private")]
     got = {r.seq: (r.outcome, r.reason) for r in delivery.outcomes(spark.createDataFrame(rows, "consumer_name string, seq long, attempt long, status int, ok boolean, error string"), 3).collect()}
-    assert got == {1: ("delivered", None), 2: ("dead", "http_400"), 3: ("dead", "http_429"), 4: ("pending", None)}
+    assert got == {1: ("delivered", None), 2: ("dead", "http_400"), 3: ("dead", "http_429"), 4: ("pending", None), 5: ("dead", "unsafe_url:private")}
 
 
 def test_rating_stream_equals_batch(spark, tmp_path):
@@ -167,8 +234,6 @@ def test_router_needs_types():
 
 
 def test_guarantee_stream_equals_levels(spark, tmp_path):
-    from datetime import datetime, timedelta
-
     end, ticks = datetime(2026, 1, 2), [datetime(2026, 1, 1) - timedelta(hours=2) + timedelta(hours=5 * k) for k in range(8)]
     rows = spark.createDataFrame([(i, end + timedelta(hours=i), t) for i in range(3) for t in ticks], "item_id long, guarantee_end timestamp, tick timestamp")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))

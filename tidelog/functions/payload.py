@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -57,16 +55,6 @@ def canonical_json(body: pd.Series, event_id: pd.Series, event_type: pd.Series,
     return pd.Series(out)
 
 
-def hmac_pads(secrets: Mapping[str, str]) -> Column:
-    """A map literal from each known secret's name to its two 64-byte pads, computed once."""
-    pads = []
-    for name, secret in secrets.items():
-        key = secret.encode()
-        key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-        pads += [F.lit(name), F.struct(F.lit(bytearray(b ^ 0x36 for b in key)).alias("inner"), F.lit(bytearray(b ^ 0x5C for b in key)).alias("outer"))]
-    return F.create_map(*pads)
-
-
 def _xor_pad(key_hex: Column, with_byte: int) -> Column:
     """64 bytes of a hex key, each combined with one byte, as binary (built-in functions only)."""
     table = "".join(f"{a:x}" for a in range(16))
@@ -94,11 +82,17 @@ def verify(header: Column, body: Column, inner: Column, outer: Column) -> Column
     return F.coalesce(header == sign(body, inner, outer), F.lit(False))
 
 
-def pack_dead_letter(consumer: Column, seq: Column, event_id: Column, reason: Column, failed_at: Column, payload_: Column) -> Column:
-    meta = F.to_json(F.struct(consumer.alias("consumer_name"), seq.alias("seq"), event_id.alias("event_id"), reason.alias("reason"), failed_at.alias("failed_at")), {"ignoreNullFields": "false"})
+def pack_dead_letter(event_type: Column, aggregate_id: Column, occurred_at: Column, content_hash: Column, schema_version: Column, payload_: Column) -> Column:
+    """A parked event as one JSON text: ``_meta`` with what its payload doesn't hold, and the payload.
+    Consumer, number, event id and reason are columns beside it."""
+    meta = F.to_json(F.struct(event_type.alias("event_type"), aggregate_id.alias("aggregate_id"), iso(occurred_at).alias("occurred_at"), content_hash.alias("content_hash"), schema_version.alias("schema_version")), {"ignoreNullFields": "false"})
     return F.concat(F.lit('{"_meta":'), meta, F.lit(',"payload":'), F.coalesce(payload_, F.lit("{}")), F.lit("}"))
 
 
 def unpack_dead_letter(packed: Column) -> list[Column]:
+    """The event's columns again."""
     get = lambda k: F.get_json_object(packed, f"$._meta.{k}")
-    return [get("consumer_name").alias("consumer_name"), get("seq").cast("long").alias("seq"), get("event_id").alias("event_id"), get("reason").alias("reason"), get("failed_at").alias("failed_at"), F.get_json_object(packed, "$.payload").alias("payload")]
+    return [
+        get("event_type").alias("event_type"), get("aggregate_id").alias("aggregate_id"), F.to_timestamp(get("occurred_at")).alias("occurred_at"),
+        get("content_hash").alias("content_hash"), get("schema_version").cast("int").alias("schema_version"), F.get_json_object(packed, "$.payload").alias("payload"),
+    ]

@@ -53,21 +53,38 @@ def validated(subscriptions: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
+#: Payload fields that scopes ask for.
+SCOPES = ("category", "account_alias")
+
+
 def fan_out(log: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Each event with each active subscription that matches it.
 
-    An equi-join on the type; a small list of subscriptions goes to the log's tasks by the
-    optimizer's own size check, a long one is shuffled by type."""
+    The payload is read once per event. An equi-join on type and scope: an event stands once for
+    no scope and once for each scope field it has, a subscription for the field it asks for, so
+    only those that ask for more fields are compared with a payload again."""
+    asks = F.col("filters")
+    field = F.lit("")
+    for name in reversed(SCOPES):
+        field = F.when(F.map_contains_key(asks, name), name).otherwise(field)
     asked = subscriptions.where("active").withColumn("event_type", F.explode(F.array_distinct("event_types"))).drop("event_types")
-    return log.join(asked, "event_type").where(payload_matches(F.col("payload"), F.col("filters")))
+    asked = asked.withColumn("_field", field).withColumn("_value", F.coalesce(F.try_element_at(asks, field), F.lit("")))
+    data = F.from_json("payload", "map<string,string>")
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    own = F.transform(F.array(*map(F.lit, SCOPES)), lambda k: pair(k, F.try_element_at(F.col("_data"), k)))
+    pairs = F.concat(F.array(pair(F.lit(""), F.lit(""))), F.filter(F.coalesce(own, F.array().cast("array<struct<k:string,v:string>>")), lambda p: p["v"].isNotNull()))
+    keyed = log.withColumn("_data", data).withColumn("_pair", F.explode(pairs)).withColumn("_field", F.col("_pair.k")).withColumn("_value", F.col("_pair.v")).drop("_data", "_pair")
+    more = F.size("filters") > F.when(F.col("_field") == "", 0).otherwise(1)
+    joined = keyed.join(asked, ["event_type", "_field", "_value"])
+    return joined.where(~more | payload_matches(F.col("payload"), asks)).drop("_field", "_value")
 
 
 def catch_up(log: DataFrame, subscriptions: DataFrame, cursors: DataFrame) -> DataFrame:
     """What each consumer has yet to read: matching events above its cursor (none: 0)."""
     after = subscriptions.join(cursors.select("consumer_name", "last_seq"), "consumer_name", "left").withColumn("last_seq", F.coalesce("last_seq", F.lit(0)))
-    least = after.where("active").agg(F.min("last_seq").alias("_least"))
-    rows = log.join(least, log["seq"] > F.col("_least")).drop("_least")
-    return fan_out(rows, after).where("seq > last_seq")
+    # one number, so that the scan of the log skips what all have read
+    least = after.where("active").agg(F.min("last_seq")).collect()[0][0] or 0
+    return fan_out(log.where(F.col("seq") > least), after).where("seq > last_seq")
 
 
 def peek(log: DataFrame, subscriptions: DataFrame, cursors: DataFrame, limit: int = 100) -> DataFrame:

@@ -15,7 +15,7 @@ def with_body(events: DataFrame) -> DataFrame:
 def outbox(deliveries: DataFrame) -> DataFrame:
     """One row per subscription and event with endpoint, body and headers; needs inner and outer pads."""
     signature = sign(F.col("body"), F.col("inner"), F.col("outer"))
-    headers = F.create_map(F.lit("X-Event-Id"), "event_id", F.lit("X-Event-Type"), "event_type", F.lit("X-Signature"), signature, F.lit("Idempotency-Key"), "event_id")
+    headers = F.create_map(F.lit("X-Event-Id"), "event_id", F.lit("X-Event-Type"), "event_type", F.lit("X-Signature"), signature, F.lit("Idempotency-Key"), "event_id", F.lit("Content-Type"), F.lit("application/json"))
     return deliveries.select("consumer_name", "seq", "endpoint", "body", headers.alias("headers"))
 
 
@@ -25,11 +25,13 @@ def sse_frames(events: DataFrame) -> DataFrame:
 
 
 def classified(attempts: DataFrame) -> DataFrame:
-    """Adds result (delivered, terminal, retry) and reason to attempts (status, ok, error)."""
+    """Adds result (delivered, terminal, retry) and reason to attempts (status, ok, error). An
+    endpoint that isn't safe to call ends the matter; other errors are tried again."""
     good = F.col("status").between(200, 299)
     retry = (F.col("status") >= 500) | F.col("status").isin(408, 429)
     refused = F.coalesce(~F.col("ok"), F.lit(False))
-    result = F.when(F.col("error").isNotNull(), "retry").when(good & ~refused, "delivered").when(good | retry, "retry").otherwise("terminal")
+    unsafe = F.col("error").startswith("unsafe_url:")
+    result = F.when(unsafe, "terminal").when(F.col("error").isNotNull(), "retry").when(good & ~refused, "delivered").when(good | retry, "retry").otherwise("terminal")
     reason = F.when(F.col("error").isNotNull(), F.col("error")).when(good & refused, "receiver_requested_retry").when(~good, F.concat(F.lit("http_"), F.col("status")))
     return attempts.withColumn("result", result).withColumn("reason", reason)
 
@@ -65,7 +67,9 @@ def bus_wait(attempt, base: float, most_wait: float):
 
 
 def dead_letters(outcome: DataFrame, events: DataFrame) -> DataFrame:
-    return outcome.where("outcome = 'dead'").join(events.select("seq", "event_id", "payload"), "seq").select("consumer_name", "seq", "event_id", "reason", "payload")
+    """Dead deliveries with their events: consumer_name, seq, event_id, reason and what an event is made of."""
+    rows = events.select("seq", "event_id", "event_type", "aggregate_id", "occurred_at", "content_hash", "schema_version", "payload")
+    return outcome.where("outcome = 'dead'").join(rows, "seq").select("consumer_name", *rows.columns, "reason")
 
 
 def dead_counts(dead: DataFrame) -> DataFrame:

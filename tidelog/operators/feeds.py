@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidelog.functions.payload import guarantee_time
+from tidelog.functions.payload import guarantee_time, iso, payload, unix_time
 from tidelog.schemas import GUARANTEE_WINDOWS, INVOICE_EVENTS, NOTIFICATION_EVENTS, NOTIFICATION_FALLBACKS, PAYMENT_EVENTS, SEEN_SECONDS
 
 
@@ -19,6 +19,16 @@ def payment_events(operations: DataFrame, table: Mapping[str, str] = PAYMENT_EVE
     return operations.withColumn("event_type", F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("operation_type")))
 
 
+def payment_payload() -> Column:
+    """The payload of a payment event: money as text, the hold's end as ISO-8601 text or null."""
+    c = F.col
+    ends = iso(unix_time(c("hold_end_date")))
+    return payload(
+        operation_id=c("operation_id"), amount=c("amount").cast("string"), currency=c("currency"), counterparty_id=c("counterparty_id"),
+        counterparty_username=c("counterparty_username"), fee=c("fee"), is_hold=c("is_hold"), hold_end_date=ends, item_id=c("item_id"), comment=c("comment"),
+    )
+
+
 def notification_events(notifications: DataFrame, table: Mapping[str, str] = NOTIFICATION_EVENTS) -> DataFrame:
     """Adds aggregate_id, event_type, item_id, claim_id, buyer_id and ``rejected`` (a reason).
 
@@ -99,16 +109,18 @@ def threshold_crossings(watched: DataFrame, ticks: DataFrame, windows: Mapping[s
     """For each watched item: the first tick in each window before its end; of windows that fire
     at one tick only the nearest counts.
 
-    An as-of join: both sides meet in buckets as long as the shortest window or as the
+    Ticks before ``watched_from``, where ``watched`` has that column, are of no account. An as-of
+    join: both sides meet in buckets as long as the shortest window or as the
     longest gap asks, so an item meets a few ticks, never all."""
     size = min(windows.values())
     spans = F.explode(F.map_entries(F.create_map(*[F.lit(x) for pair in windows.items() for x in pair]))).alias("w")
-    items = watched.select("item_id", "guarantee_end", spans).select("item_id", "guarantee_end", F.col("w.key").alias("label"), F.col("w.value").alias("span"))
+    start = F.col("watched_from") if "watched_from" in watched.columns else F.lit(None).cast("timestamp")
+    items = watched.select("item_id", "guarantee_end", start.alias("since"), spans).select("item_id", "guarantee_end", "since", F.col("w.key").alias("label"), F.col("w.value").alias("span"))
     end = F.col("guarantee_end").cast("timestamp").cast("long")
     items = items.withColumn("bucket", F.explode(F.sequence(F.floor((end - F.col("span")) / size), F.floor(end / size))))
     at = ticks.select("tick").withColumn("bucket", F.floor(F.col("tick").cast("timestamp").cast("long") / size))
     tick = F.col("tick").cast("timestamp").cast("long")
-    hit = items.join(at, "bucket").where((tick >= end - F.col("span")) & (tick < end))
+    hit = items.join(at, "bucket").where((tick >= end - F.col("span")) & (tick < end) & (F.col("since").isNull() | (F.col("tick") >= F.col("since"))))
     first = hit.groupBy("item_id", "guarantee_end", "label", "span").agg(F.min("tick").alias("tick"))
     return first.groupBy("item_id", "guarantee_end", "tick").agg(F.min_by("label", "span").alias("label"))
 

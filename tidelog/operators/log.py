@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -25,9 +27,13 @@ def one_log(*families: DataFrame) -> DataFrame:
 
 def stable(rows: DataFrame) -> DataFrame:
     """``rows`` written to the checkpoint folder, so that every later read sees the same partitions."""
-    context = rows.sparkSession.sparkContext
+    spark = rows.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidelog-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^,]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tidelog-"))
     return rows.checkpoint()
 
 
@@ -63,25 +69,48 @@ def head(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("head"))
 
 
-def append(events: DataFrame, log: DataFrame, order: list[str]) -> DataFrame:
-    """The rows to add to the log, numbered from its head on; none for events it has."""
+def append(events: DataFrame, log: DataFrame, order: list[str], head_: int | None = None) -> DataFrame:
+    """The rows to add to the log, numbered from its head (or from ``head_``) on; none for events it has."""
     top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("_head"))
     numbered = positions(new_events(events, log), order, "seq")
+    if head_ is not None:
+        return numbered.withColumn("seq", F.col("seq") + F.lit(head_))
     return numbered.crossJoin(top).withColumn("seq", F.col("seq") + F.col("_head")).drop("_head")
 
 
+LOG_SCHEMA = "seq long, event_id string, event_type string, schema_version int, aggregate_id string, occurred_at timestamp, content_hash string, payload string, poll_epoch long"
+#: Of a run's markers the one with the highest version counts; ``head`` is the log's last number then.
+MARKER = "attempt string, head long"
+
+
+def _markers(spark: SparkSession, folder: str) -> DataFrame:
+    """run, attempt and head of each committed run."""
+    if not _exists(spark, f"{folder}/committed"):
+        return spark.createDataFrame([], "run long, attempt string, head long")
+    rows = spark.read.schema(MARKER + ", run long, version long").option("basePath", f"{folder}/committed").parquet(f"{folder}/committed")
+    return rows.groupBy("run").agg(F.max_by("attempt", "version").alias("attempt"), F.max("head").alias("head"))
+
+
+def _mark(spark: SparkSession, folder: str, run: int, version: int, attempt: str, head_: int) -> None:
+    spark.createDataFrame([(attempt, head_)], MARKER).coalesce(1).write.parquet(f"{folder}/committed/run={run}/version={version}")
+
+
 def commit(events: DataFrame, folder: str, run: int, order: list[str], baseline: DataFrame | None = None) -> None:
-    """Append a run's events and baseline under one run folder; the marker comes last, and readers
-    take only runs with a marker."""
+    """Append a run's events and baseline. A run that is committed already changes nothing.
+
+    Each attempt writes to folders of its own; the marker that names it comes last, so what a
+    crashed attempt left is never read, and a repeated run numbers its events anew."""
     spark = events.sparkSession
-    rows = append(events, read(spark, folder), order)
-    rows.write.mode("overwrite").parquet(f"{folder}/events/run={run}")
+    markers = _markers(spark, folder)
+    state = markers.agg(F.max(F.when(F.col("run") == run, 1)).alias("done"), F.coalesce(F.max("head"), F.lit(0)).alias("head")).collect()[0]
+    if state["done"]:
+        return
+    attempt = uuid.uuid4().hex
+    append(events, read(spark, folder), order, state["head"]).write.parquet(f"{folder}/events/run={run}/attempt={attempt}")
     if baseline is not None:
-        baseline.write.mode("overwrite").parquet(f"{folder}/baseline/run={run}")
-    spark.range(1).select(F.lit(run).cast("long").alias("run")).write.mode("overwrite").parquet(f"{folder}/committed/run={run}")
-
-
-LOG_SCHEMA = "seq long, event_id string, event_type string, schema_version int, aggregate_id string, occurred_at timestamp, content_hash string, payload string, poll_epoch long"
+        baseline.write.parquet(f"{folder}/baseline/run={run}/attempt={attempt}")
+    added = spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/events/run={run}/attempt={attempt}").agg(F.max("seq")).collect()[0][0]
+    _mark(spark, folder, run, 0, attempt, added or state["head"])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -89,13 +118,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    if not _exists(spark, f"{folder}/committed"):
+        return spark.createDataFrame([], LOG_SCHEMA + ", run long, attempt string")
+    rows = spark.read.schema(LOG_SCHEMA + ", run long, attempt string").option("basePath", f"{folder}/events").parquet(f"{folder}/events")
+    return rows.join(_markers(spark, folder).select("run", "attempt"), ["run", "attempt"], "left_semi")
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The log of all committed runs; empty before the first."""
-    if not _exists(spark, f"{folder}/committed"):
-        return spark.createDataFrame([], LOG_SCHEMA)
-    runs = spark.read.schema("run long").option("basePath", f"{folder}/committed").parquet(f"{folder}/committed")
-    rows = spark.read.schema(LOG_SCHEMA + ", run long").option("basePath", f"{folder}/events").parquet(f"{folder}/events")
-    return rows.join(runs.select("run").distinct(), "run", "left_semi").drop("run")
+    return _read_runs(spark, folder).select([c.split()[0] for c in LOG_SCHEMA.split(", ")])
+
+
+def read_baseline(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The baseline of the last committed run; empty before the first."""
+    last = _markers(spark, folder).orderBy(F.desc("run")).limit(1).collect()
+    path = f"{folder}/baseline/run={last[0]['run']}/attempt={last[0]['attempt']}" if last else ""
+    return spark.read.schema(schema).parquet(path) if last and _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def rewrite_pruned(spark: SparkSession, folder: str, cursors: DataFrame, now: Column, months: int) -> int:
+    """Rewrites the runs that hold rows to prune, and only those; how many rows went. The old files
+    are no longer read; the log's head stays, so numbers are never given twice."""
+    mark = cursors.agg(F.min("last_seq").alias("_mark"))
+    judged = _read_runs(spark, folder).crossJoin(F.broadcast(mark)).withColumn("_gone", prunable(F.col("_mark"), now, months))
+    counts = judged.where("_gone").groupBy("run").agg(F.count("*").alias("n")).collect()
+    versions = {}
+    if counts:
+        rows = spark.read.schema(MARKER + ", run long, version long").option("basePath", f"{folder}/committed").parquet(f"{folder}/committed")
+        versions = {r["run"]: (r["version"], r["head"]) for r in rows.groupBy("run").agg(F.max("version").alias("version"), F.max("head").alias("head")).collect()}
+    for r in counts:
+        attempt = uuid.uuid4().hex
+        kept = judged.where((F.col("run") == r["run"]) & ~F.col("_gone")).drop("_mark", "_gone", "run", "attempt")
+        kept.write.parquet(f"{folder}/events/run={r['run']}/attempt={attempt}")
+        version, top = versions[r["run"]]
+        _mark(spark, folder, r["run"], version + 1, attempt, top)
+    return sum(r["n"] for r in counts)
 
 
 def decoded(log: DataFrame, event_type: str, schema: str) -> DataFrame:

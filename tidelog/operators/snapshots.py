@@ -98,6 +98,15 @@ def confirmed(gone: DataFrame, states: DataFrame, cap: int = CONFIRM_CAP) -> Dat
     return out.select(*gone.columns, "r.reason", "r.confidence")
 
 
+def confirmed_events(events: DataFrame, states: DataFrame, cap: int = CONFIRM_CAP) -> DataFrame:
+    """:func:`confirmed` on events of all types: reason and confidence stand at lot_disappeared only."""
+    order = Window.partitionBy("category", "poll_epoch", "event_type").orderBy("item_id")
+    known = states.select("item_id", "item_state", F.lit(True).alias("_found"))
+    looked = events.withColumn("_place", F.row_number().over(order)).join(known, "item_id", "left")
+    why = resolve_reason(F.col("item_state"), F.coalesce("_found", F.lit(False)) & (F.col("_place") <= cap))
+    return looked.withColumn("_why", F.when(F.col("event_type") == "lot_disappeared", why)).select(*events.columns, "_why.reason", "_why.confidence")
+
+
 def lookup(ids: DataFrame, lots: DataFrame) -> DataFrame:
     """Lots of an id list (column ``ids``) with ``pos``; unknown ids are skipped."""
     return ids.select(F.posexplode("ids").alias("pos", "item_id")).join(lots, "item_id").orderBy("pos")

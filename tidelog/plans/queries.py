@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.functions import ids, payload as pl
 from tidelog.operators import consume, delivery, feeds, log, snapshots
+from tidelog.plans import streams
 from tidelog.plans.router import Router, collect_sources
 from tidelog.schemas import EVENT_TYPES
 from tidelog.sources.domain import duckdb_sql, load
+from tidelog.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,19 +54,34 @@ def history(s: SparkSession, d: str) -> DataFrame:
 
 
 def lot_events(s: SparkSession, d: str) -> DataFrame:
-    """The flagship: all lot events of the whole history with ids and payloads."""
-    made = history(s, d).withColumn("aggregate_id", F.col("item_id").cast("string"))
-    marks = snapshots.bootstrap_markers(load(s, d, "lot_observations"), load(s, d, "polls"))
-    marks = marks.select(F.col("category").alias("aggregate_id"), F.lit("snapshot_initialized").alias("event_type"), F.concat(F.lit("bootstrap:"), "lot_count").alias("content_hash"), "poll_epoch", "category")
-    both = made.select("aggregate_id", "event_type", "content_hash", "poll_epoch", "category").unionByName(marks)
-    event_id = ids.event_id(F.col("aggregate_id"), F.col("event_type"), F.col("content_hash"), F.col("poll_epoch"))
-    return both.select(event_id.alias("event_id"), "event_type", "aggregate_id", "content_hash", "poll_epoch", pl.tags(category=F.col("category")).alias("payload"))
+    """The flagship: all lot events of the whole history as rows of the log, confirmed where gone."""
+    polls = load(s, d, "polls")
+    made = snapshots.confirmed_events(history(s, d), load(s, d, "lot_states")).withColumn("aggregate_id", F.col("item_id").cast("string")).withColumn("lot_count", F.lit(None).cast("long"))
+    marks = snapshots.bootstrap_markers(load(s, d, "lot_observations"), polls)
+    marks = marks.select("*", F.col("category").alias("aggregate_id"), F.lit("snapshot_initialized").alias("event_type"), F.concat(F.lit("bootstrap:"), "lot_count").alias("content_hash"))
+    both = made.drop("item_id", "n").unionByName(marks, allowMissingColumns=True)
+    fields = {c: F.col(c).cast("string") for c in ("category", "price", "old_price", "reason", "confidence")} | {"lot_count": F.col("lot_count")}
+    both = both.withColumns({
+        "event_id": ids.event_id(F.col("aggregate_id"), F.col("event_type"), F.col("content_hash"), F.col("poll_epoch")),
+        "schema_version": F.lit(1), "occurred_at": F.timestamp_seconds(F.lit(DAY_ZERO) + F.col("poll_epoch") * POLL_SECONDS), "payload": pl.tags(**fields),
+    })
+    return log.one_log(both)
 
 
-query("flagship_lot_events", f"""with {_LATEST}, marks as (select f.category aggregate_id, 'snapshot_initialized' event_type, 'bootstrap:' || count(distinct o.item_id) content_hash, f.poll_epoch, f.category
+POLL_SECONDS = 30 * 86400
+_FIELD = lambda k: f"""coalesce(',"{k}":"' || {k} || '"', '')"""
+
+
+@query("flagship_lot_events", f"""with {_LATEST}, marks as (select f.category aggregate_id, 'snapshot_initialized' event_type, count(distinct o.item_id) lot_count, f.poll_epoch, f.category
   from (select category, min(poll_epoch) poll_epoch from {{polls}} group by 1) f left join {{lot_observations}} o using (category, poll_epoch) group by all),
- ev as (select cast(item_id as varchar) aggregate_id, event_type, content_hash, poll_epoch, category from history union all select aggregate_id, event_type, content_hash, poll_epoch, category from marks)
- select {UUID} event_id, event_type, aggregate_id, content_hash, poll_epoch, '{{"category":"' || category || '"}}' payload from (select *, {SHA1.format(key="aggregate_id || '|' || event_type || '|' || content_hash || '|' || poll_epoch")} d from ev)""")(lot_events)
+ gone as (select category, item_id, poll_epoch, row_number() over (partition by category, poll_epoch order by item_id) k from history where event_type = 'lot_disappeared'),
+ why as (select category, item_id, poll_epoch, case when item_state is null or k > 5 then 'unknown' when item_state = 'closed' then 'delisted' when item_state in ('sold','paid','purchased') then 'sold' else 'unknown' end reason from gone left join {{lot_states}} using (item_id)),
+ ev as (select cast(h.item_id as varchar) aggregate_id, h.event_type, h.content_hash, h.poll_epoch, '{{"category":"' || h.category || '"' || {_FIELD('price')} || {_FIELD('old_price')} || {_FIELD('reason')} || {_FIELD("confidence")} || '}}' payload
+   from (select h.*, reason, case when reason = 'unknown' then 'low' when reason is not null then 'normal' end confidence from history h left join why on h.event_type = 'lot_disappeared' and h.category = why.category and h.item_id = why.item_id and h.poll_epoch = why.poll_epoch) h
+   union all select aggregate_id, event_type, 'bootstrap:' || lot_count, poll_epoch, '{{"category":"' || category || '","lot_count":' || lot_count || '}}' from marks)
+ select {UUID} event_id, event_type, 1 schema_version, aggregate_id, cast({DAY_ZERO} + poll_epoch * {POLL_SECONDS} as bigint) occurred_secs, content_hash, payload, poll_epoch from (select *, {SHA1.format(key="aggregate_id || '|' || event_type || '|' || content_hash || '|' || poll_epoch")} d from ev)""")
+def _(s, d):
+    return lot_events(s, d).withColumn("occurred_at", F.unix_seconds("occurred_at")).withColumnRenamed("occurred_at", "occurred_secs")
 
 
 @query("wn1_last_wins", "select category, item_id, poll_epoch, price, content_hash from (select *, row_number() over (partition by category, item_id, poll_epoch order by l_shipdate desc, l_orderkey desc, l_linenumber desc, price desc, l_suppkey desc) k from {lot_observations}) where k = 1")
@@ -93,16 +110,16 @@ def _(s, d):
     return rows.withColumn("r", pl.resolve_reason(F.col("item_state"), F.col("item_state").isNotNull())).select("item_id", "r.reason", "r.confidence")
 
 
-# one poll against a baseline: months 24 (misses counted by item id) and 25
+# the poll of month 25 against the baseline of all months before, misses counted by item id
 _POLL = """snap as (select category, item_id, price, content_hash from (select *, row_number() over (partition by category, item_id order by l_shipdate desc, l_orderkey desc, l_linenumber desc, price desc, l_suppkey desc) k from {lot_observations} where mon = 25) where k = 1),
- base as (select category, item_id, price, content_hash, item_id % 3 miss_count from (select *, row_number() over (partition by category, item_id order by l_shipdate desc, l_orderkey desc, l_linenumber desc, price desc, l_suppkey desc) k from {lot_observations} where mon between 20 and 24) where k = 1)"""
+ base as (select category, item_id, price, content_hash, item_id % 3 miss_count from (select *, row_number() over (partition by category, item_id order by l_shipdate desc, l_orderkey desc, l_linenumber desc, price desc, l_suppkey desc) k from {lot_observations} where mon < 25) where k = 1)"""
 
 
 def one_poll(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     obs = load(s, d, "lot_observations")
     keys = ["category", "item_id"]
     snap = snapshots.last_wins(obs.where("mon = 25"), keys, POSITION).select(*keys, "price", "content_hash")
-    base = snapshots.last_wins(obs.where("mon between 20 and 24"), keys, POSITION).select(*keys, "price", "content_hash", (F.col("item_id") % 3).alias("miss_count"))
+    base = snapshots.last_wins(obs.where("mon < 25"), keys, POSITION).select(*keys, "price", "content_hash", (F.col("item_id") % 3).alias("miss_count"))
     return base, snap
 
 
@@ -153,9 +170,9 @@ def _(s, d):
     return snapshots.top_lots(load(s, d, "lots"), "price_to_down", 25).select("item_id", "price")
 
 
-@query("tk3_newest_per_poll", "select category, poll_epoch, item_id, l_orderkey, l_linenumber from (select *, row_number() over (partition by category, poll_epoch order by l_shipdate desc, item_id, l_orderkey, l_linenumber, price, l_suppkey) k from {lot_observations}) where k <= 10 and mon > 40")
+@query("tk3_newest_per_poll", "select category, poll_epoch, item_id, l_orderkey, l_linenumber from (select *, row_number() over (partition by category, poll_epoch order by l_shipdate desc, item_id, l_orderkey, l_linenumber, price, l_suppkey) k from {lot_observations}) where k <= 10")
 def _(s, d):
-    rows = load(s, d, "lot_observations").where("mon > 40")
+    rows = load(s, d, "lot_observations")
     ranked = rows.withColumn("published_at", F.col("l_shipdate")).withColumn("id_", F.col("item_id")).withColumn("item_id", F.struct("item_id", "l_orderkey", "l_linenumber", "price", "l_suppkey"))
     return snapshots.newest_per_poll(ranked, 10).select("category", "poll_epoch", F.col("id_").alias("item_id"), "l_orderkey", "l_linenumber")
 
@@ -207,12 +224,20 @@ def _(s, d):
     return feeds.invoice_events(load(s, d, "invoices")).select("invoice_id", "event_type", "dedup_key")
 
 
-@query("io2_invoice_bodies", "select invoice_id, status from {invoices} where status <> 'refunded'")
+@query("io2_invoice_bodies", "select status <> 'refunded' good, invoice_id, case when status <> 'refunded' then status end status from {invoices}")
 def _(s, d):
     from tidelog.sources.pages import parsed_invoices
 
     body = F.when(F.col("status") == "refunded", F.concat(F.lit('{"invoice_id":'), "invoice_id")).otherwise(F.to_json(F.struct("invoice_id", "status", "event_id", F.lit("x").alias("other"))))
-    return parsed_invoices(load(s, d, "invoices").select(body.alias("body")))[0].select("invoice_id", "status")
+    good, rejected = parsed_invoices(load(s, d, "invoices").select(body.alias("body")))
+    bad = rejected.select(F.lit(False).alias("good"), F.regexp_extract("body", "inv-[0-9]+", 0).alias("invoice_id"), F.lit(None).cast("string").alias("status"))
+    return good.select(F.lit(True).alias("good"), "invoice_id", "status").unionByName(bad)
+
+
+@query("pj1_payment_payload", """select operation_id, amount, '{"operation_id":' || operation_id || ',"amount":"' || amount || '","currency":"' || currency || '","counterparty_id":' || coalesce(cast(counterparty_id as varchar), 'null') || ',"counterparty_username":"' || counterparty_username || '","fee":' || fee || ',"is_hold":' || is_hold
+ || ',"hold_end_date":' || coalesce('"' || strftime(make_timestamp(nullif(hold_end_date, 0) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '"', 'null') || ',"item_id":' || item_id || ',"comment":"' || comment || '"}' payload from {payments}""")
+def _(s, d):
+    return load(s, d, "payments").select("operation_id", "amount", feeds.payment_payload().alias("payload"))
 
 
 @query("pj4_payload_tags", "select user_id, poll, case when user_id % 20 <> 7 then '{\"account_alias\":\"acct-' || user_id % 20 || '\"}' else '{}' end payload from {profiles}")
@@ -271,10 +296,10 @@ def ticks(s: SparkSession, d: str) -> DataFrame:
     return ends.select(F.explode(F.sequence("lo", F.col("hi") + 18000, F.lit(18000).cast("long"))).alias("t")).select(F.timestamp_seconds("t").alias("tick"))
 
 
-@query("jn11_threshold_crossings", f"""with ticks as ({_TICKS}), first as (select item_id, ends, label, span, lo + 18000 * greatest(0, cast(ceil((ends - span - lo) / 18000) as bigint)) t from {{watched}} cross join (values ('24h', 86400), ('6h', 21600), ('1h', 3600)) w(label, span) cross join (select min(t) lo from ticks)),
+@query("jn11_threshold_crossings", f"""with ticks as ({_TICKS}), first as (select item_id, ends, label, span, lo + 18000 * greatest(0, cast(ceil((greatest(ends - span, happened) - lo) / 18000) as bigint)) t from {{watched}} cross join (values ('24h', 86400), ('6h', 21600), ('1h', 3600)) w(label, span) cross join (select min(t) lo from ticks)),
  hit as (select * from first where t < ends) select item_id, ends guarantee_end, t tick, arg_min(label, span) label from hit group by 1, 2, 3""")
 def _(s, d):
-    watched = load(s, d, "watched").select("item_id", F.timestamp_seconds("ends").alias("guarantee_end"))
+    watched = load(s, d, "watched").select("item_id", F.timestamp_seconds("ends").alias("guarantee_end"), F.timestamp_seconds("happened").alias("watched_from"))
     out = feeds.threshold_crossings(watched, ticks(s, d))
     return out.select("item_id", F.unix_seconds("guarantee_end").alias("guarantee_end"), F.unix_seconds("tick").alias("tick"), "label")
 
@@ -373,12 +398,11 @@ def _(s, d):
 _NOW = "(select max(happened) from {event_log})"
 
 
-@query("job_op1_prune", f"select seq from {{event_log}} where not (seq <= (select min(last_seq) + 400 from {{cursors}}) and happened < {_NOW} - 86400 * 10)".replace("86400 * 10", "86400 * 30 * 0"))
+@query("job_op1_prune", f"select seq from {{event_log}} where not (seq <= (select min(last_seq) from {{cursors}}) and happened < {_NOW} - 86400 * 10)")
 def _(s, d):
     rows = stored(s, d)
     now = rows.agg(F.max("occurred_at")).collect()[0][0]
-    cursors = load(s, d, "cursors").withColumn("last_seq", F.col("last_seq") + 400)
-    return log.prune(rows, cursors, F.lit(now), 0)[0].select("seq")
+    return log.prune(rows, load(s, d, "cursors"), F.lit(now) + F.expr("interval 20 days"), 1)[0].select("seq")
 
 
 # ---- consumers
@@ -458,16 +482,6 @@ def _(s, d):
     return consume.replayed(load(s, d, "cursors"), "sink:5", 17)
 
 
-_DEAD = "select consumer_name, seq from {matched} where seq % 50 = 0"
-
-
-@query("job_op3_redrive", f"with dead as ({_DEAD}) select c.consumer_name, case when c_custkey % 2 = 0 and m is not null then greatest(m - 1, 0) else last_seq end last_seq from {{cursors}} c join {{subscriptions}} using (consumer_name) left join (select consumer_name, min(seq) m from dead group by 1) using (consumer_name) union all select s.consumer_name, greatest(min(seq) - 1, 0) from dead join {{subscriptions}} s using (consumer_name) where c_custkey % 2 = 0 and s.consumer_name not in (select consumer_name from {{cursors}}) group by 1")
-def _(s, d):
-    dead = load(s, d, "matched").where("seq % 50 = 0").select("consumer_name", "seq")
-    who = load(s, d, "subscriptions").where("c_custkey % 2 = 0").select("consumer_name")
-    return consume.redriven(dead, load(s, d, "cursors"), who)[1]
-
-
 @query("job_op4_start_position", "select consumer_name, case when transport in ('webhook', 'polling') then case when backfill then 0 else (select count(*) from {events}) end else greatest(coalesce(try_cast(case c_custkey % 3 when 0 then 'abc' when 1 then '-4' else cast(c_custkey as varchar) end as bigint), 0), 0) end start from {subscriptions}")
 def _(s, d):
     given = F.expr("case c_custkey % 3 when 0 then 'abc' when 1 then '-4' else cast(c_custkey as string) end")
@@ -488,24 +502,29 @@ def _(s, d):
 
 # ---- delivery
 
-_BODY = """'{"aggregate_id":"' || aggregate_id || '","category":"' || category || '","event_id":"' || raw_id || '","event_type":"' || event_type || '","occurred_at":"' || strftime(make_timestamp(happened * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '","schema_version":1,"seq":' || seq || '}'"""
+_BODY = """'{' || case when account_alias is not null then '"account_alias":"' || account_alias || '",' else '' end || '"aggregate_id":"' || aggregate_id || case when category is not null then '","category":"' || category else '' end || '","event_id":"' || raw_id || '","event_type":"' || event_type || '","occurred_at":"' || strftime(make_timestamp(happened * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '","schema_version":1,"seq":' || seq || '}'"""
 
 
 def bodies(s: SparkSession, d: str) -> DataFrame:
-    rows = stored(s, d).where("category is not null").withColumn("event_id", F.col("raw_id").cast("string"))
-    return delivery.with_body(rows)
+    return delivery.with_body(stored(s, d).withColumn("event_id", F.col("raw_id").cast("string")))
 
 
-@query("sc4_canonical", f"select seq, {_BODY} body from {{event_log}} where category is not null")
+@query("sc4_canonical", f"select seq, {_BODY} body from {{event_log}}")
 def _(s, d):
     return bodies(s, d).select("seq", "body")
 
 
-@query("sc5_io5_outbox", None)
+_PAD = lambda n: f"unhex(array_to_string(list_transform(range(0, 64), lambda i: printf('%02x', xor(case when i < length(secret) then ascii(substr(secret, cast(i as int) + 1, 1)) else 0 end, {n}))), ''))"
+
+
+@query("sc5_io5_outbox", f"""with keys as (select consumer_name, c_custkey, {_PAD(54)} ipad, {_PAD(92)} opad from (select *, 's-' || consumer_name secret from {{subscriptions}})),
+ sent as (select k.consumer_name, l.seq, 'https://example.org/' || k.c_custkey endpoint, {_BODY} body, ipad, opad, cast(raw_id as varchar) event_id from (select consumer_name, seq m_seq from {{matched}}) m join keys k using (consumer_name) join {{event_log}} l on l.seq = m_seq)
+ select consumer_name, seq, endpoint, body, 'sha256=' || sha256(opad || unhex(sha256(ipad || encode(body)))) signature, event_id idempotency_key, 'application/json' content_type from sent""")
 def _(s, d):
-    """HMAC has no DuckDB function; tests compare with Python's hmac."""
     who = pl.with_pads(subs(s, d).withColumn("secret", F.concat(F.lit("s-"), "consumer_name")).withColumn("endpoint", F.concat(F.lit("https://example.org/"), "c_custkey")), "secret")
-    return delivery.outbox(consume.fan_out(bodies(s, d).drop("category", "account_alias"), who.drop("account_alias")))
+    out = delivery.outbox(consume.fan_out(bodies(s, d).drop("category", "account_alias"), who.drop("account_alias")))
+    header = lambda k: F.element_at("headers", k)
+    return out.select("consumer_name", "seq", "endpoint", "body", header("X-Signature").alias("signature"), header("Idempotency-Key").alias("idempotency_key"), header("Content-Type").alias("content_type"))
 
 
 @query("io6_sse_frames", "select seq, 'id: ' || seq || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || payload || chr(10) || chr(10) frame from {event_log}")
@@ -513,7 +532,7 @@ def _(s, d):
     return delivery.sse_frames(slim(s, d).withColumn("data", F.col("payload")))
 
 
-_CLASS = """cl as (select *, case when error is not null then 'retry' when status between 200 and 299 and coalesce(ok, true) then 'delivered' when status between 200 and 299 or status >= 500 or status in (408, 429) then 'retry' else 'terminal' end result,
+_CLASS = """cl as (select *, case when error like 'unsafe_url:%' then 'terminal' when error is not null then 'retry' when status between 200 and 299 and coalesce(ok, true) then 'delivered' when status between 200 and 299 or status >= 500 or status in (408, 429) then 'retry' else 'terminal' end result,
  case when error is not null then error when status between 200 and 299 and not coalesce(ok, true) then 'receiver_requested_retry' when not status between 200 and 299 then 'http_' || status end reason from {attempts} where attempt <= 4)"""
 _OUT = _CLASS + """, ends as (select consumer_name, seq, min(attempt) filter (result <> 'retry') e from cl group by 1, 2), live as (select cl.* from cl join ends using (consumer_name, seq) where e is null or attempt <= e),
  done as (select consumer_name, seq, arg_max(result, attempt) last_, arg_max(coalesce(reason, ''), attempt) r, count(*) n_attempts from live group by 1, 2),
@@ -530,11 +549,24 @@ def _(s, d):
     return delivery.dead_counts(delivery.dead_letters(delivery.outcomes(load(s, d, "attempts"), 4), stored(s, d)))
 
 
-@query("sc8_dead_letters", f"with {_OUT} select consumer_name, seq, r reason, payload from outc join {{event_log}} using (seq) where outcome = 'dead'")
+def dead(s: SparkSession, d: str) -> DataFrame:
+    return delivery.dead_letters(delivery.outcomes(load(s, d, "attempts"), 4), stored(s, d))
+
+
+@query("sc8_dead_letters", f"with {_OUT} select consumer_name, seq, r reason, event_type, aggregate_id, happened, content_hash, schema_version, payload from outc join {{event_log}} using (seq) where outcome = 'dead'")
+def _(s, d):
+    c = F.col
+    packed = dead(s, d).select("consumer_name", "seq", "reason", pl.pack_dead_letter(c("event_type"), c("aggregate_id"), c("occurred_at"), c("content_hash"), c("schema_version"), c("payload")).alias("packed"))
+    out = packed.select("consumer_name", "seq", "reason", *pl.unpack_dead_letter(F.col("packed")))
+    return out.withColumn("happened", F.unix_seconds("occurred_at")).drop("occurred_at")
+
+
+@query("job_op3_redrive", f"""with {_OUT}, dead as (select consumer_name, seq from outc where outcome = 'dead')
+ select c.consumer_name, case when c_custkey % 2 = 0 and m is not null then greatest(m - 1, 0) else last_seq end last_seq from {{cursors}} c join {{subscriptions}} using (consumer_name) left join (select consumer_name, min(seq) m from dead group by 1) using (consumer_name)
+ union all select s.consumer_name, greatest(min(seq) - 1, 0) from dead join {{subscriptions}} s using (consumer_name) where c_custkey % 2 = 0 and s.consumer_name not in (select consumer_name from {{cursors}}) group by 1""")
 def _(s, d):
-    dead = delivery.dead_letters(delivery.outcomes(load(s, d, "attempts"), 4), stored(s, d))
-    packed = dead.select(pl.pack_dead_letter(F.col("consumer_name"), F.col("seq"), F.col("event_id"), F.col("reason"), F.lit("2026-01-01T00:00:00+00:00"), F.col("payload")).alias("packed"))
-    return packed.select(*pl.unpack_dead_letter(F.col("packed"))).select("consumer_name", "seq", "reason", "payload")
+    who = load(s, d, "subscriptions").where("c_custkey % 2 = 0").select("consumer_name")
+    return consume.redriven(dead(s, d).select("consumer_name", "seq"), load(s, d, "cursors"), who)[1]
 
 
 @query("wn8_retry_schedule", f"""with {_CLASS}, rt as (select *, coalesce(sum(case when reason = 'receiver_requested_retry' then 0 else 1 end) over (partition by consumer_name, seq order by attempt rows between unbounded preceding and 1 preceding), 0) k from cl where result = 'retry'),
@@ -574,3 +606,40 @@ def _(s, d):
         return m.select(ids.event_id(F.col("message_id").cast("string"), F.lit("new_message"), ids.keyed_hash("message", F.col("message_id")), F.lit(1)).alias("event_id"), F.lit("new_message").alias("event_type"), F.lit(1).alias("schema_version"), F.col("conversation_id").cast("string").alias("aggregate_id"), F.lit(None).cast("timestamp").alias("occurred_at"), ids.keyed_hash("message", F.col("message_id")).alias("content_hash"), F.lit("{}").alias("payload"), F.lit(1).cast("long").alias("poll_epoch"))
 
     return collect_sources(source).groupBy("aggregate_id").agg(F.count("*").alias("n_events"))
+
+
+# ---- streams: tables that Spark derives, read as files that arrive, by all that is there
+
+def rating_rows(s: SparkSession, d: str) -> DataFrame:
+    return load(s, d, "profiles").select("user_id", "poll", *[F.col(c).cast("int").alias(c) for c in ("user_like_count", "user_dislike_count")])
+
+
+@query("ss2_deduplicated", "select seq, event_type from {event_log}")
+def _(s, d):
+    rows = stored(s, d).select("event_id", "seq", "event_type", "occurred_at")
+    return streams.run(rows.union(rows), jobs.deduplicated, "ss2").select("seq", "event_type")
+
+
+@query("ss3_rating_deltas", """select user_id, poll, cast(delta_likes as int) delta_likes, cast(delta_dislikes as int) delta_dislikes from (select *, user_like_count - lag(user_like_count) over w delta_likes, user_dislike_count - lag(user_dislike_count) over w delta_dislikes from {profiles} window w as (partition by user_id order by poll)) where delta_likes <> 0 or delta_dislikes <> 0""")
+def _(s, d):
+    return streams.run(rating_rows(s, d), jobs.rating_deltas, "ss3").select("user_id", "poll", "delta_likes", "delta_dislikes")
+
+
+@query("ss4_guarantee_levels", f"""with rows_ as (select item_id, tick, {_LEVEL} level from (select item_id, ends - 90000 + k * 5000 tick, ends - (ends - 90000 + k * 5000) l from {{watched}} cross join (select unnest(range(0, 20)) k)))
+ select item_id, tick, case level when 1 then '24h' when 2 then '6h' else '1h' end as label from (select *, coalesce(max(level) over (partition by item_id order by tick rows between unbounded preceding and 1 preceding), 0) most from rows_) where level > most""")
+def _(s, d):
+    rows = load(s, d, "watched").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19)).cast("array<bigint>")))
+    rows = rows.select("item_id", F.timestamp_seconds("ends").alias("guarantee_end"), F.timestamp_seconds(F.expr("ends - 90000 + k * 5000")).alias("tick"))
+    return streams.run(rows, jobs.guarantee_timers, "ss4").select("item_id", F.unix_seconds("tick").alias("tick"), "label")
+
+
+@query("ss6_poison", "select seq, seq % 97 = 0 parked from {event_log}")
+def _(s, d):
+    rows = stored(s, d).select("seq", F.col("event_id"), "payload")
+    handler = lambda df: df.withColumn("error", F.when(F.col("seq") % 97 == 0, "boom"))
+    return streams.run_batches(rows, lambda done, parked: jobs.handled(handler, parked, done, 2), "ss6").select("seq", "parked")
+
+
+@query("ss5_ss7_subscribed", "select seq from {event_log} where seq > 300 and event_type in ('new_lot', 'lot_updated') and category = 'small'")
+def _(s, d):
+    return streams.run(slim(s, d), lambda log_: jobs.subscribed(log_, ["new_lot", "lot_updated"], {"category": "small"}, 300), "ss7").select("seq")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,21 +14,33 @@ from tidelog.operators.consume import payload_matches
 from tidelog.schemas import GUARANTEE_WINDOWS, SEEN_SECONDS
 
 
-def snapshot_batches(load: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], emit: Callable[[DataFrame, int], None], misses: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: lots of one or more polls against the stored baseline, poll by poll."""
+def snapshot_batches(load: Callable[[], DataFrame], save: Callable[[DataFrame, DataFrame, int], None], polled_: Callable[[], DataFrame], misses: int) -> Callable[[DataFrame, DataFrame, int], None]:
+    """Lots of one or more polls against the stored baseline, poll by poll: call it with the batch's
+    lots and its polls (category, poll_epoch; polls that found nothing too).
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        for row in batch.select("poll_epoch").distinct().orderBy("poll_epoch").collect():
-            poll = batch.where(F.col("poll_epoch") == row[0])
-            # only the categories that were polled can miss a lot
+    ``polled_`` gives the last epoch taken of each category (category, poll_epoch): a category's first
+    poll only seeds and tells one snapshot_initialized, and polls already taken are left out, so
+    a replayed batch changes nothing. ``save(events, baseline, epoch)`` keeps both in one step."""
+
+    def run(lots: DataFrame, polls: DataFrame, batch_id: int) -> None:
+        for row in polls.select("poll_epoch").distinct().orderBy("poll_epoch").collect():
+            before = polled_()
+            taken = before.select("category", F.col("poll_epoch").alias("_last"))
+            now = polls.where(F.col("poll_epoch") == row[0]).select("category").distinct().join(taken, "category", "left").where(F.col("_last").isNull() | (F.col("_last") < row[0]))
+            if now.isEmpty():
+                continue  # taken already
+            poll = snapshots.last_wins(lots.where(F.col("poll_epoch") == row[0]).join(now.select("category"), "category", "left_semi"), snapshots.KEY, ["place"])
             base = load()
-            polled = base.join(poll.select("category").distinct(), "category", "left_semi")
-            compared = snapshots.diff(polled, snapshots.last_wins(poll, snapshots.KEY, ["place"]))
+            # only the categories that were polled can miss a lot
+            compared = snapshots.diff(base.join(now.select("category"), "category", "left_semi"), poll)
             after = snapshots.next_baseline(compared, misses)
+            first = now.where("_last is null").select("category")
             gone = after.where("ripe").select(*snapshots.KEY, F.lit("lot_disappeared").alias("event_type"))
-            emit(compared.where("event_type is not null").select(*snapshots.KEY, "event_type").unionByName(gone).withColumn("poll_epoch", F.lit(row[0])), row[0])
-            other = base.join(poll.select("category").distinct(), "category", "left_anti")
-            save(after.where("not ripe").drop("ripe").unionByName(other.select(*after.columns[:-1])), row[0])
+            told = compared.where("event_type is not null").join(first, "category", "left_anti").select(*snapshots.KEY, "event_type").unionByName(gone)
+            marks = first.select("category", F.lit(None).cast("long").alias("item_id"), F.lit("snapshot_initialized").alias("event_type"))
+            events = told.unionByName(marks).withColumn("poll_epoch", F.lit(row[0]))
+            other = base.join(now.select("category"), "category", "left_anti")
+            save(events, after.where("not ripe").drop("ripe").unionByName(other.select(*after.columns[:-1])), row[0])
 
     return run
 
@@ -85,22 +98,27 @@ def subscribed(log: DataFrame, event_types: list[str], filters: dict[str, str],
     return log.where((F.col("seq") > starting_seq) & F.col("event_type").isin(event_types) & payload_matches(F.col("payload"), asked))
 
 
-def handled(handler: Callable[[DataFrame], DataFrame], park: Callable[[DataFrame], None], done: Callable[[DataFrame], None], attempts: int = 3) -> Callable[[DataFrame, int], None]:
+def handled(handler: Callable[[DataFrame], DataFrame], park: Callable[[DataFrame], None], done: Callable[[DataFrame], None], attempts: int = 3, wait: float = 0.0, most_wait: float = 8.0) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: ``handler`` adds a column ``error`` (null: fine). Rows that still fail
-    after ``attempts`` tries are parked with their reason, and the stream goes on."""
+    after ``attempts`` tries, with doubled waits between, are parked with their reason, and the
+    stream goes on."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rest = batch.persist()
+        held = [batch.persist()]
         try:
-            for _ in range(attempts):
-                tried = handler(rest).persist()
+            for k in range(attempts):
+                if k and wait:
+                    time.sleep(min(wait * 2 ** (k - 1), most_wait))
+                tried = handler(held[-1]).persist()
+                held.append(tried)
                 done(tried.where("error is null").drop("error").orderBy("seq"))
-                failed = tried.where("error is not null").persist()
+                failed = tried.where("error is not null")
                 if failed.isEmpty():
                     return
-                rest = failed.drop("error")
+                held.append(failed.drop("error"))
             park(failed.select("seq", "event_id", F.col("error").alias("reason"), "payload"))
         finally:
-            batch.unpersist()
+            for frame in reversed(held):
+                frame.unpersist()
 
     return run
