@@ -1,4 +1,8 @@
-"""Documents to packed sequences: five stages, each written as Parquet and read again."""
+"""Documents to packed sequences: five stages, each written as Parquet and read again.
+
+Every stage takes null ids and texts, empty and very long texts, repeated rows and empty tables;
+what it does with them stands in its docstring. Columns beyond those of documents are left out.
+"""
 
 from __future__ import annotations
 
@@ -14,28 +18,33 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model doesn't predict toxic."""
+    """Documents that the model doesn't predict toxic. Null and empty texts score 0 and stay;
+    repeated rows stay or go together."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).where("predicted = 0").select(COLUMNS)
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the cascade."""
+    """Documents that pass the base rule and the cascade. Null and empty texts fail and go; repeated
+    rows stay or go together."""
     return quality_rules.kept_rows(docs.select(COLUMNS))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; later repeated runs of lines are gone from their texts."""
+    """All documents; later repeated runs of lines are gone from their texts. A text that repeats
+    others as a whole becomes empty and stays; rows with the same id and text count as one."""
     return line_dedup.line_dedup(docs).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
+    """The document with the smallest id of each near-duplicate group (a null id only where all are
+    null). Empty texts are copies of each other; of repeated rows one stays."""
     return simhash.deduplicated(docs).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of each document, with its sequence and place there."""
+    """A row per piece of each document, with its sequence and place there. An empty or null text is
+    one piece with the end alone; repeated rows are packed each on their own."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
