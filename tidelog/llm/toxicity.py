@@ -36,6 +36,9 @@ STEPS = 200
 #: Parts of the sample that are scored by a model of the others, for calibration.
 FOLDS = 3
 PREDICTED_FROM = 0.7
+#: A toxic document that is missed counts as much as so many clean ones that are rejected: the odds
+#: of every score are raised by it.
+MISS_COST = 3.0
 #: Probability from which a sentence counts as offending.
 OFFENDING = 0.5
 
@@ -84,7 +87,8 @@ class Model:
 
 
 def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through logits ``x`` and labels ``y``, by Newton's steps."""
+    """Slope and shift of the logistic curve through logits ``x`` and labels ``y``, by Newton's steps,
+    with the odds raised by MISS_COST."""
     x = np.clip(x, -30, 30)
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     w = np.array([1.0, 0.0])
@@ -94,7 +98,7 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         grad = design.T @ (p - target) + 1e-3 * (w - (1.0, 0.0))
         hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         w = w - np.clip(np.linalg.solve(hessian, grad), -1, 1)
-    return max(float(w[0]), 0.05), float(w[1])
+    return max(float(w[0]), 0.05), float(w[1]) + float(np.log(MISS_COST))
 
 
 def fit_calibrated(texts: list[str | None], labels: list[int]) -> Model:
