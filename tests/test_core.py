@@ -254,3 +254,30 @@ def test_consumer_stream_and_streamed_dedup(spark, tmp_path):
     assert run(jobs.subscribed(source(), ["new_lot"], {"category": "steam"}, 2), "tail") and run(jobs.deduplicated(source()), "once")
     assert sorted(r.seq for r in spark.table("tail").collect()) == [5, 7, 11]
     assert sorted(r.event_id for r in spark.table("once").collect()) == ["e0", "e1", "e2", "e3"]
+
+
+PAYMENT = (
+    "account_id long, operation_id long, operation_type string, amount decimal(18,2), counterparty_id long, is_hold boolean, hold_end_date long, item_id long,"
+    " currency string, counterparty_username string, fee int, comment string"
+)
+
+
+def test_payment_job(spark):
+    kind = next(iter(feeds.PAYMENT_EVENTS))
+    row = lambda account, op, type_=kind, amount="1.50": (account, op, type_, Decimal(amount), None, False, 0, None, "rub", None, 0, None)
+    first = spark.createDataFrame([row(1, 5), row(1, 6), row(1, 6), row(1, 7, "no such type"), row(2, 1)], PAYMENT)
+    marks = spark.createDataFrame([(1, 5), (3, 9)], "account_id long, mark long")
+    nothing = spark.createDataFrame([], "operation_id long, content_hash string")
+    at = F.timestamp_seconds(F.lit(0))
+    events, seen, after = feeds.payment_job(first, marks, nothing, 1, at)
+    got = events.collect()
+    assert sorted(r.operation_id for r in got) == [1, 6] and {r.event_type for r in got} == {feeds.PAYMENT_EVENTS[kind]}
+    assert json.loads(got[0].payload)["amount"] == "1.50" and log.one_log(events).count() == 2
+    assert sorted(r.operation_id for r in seen.collect()) == [1, 6, 7]
+    assert {tuple(r) for r in after.collect()} == {(1, 7), (2, 1), (3, 9)}
+    # the same poll again, before its marks are kept: only a changed amount passes
+    again = first.union(spark.createDataFrame([row(1, 6, amount="2.50")], PAYMENT))
+    assert [(r.operation_id, json.loads(r.payload)["amount"]) for r in feeds.payment_job(again, marks, seen, 2, at)[0].collect()] == [(6, "2.50")]
+    # and with its marks, nothing
+    assert feeds.payment_job(again, after, nothing, 2, at)[0].count() == 0
+    assert feeds.payment_job(first.limit(0), marks, nothing, 1, at)[2].count() == 2

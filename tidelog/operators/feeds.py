@@ -6,8 +6,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidelog.functions.ids import event_id, payment_hash
 from tidelog.functions.payload import guarantee_time, iso, payload, unix_time
-from tidelog.schemas import GUARANTEE_WINDOWS, INVOICE_EVENTS, NOTIFICATION_EVENTS, NOTIFICATION_FALLBACKS, PAYMENT_EVENTS, SEEN_SECONDS
+from tidelog.schemas import EVENT_COLUMNS, GUARANTEE_WINDOWS, INVOICE_EVENTS, NOTIFICATION_EVENTS, NOTIFICATION_FALLBACKS, PAYMENT_EVENTS, SEEN_SECONDS
 
 
 def mapped(column: Column, table: Mapping[str, str]) -> Column:
@@ -76,6 +77,28 @@ def new_marks(rows: DataFrame, key: str, id_: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max(id_).alias("mark"))
 
 
+def advanced_marks(rows: DataFrame, marks: DataFrame, key: str, id_: str) -> DataFrame:
+    """The marks after ``rows``: each key's greatest id so far; a mark never goes back."""
+    both = marks.select(key, "mark").unionByName(new_marks(rows, key, id_))
+    return both.groupBy(key).agg(F.max("mark").alias("mark"))
+
+
+def payment_job(operations: DataFrame, marks: DataFrame, seen: DataFrame, poll_epoch: int, occurred_at: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One poll of the payment feeds: log events (with operation_id, by which they are in order), rows
+    newly seen (operation_id, content_hash) and the accounts' marks after it.
+
+    Operations at or below their account's mark, and pairs of id and hash that are seen, give
+    nothing. Unmapped operations are marked as seen and give no event. Repeated rows count once;
+    a changed amount or type is another event."""
+    rows = above_mark(operations, marks, "account_id", "operation_id")
+    rows = rows.withColumn("content_hash", payment_hash(F.col("operation_id"), F.col("operation_type"), F.col("amount").cast("string")))
+    new = unseen(rows.dropDuplicates(["operation_id", "content_hash"]), seen, "operation_id", "content_hash")
+    typed = payment_events(new).where("event_type is not null")
+    events = typed.withColumns({"aggregate_id": F.col("operation_id").cast("string"), "poll_epoch": F.lit(poll_epoch).cast("long"), "schema_version": F.lit(1), "occurred_at": occurred_at, "payload": payment_payload()})
+    events = events.withColumn("event_id", event_id(F.col("aggregate_id"), F.col("event_type"), F.col("content_hash"), F.col("poll_epoch")))
+    return events.select("operation_id", *EVENT_COLUMNS), new.select("operation_id", "content_hash"), advanced_marks(rows, marks, "account_id", "operation_id")
+
+
 def feed_changed(rows: DataFrame, marks: DataFrame, key: str, id_: str) -> DataFrame:
     """Per feed: its newest id, and whether that differs from the mark."""
     return new_marks(rows, key, id_).withColumnRenamed("mark", "newest").join(marks, key, "left").select(key, "newest", (~F.col("newest").eqNullSafe(F.col("mark"))).alias("changed"))

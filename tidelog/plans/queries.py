@@ -234,8 +234,11 @@ def _(s, d):
     return good.select(F.lit(True).alias("good"), "invoice_id", "status").unionByName(bad)
 
 
-@query("pj1_payment_payload", """select operation_id, amount, '{"operation_id":' || operation_id || ',"amount":"' || amount || '","currency":"' || currency || '","counterparty_id":' || coalesce(cast(counterparty_id as varchar), 'null') || ',"counterparty_username":"' || counterparty_username || '","fee":' || fee || ',"is_hold":' || is_hold
- || ',"hold_end_date":' || coalesce('"' || strftime(make_timestamp(nullif(hold_end_date, 0) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '"', 'null') || ',"item_id":' || item_id || ',"comment":"' || comment || '"}' payload from {payments}""")
+_PAYMENT_JSON = """'{"operation_id":' || operation_id || ',"amount":"' || amount || '","currency":"' || currency || '","counterparty_id":' || coalesce(cast(counterparty_id as varchar), 'null') || ',"counterparty_username":"' || counterparty_username || '","fee":' || fee || ',"is_hold":' || is_hold
+ || ',"hold_end_date":' || coalesce('"' || strftime(make_timestamp(nullif(hold_end_date, 0) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '"', 'null') || ',"item_id":' || item_id || ',"comment":"' || comment || '"}'"""
+
+
+@query("pj1_payment_payload", f"select operation_id, amount, {_PAYMENT_JSON} payload from {{payments}}")
 def _(s, d):
     return load(s, d, "payments").select("operation_id", "amount", feeds.payment_payload().alias("payload"))
 
@@ -262,6 +265,41 @@ def _(s, d):
     return feeds.above_mark(load(s, d, "payments"), load(s, d, "payment_marks"), "account_id", "operation_id").select("account_id", "operation_id", "amount")
 
 
+_ABOVE = """above as (select p.*, sha256(operation_id || ':' || operation_type || ':' || amount) content_hash
+  from {payments} p left join {payment_marks} m using (account_id) where operation_id > coalesce(mark, 0)),
+ fresh as (select distinct * from above where operation_id % 7 <> 0)"""
+
+
+def payment_poll(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A poll after which every seventh operation has been seen before."""
+    rows = load(s, d, "payments")
+    hash_ = ids.payment_hash(F.col("operation_id"), F.col("operation_type"), F.col("amount").cast("string"))
+    seen = rows.where("operation_id % 7 = 0").select("operation_id", hash_.alias("content_hash")).distinct()
+    return feeds.payment_job(rows, load(s, d, "payment_marks"), seen, 1, F.timestamp_seconds(F.lit(DAY_ZERO)))
+
+
+@query("job_payment_feed", f"""with {_ABOVE}, typed as (select *, {_MAPPED} event_type from fresh where {_MAPPED} is not null),
+ keyed as (select *, {SHA1.format(key="operation_id || '|' || event_type || '|' || content_hash || '|1'")} d from typed)
+ select cast(row_number() over (order by operation_id, content_hash) + (select max(seq) from {{event_log}}) as bigint) seq, {UUID} event_id, event_type,
+  cast(operation_id as varchar) aggregate_id, content_hash, {_PAYMENT_JSON} payload, cast(1 as bigint) poll_epoch from keyed""")
+def _(s, d):
+    events, _seen, _marks = payment_poll(s, d)
+    before = load(s, d, "event_log").select("seq", F.col("raw_id").cast("string").alias("event_id"), "poll_epoch")
+    added = log.append(events, before, ["operation_id", "content_hash"])
+    return added.select("seq", "event_id", "event_type", "aggregate_id", "content_hash", "payload", "poll_epoch")
+
+
+@query("job_payment_seen", f"with {_ABOVE} select distinct operation_id, content_hash from fresh")
+def _(s, d):
+    return payment_poll(s, d)[1]
+
+
+@query("job_payment_marks", f"""with {_ABOVE} select account_id, max(mark) mark from (select account_id, mark from {{payment_marks}}
+ union all select account_id, operation_id from above) group by 1""")
+def _(s, d):
+    return payment_poll(s, d)[2]
+
+
 @query("jn8_new_marks", "select account_id, max(operation_id) mark from {payments} group by 1")
 def _(s, d):
     return feeds.new_marks(load(s, d, "payments"), "account_id", "operation_id")
