@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from tidelog.llm import ann, bpe_words, gru_lm, license_scan, line_dedup, packing, quality_rules, simhash, token_files, toxicity
+from tidelog.llm import ann, bpe_words, gru_lm, license_scan, line_dedup, mixing, packing, quality_rules, simhash, source_audit, token_files, toxicity, whitening
 from tidelog.llm.shared import table
 
 
@@ -56,6 +56,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs).drop("text", "failed_rule")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -68,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_bpe": op9_bpe,
         "op10_token_files": op10_token_files,
+        "op11_source_audit": op11_source_audit,
+        "op12_whitening": op12_whitening,
+        "op13_mixing": op13_mixing,
     }
 
 
@@ -85,6 +100,44 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 
 
+OP11_SQL = r"""
+with d as (select coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') ts from documents),
+kept as (select lang, term from (select lang, unnest(list_distinct(ts)) term from d) group by all having count(*) >= 30),
+v as (select lang, count(*) v from kept group by lang),
+c as (select lang, source, term, count(*) c from (select lang, source, unnest(ts) term from d) semi join kept using (lang, term) group by all),
+g as (select distinct lang, source from d),
+full_ as (select g.lang, g.source, k.term, coalesce(c.c, 0) c from g join kept k on k.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+n as (select lang, source, sum(c) n from full_ group by all),
+ln as (select lang, term, sum(c) lc, sum(sum(c)) over (partition by lang) l_n from full_ group by lang, term),
+p as (select f.lang, f.source, f.term, f.c, 1 + (1000000000::hugeint * (f.c + 5)) // (n.n + 5 * v.v) p, 1 + (1000000000::hugeint * (ln.lc + 5)) // (ln.l_n + 5 * v.v) q
+  from full_ f join n on n.lang = f.lang and n.source = f.source join v on v.lang = f.lang join ln on ln.lang = f.lang and ln.term = f.term),
+pairs as (select a.lang, a.source, 'pair' part, b.source item, sum(abs(a.p - b.p)) value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+  union all select a.lang, a.source, 'pair', b.source, 0 from g a join g b on a.lang = b.lang and a.source <> b.source where a.lang not in (select lang from v)),
+both_ as (select * from pairs union all select lang, source, 'term', term, p - q from p where c > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) rank from both_)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from r where part = 'pair' or rank <= 50
+"""
+
+OP13_SQL = r"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size, md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')) key from documents),
+s as (select source, sum(size) source_size, row_number() over (order by source nulls last) - 1 num from d group by source),
+w as (select *, [3.0, 1.0, 2.0][num % 3 + 1] w, [4.0, 1.0, 1.0][num % 3 + 1] lo, [2.0, 1.0, 3.0][num % 3 + 1] hi from s),
+o as (select *, source_size * 2.0 as cap, coalesce(sum(source_size * 2.0) over r, 0) full_, coalesce(sum(w) over r, 0) w_full, sum(w) over () w_all, sum(source_size) over () * 1.5 total from w
+  window r as (order by source_size * 2.0 / w, num rows between unbounded preceding and 1 preceding)),
+lv as (select total - full_ as rest, w_all - w_full as open_ from o where (total - full_) * w <= cap * (w_all - w_full) order by source_size * 2.0 / w, num limit 1),
+t as (select o.*, cast(case when cast(rest as double) * cast(w as double) > cast(cap as double) * cast(open_ as double) then cast(cap as double) else least(cast(rest as double) * cast(w as double) / cast(open_ as double), cast(cap as double)) end as double) target from o cross join lv),
+c as (select d.doc_id, d.key, d.size, t.source_size, t.target, t.num, cast(t.lo as double) lo, cast(t.hi as double) hi, sum(d.size) over (partition by t.num order by d.key, d.doc_id rows between unbounded preceding and current row) - d.size as before_
+  from d join t on d.source is not distinct from t.source),
+e as (select *, before_ + k * source_size as start from c cross join (select unnest([0, 1]) k)),
+p as (select *, least(size, cast(floor(target) as bigint) - start) len from e where size > 0),
+q as (select *, least((start + len / 2.0) / target, 1.0) * ((lo + hi) / 2) need from p where len > 0),
+x as (select *, (case when need <= 0 then 0 else 2 * need / (lo + sqrt(greatest(lo * lo + 2 * (hi - lo) * need, 0))) end) pos from q),
+y as (select *, sum(len) over (order by pos, num, start rows between unbounded preceding and current row) - len as place from x),
+z as (select key, doc_id, num, sum(len) taken, count(*) pieces, min(place) first_place from y group by all)
+select c.doc_id, c.size, cast(c.source_size as bigint) as source_size, c.target, cast(coalesce(z.taken, 0) as bigint) as taken, coalesce(z.pieces, 0) as pieces, cast(z.first_place as bigint) as first_place from c left join z on z.key = c.key and z.num = c.num and z.doc_id is not distinct from c.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express an operator; the others are tested against plain Python."""
-    return {"op8_quality_rules": OP8_SQL}
+    return {"op8_quality_rules": OP8_SQL, "op11_source_audit": OP11_SQL, "op13_mixing": OP13_SQL}
