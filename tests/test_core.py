@@ -210,16 +210,6 @@ def test_outcomes(spark):
     assert got == {1: ("delivered", None), 2: ("dead", "http_400"), 3: ("dead", "http_429"), 4: ("pending", None), 5: ("dead", "unsafe_url:private")}
 
 
-def test_rating_stream_equals_batch(spark, tmp_path):
-    rows = spark.createDataFrame([(1, 1, 10, 2), (1, 2, 13, 3), (1, 3, 13, 3), (2, 1, 0, 0), (2, 2, 0, 1)], "user_id long, poll long, user_like_count int, user_dislike_count int")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = jobs.rating_deltas(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("ratings").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    got = sorted((r.user_id, r.poll, r.delta_likes, r.delta_dislikes) for r in spark.table("ratings").collect())
-    assert got == sorted((r.user_id, r.poll, r.delta_likes, r.delta_dislikes) for r in feeds.rating_changes(rows).collect()) == [(1, 2, 3, 1), (2, 2, 0, 1)]
-
-
 def test_poison_is_parked_and_the_rest_goes_on(spark):
     parked, done = [], []
     handler = lambda df: df.withColumn("error", F.when(F.col("seq") == 2, "boom"))
@@ -233,18 +223,6 @@ def test_router_needs_types():
         Router().on()
 
 
-def test_guarantee_stream_equals_levels(spark, tmp_path):
-    end, ticks = datetime(2026, 1, 2), [datetime(2026, 1, 1) - timedelta(hours=2) + timedelta(hours=5 * k) for k in range(8)]
-    rows = spark.createDataFrame([(i, end + timedelta(hours=i), t) for i in range(3) for t in ticks], "item_id long, guarantee_end timestamp, tick timestamp")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = jobs.guarantee_timers(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("timers").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    got = sorted((r.item_id, r.tick, r.label) for r in spark.table("timers").collect())
-    expected = sorted((r.item_id, r.tick, {1: "24h", 2: "6h", 3: "1h"}[r.level]) for r in feeds.guarantee_levels(rows).collect())
-    assert got == expected and got
-
-
 def test_consumer_stream_and_streamed_dedup(spark, tmp_path):
     rows = spark.createDataFrame([(k, f"e{k % 4}", "new_lot" if k % 2 else "lot_updated", '{"category":"steam"}' if k % 3 else "{}") for k in range(12)], "seq long, event_id string, event_type string, payload string")
     rows = rows.withColumn("occurred_at", F.timestamp_seconds(F.col("seq") * 60))

@@ -649,18 +649,41 @@ def _(s, d):
 # ---- streams: tables that Spark derives, read as files that arrive, by all that is there
 
 def rating_rows(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "profiles").select("user_id", "poll", *[F.col(c).cast("int").alias(c) for c in ("user_like_count", "user_dislike_count")])
+    return load(s, d, "profiles").select("user_id", "poll", F.timestamp_seconds(F.col("poll") * 86400).alias("polled_at"), *[F.col(c).cast("int").alias(c) for c in ("user_like_count", "user_dislike_count")])
+
+
+def arriving_twice(rows: DataFrame) -> list[DataFrame]:
+    """Parts in order of time, each with the rows of the part before once more."""
+    parts, _ = streams.out_of_order(rows, F.unix_seconds("occurred_at"), tuple(range(streams.SLICES)))
+    return [parts[0].union(parts[0]), *[now.union(before) for before, now in zip(parts, parts[1:])]]
 
 
 @query("ss2_deduplicated", "select seq, event_type from {event_log}")
 def _(s, d):
     rows = stored(s, d).select("event_id", "seq", "event_type", "occurred_at")
-    return streams.run(rows.union(rows), jobs.deduplicated, "ss2").select("seq", "event_type")
+    return streams.run(arriving_twice(rows), jobs.deduplicated, "ss2").select("seq", "event_type")
+
+
+@query("ss2_after_a_day", "select seq, event_type from {event_log} union all select seq, event_type from {event_log} where seq % 10 = 0")
+def _(s, d):
+    """Marks leave state after a day: an id that comes again three weeks later is new."""
+    rows = stored(s, d).select("event_id", "seq", "event_type", "occurred_at")
+    again = rows.where("seq % 10 = 0").withColumn("occurred_at", F.col("occurred_at") + F.expr("interval 21 days"))
+    return streams.run(arriving_twice(rows.union(again)), jobs.deduplicated, "ss2").select("seq", "event_type")
 
 
 @query("ss3_rating_deltas", """select user_id, poll, cast(delta_likes as int) delta_likes, cast(delta_dislikes as int) delta_dislikes from (select *, user_like_count - lag(user_like_count) over w delta_likes, user_dislike_count - lag(user_dislike_count) over w delta_dislikes from {profiles} window w as (partition by user_id order by poll)) where delta_likes <> 0 or delta_dislikes <> 0""")
 def _(s, d):
-    return streams.run(rating_rows(s, d), jobs.rating_deltas, "ss3").select("user_id", "poll", "delta_likes", "delta_dislikes")
+    parts, late = streams.out_of_order(rating_rows(s, d), F.unix_seconds("polled_at"))
+    return streams.run([*parts, later(parts[0], "polled_at", late)], lambda rows: jobs.rating_deltas(rows, late), "ss3").select("user_id", "poll", "delta_likes", "delta_dislikes")
+
+
+def later(rows: DataFrame, time: str, late: str) -> DataFrame:
+    """One row of nobody, so late that the watermark passes all others when it has come."""
+    names = [f.name for f in rows.schema.fields if f.name != time]
+    end = F.make_timestamp(F.lit(2100), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.expr(f"interval '{late.split()[0]}' second")
+    one = rows.sparkSession.range(1).select(*[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names], end.alias(time))
+    return one.select(rows.columns)
 
 
 @query("ss4_guarantee_levels", f"""with rows_ as (select item_id, tick, {_LEVEL} level from (select item_id, ends - 90000 + k * 5000 tick, ends - (ends - 90000 + k * 5000) l from {{watched}} cross join (select unnest(range(0, 20)) k)))
@@ -668,7 +691,30 @@ def _(s, d):
 def _(s, d):
     rows = load(s, d, "watched").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19)).cast("array<bigint>")))
     rows = rows.select("item_id", F.timestamp_seconds("ends").alias("guarantee_end"), F.timestamp_seconds(F.expr("ends - 90000 + k * 5000")).alias("tick"))
-    return streams.run(rows, jobs.guarantee_timers, "ss4").select("item_id", F.unix_seconds("tick").alias("tick"), "label")
+    parts, late = streams.out_of_order(rows, F.unix_seconds("tick"))
+    found = streams.run([*parts, later(rows, "tick", late)], lambda r: jobs.guarantee_levels(r, late), "ss4")
+    return found.select("item_id", F.unix_seconds("tick").alias("tick"), "label")
+
+
+# a purchase puts an item on the list; some ends move 50,000 s before, some items go 10,000 s before the end
+_TIMED = """walk as (select item_id, happened lo, case when item_id % 5 = 0 and ends - 50000 > happened then ends - 50000 when item_id % 7 = 0 and ends - 10000 > happened then ends - 10000 else ends end hi, ends,
+   item_id % 5 = 0 and ends - 50000 > happened moved from {watched}),
+ w as (select * from (values ('24h', 86400), ('6h', 21600), ('1h', 3600)) w(label, span)),
+ first_ as (select item_id, label, span, greatest(lo, ends - span) fires, ends, moved, hi from walk cross join w where ends > lo),
+ early as (select * from first_ where fires < hi),
+ more as (select f.item_id, f.label, f.span, greatest(f.hi, f.ends + 100000 - f.span) fires, f.ends + 100000 ends from first_ f where f.moved and not f.fires < f.hi),
+ fired as (select item_id, label, span, fires, ends from early union all select * from more)"""
+
+
+@query("ss4_guarantee_timers", f"with {_TIMED} select item_id, fires as tick, arg_min(label, span) label, ends guarantee_end from fired group by item_id, fires, ends")
+def _(s, d):
+    rows = load(s, d, "watched").withColumn("moves", F.expr("item_id % 5 = 0 and ends - 50000 > happened")).withColumn("goes", F.expr("not moves and item_id % 7 = 0 and ends - 10000 > happened"))
+    row = lambda kind, tick, ends: F.struct(F.lit(kind).alias("kind"), F.timestamp_seconds(F.expr(tick)).alias("tick"), F.timestamp_seconds(F.expr(ends)).alias("guarantee_end"))
+    every = F.array(row("seed", "happened", "ends"), F.when(F.col("moves"), row("read", "ends - 50000", "ends + 100000")), F.when(F.col("goes"), row("gone", "ends - 10000", "cast(null as bigint)")))
+    rows = rows.select("item_id", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("r")).select("item_id", "r.kind", "r.tick", "r.guarantee_end")
+    parts, late = streams.out_of_order(rows, F.unix_seconds("tick"))
+    found = streams.run([*parts, later(rows, "tick", late)], lambda r: jobs.guarantee_timers(r, late), "ss4-timers")
+    return found.select("item_id", F.unix_seconds("tick").alias("tick"), "label", F.unix_seconds("guarantee_end").alias("guarantee_end"))
 
 
 @query("ss6_poison", "select seq, seq % 97 = 0 parked from {event_log}")

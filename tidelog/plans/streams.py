@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tidelog.operators.log import stable
+
+#: Parts a table arrives in, and the order they come in: neighbours change places.
+SLICES = 6
+ARRIVAL = (1, 0, 3, 2, 5, 4)
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -17,17 +25,62 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(named or 'file://' + tempfile.mkdtemp(prefix='tidelog-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _arriving(rows: DataFrame, folder: str) -> DataFrame:
-    rows.write.parquet(f"{folder}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in")
+@contextmanager
+def state_with_timers(spark: SparkSession) -> Iterator[None]:
+    """Queries started meanwhile keep their state in RocksDB, which timers and list state need."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
 
 
-def run(rows: DataFrame, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """What ``job`` appends for ``rows``, in files of its own."""
-    folder = shared_folder(rows.sparkSession, name)
-    made = job(_arriving(rows, folder))
-    made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return rows.sparkSession.read.schema(made.schema).parquet(f"{folder}/out")
+def out_of_order(rows: DataFrame, seconds: Column, order: tuple[int, ...] = ARRIVAL) -> tuple[list[DataFrame], str]:
+    """``rows`` in SLICES parts by time (``seconds``), each part before the one it should follow, and the
+    lateness that a watermark must allow so that none is too late."""
+    rows = stable(rows.withColumn("_at", seconds.cast("long")))
+    low, high = rows.agg(F.min("_at"), F.max("_at")).collect()[0]
+    if low is None:
+        return [rows.drop("_at")], "0 seconds"
+    width = (high - low) // SLICES + 1
+    parts = [rows.where(F.floor((F.col("_at") - low) / width) == k).drop("_at") for k in order]
+    return parts, f"{2 * width} seconds"
+
+
+def arriving(parts: list[DataFrame], folder: str) -> DataFrame:
+    """A stream that gets ``parts`` one after the other, in several triggers."""
+    spark = parts[0].sparkSession
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // SLICES)
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+
+
+def run(rows: DataFrame | list[DataFrame], job: Callable[[DataFrame], DataFrame], name: str, progress: list | None = None) -> DataFrame:
+    """What ``job`` appends for ``rows`` (or for parts that come one after the other), in files of its
+    own; ``progress`` gets what the query reported of its batches."""
+    parts = rows if isinstance(rows, list) else in_slices(rows)
+    spark = parts[0].sparkSession
+    folder = shared_folder(spark, name)
+    made = job(arriving(parts, folder))
+    with state_with_timers(spark):
+        query = made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
+    return spark.read.schema(made.schema).parquet(f"{folder}/out")
+
+
+def in_slices(rows: DataFrame) -> list[DataFrame]:
+    """``rows`` dealt to SLICES parts by a hash of all their columns."""
+    rows = stable(rows)
+    return [rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(SLICES)) == k) for k in range(SLICES)]
+
+
+def dropped(progress: list) -> int:
+    """Rows that came after their watermark."""
+    return sum(operator.numRowsDroppedByWatermark for p in progress for operator in p.stateOperators)
 
 
 def run_batches(rows: DataFrame, job: Callable[..., Callable[[DataFrame, int], None]], name: str) -> DataFrame:
@@ -40,5 +93,5 @@ def run_batches(rows: DataFrame, job: Callable[..., Callable[[DataFrame, int], N
         put = lambda parked: lambda df: df.select("seq", F.lit(parked).alias("parked")).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}/part={next(turn)}")
         job(put(False), put(True))(frame, batch_id)
 
-    _arriving(rows, folder).writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    arriving(in_slices(rows), folder).writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return rows.sparkSession.read.schema("seq long, parked boolean").parquet(f"{folder}/out/*/*")

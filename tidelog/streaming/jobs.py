@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.operators import snapshots
 from tidelog.operators.consume import payload_matches
 from tidelog.schemas import GUARANTEE_WINDOWS, SEEN_SECONDS
+from tidelog.streaming.ordered import in_order
 
 
 def snapshot_batches(load: Callable[[], DataFrame], save: Callable[[DataFrame, DataFrame, int], None], polled_: Callable[[], DataFrame], misses: int) -> Callable[[DataFrame, DataFrame, int], None]:
@@ -50,46 +50,104 @@ def deduplicated(events: DataFrame, seconds: int = SEEN_SECONDS) -> DataFrame:
     return events.withWatermark("occurred_at", f"{seconds} seconds").dropDuplicatesWithinWatermark(["event_id"])
 
 
-def rating_deltas(profiles: DataFrame) -> DataFrame:
-    """Counter changes per user on a stream of (user_id, poll, user_like_count, user_dislike_count)."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("poll")
-        last, out = (state.get if state.exists else None), []
-        for r in rows.itertuples():
-            now = (int(r.user_like_count), int(r.user_dislike_count))
-            if last is not None and now != tuple(last):
-                out.append((key[0], int(r.poll), *now, now[0] - last[0], now[1] - last[1]))
-            last = now
-        state.update(last)
-        yield pd.DataFrame(out, columns=["user_id", "poll", "user_like_count", "user_dislike_count", "delta_likes", "delta_dislikes"])
-
-    return profiles.groupBy("user_id").applyInPandasWithState(step, "user_id long, poll long, user_like_count int, user_dislike_count int, delta_likes int, delta_dislikes int", "likes int, dislikes int", "append", GroupStateTimeout.NoTimeout)
-
-
-def guarantee_timers(watches: DataFrame) -> DataFrame:
-    """Fires when a watched item (item_id, guarantee_end, tick as event time) enters a nearer window."""
-    spans = sorted(GUARANTEE_WINDOWS.items(), key=lambda x: -x[1])
-
-    def level(left: float) -> int:
-        return 0 if left <= 0 else sum(left <= span for _, span in spans)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("tick")
-        most, out = (state.get[0] if state.exists else 0), []
-        for r in rows.itertuples():
-            left = (r.guarantee_end - r.tick).total_seconds()
-            now = level(left)
-            if now > most:
-                out.append((key[0], r.tick, spans[now - 1][0]))
-                most = now
-        if left <= 0 and state.exists:
-            state.remove()  # expired: off the list
-        elif left > 0:
-            state.update((most,))
-        yield pd.DataFrame(out, columns=["item_id", "tick", "label"])
-
-    return watches.groupBy("item_id").applyInPandasWithState(step, "item_id long, tick timestamp, label string", "level int", "append", GroupStateTimeout.NoTimeout)
+def rating_deltas(profiles: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Counter changes per user on a stream of (user_id, poll, polled_at, user_like_count, user_dislike_count).
+
+    Polls are taken in the order of ``polled_at`` (then poll), however they arrive: a poll waits in
+    state until the watermark, ``late`` behind the newest, has passed it. One that comes later
+    than that is left out and counted among the query's rows dropped by the watermark."""
+    fields = "poll long, user_like_count int, user_dislike_count int"
+    out = "user_id long, poll long, user_like_count int, user_dislike_count int, delta_likes int, delta_dislikes int"
+    return in_order(profiles, "user_id", "polled_at", late, fields, "likes int, dislikes int", out, _rating_steps)
+
+
+def _rating_steps(user: int, last: tuple | None, rows: list[tuple], until: int) -> tuple[tuple | None, list[tuple], int | None]:
+    made = []
+    for _, poll, likes, dislikes in rows:
+        if last is not None and (likes, dislikes) != last:
+            made.append((user, poll, likes, dislikes, likes - last[0], dislikes - last[1]))
+        last = (likes, dislikes)
+    return last, made, None
+
+
+def _level(left: int) -> int:
+    """How many windows hold an end that is ``left`` microseconds away; 0 once it has passed."""
+    return 0 if left <= 0 else sum(left <= span * 1_000_000 for span in GUARANTEE_WINDOWS.values())
+
+
+#: Names of the windows, the longest first: level 1 is the first.
+_LABELS = [label for label, _ in sorted(GUARANTEE_WINDOWS.items(), key=lambda x: -x[1])]
+
+
+def guarantee_levels(watches: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """Fires when a row (item_id, tick, guarantee_end) finds its item in a nearer window than any row
+    before, by tick. A row that finds its guarantee expired takes the item off the list; rows later
+    than the watermark are left out, so none can bring it back with an earlier tick."""
+    rows = watches.withColumn("ends", F.unix_micros("guarantee_end"))
+    return in_order(rows, "item_id", "tick", late, "ends long", "level int", "item_id long, tick timestamp, label string", _level_steps)
+
+
+def _level_steps(item: int, state: tuple | None, rows: list[tuple], until: int) -> tuple[tuple | None, list[tuple], int | None]:
+    made = []
+    for tick, ends in rows:
+        most, now = (state[0] if state else 0), _level(ends - tick)
+        if now > most:
+            made.append((item, pd.Timestamp(tick, unit="us"), _LABELS[now - 1]))
+        state = (max(most, now),) if ends > tick else None
+    return state, made, None
+
+
+def guarantee_timers(watches: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """``guarantee_expiring`` once for each window of each watched item, by event-time timers.
+
+    ``watches``: item_id, tick, kind, guarantee_end. A ``seed`` (a purchase) puts the item on the list
+    afresh; a ``read`` moves its end (null: leaves it), what has fired stays; ``gone`` takes it off.
+    A window fires at its own time though no row comes, or at the row that finds it open; of
+    several at one row only the nearest. At its end the item leaves state by timer. Rows wait for
+    the watermark, ``late`` behind the newest tick; later ones are left out and counted by the query."""
+    rows = watches.withColumn("ends", F.unix_micros("guarantee_end"))
+    out = "item_id long, tick timestamp, label string, guarantee_end timestamp"
+    return in_order(rows, "item_id", "tick", late, "kind string, ends long", "ends long, level int", out, _timer_steps)
+
+
+def _timer_steps(item: int, state: tuple | None, rows: list[tuple], until: int) -> tuple[tuple | None, list[tuple], int | None]:
+    made = []
+    spans = [GUARANTEE_WINDOWS[x] * 1_000_000 for x in _LABELS]
+
+    def fire(at: int, ends: int, level: int) -> None:
+        made.append((item, pd.Timestamp(at, unit="us"), _LABELS[level - 1], pd.Timestamp(ends, unit="us")))
+
+    def passed(state: tuple | None, before: int) -> tuple | None:
+        """The watch after all its times before ``before``."""
+        while state is not None:
+            ends, level = state
+            at = ends - spans[level] if level < len(spans) else ends
+            if at >= before:
+                return state
+            if level == len(spans):
+                return None
+            fire(at, ends, level + 1)
+            state = (ends, level + 1)
+        return None
+
+    for tick, kind, ends in rows:
+        state = passed(state, tick)
+        if kind == "seed":
+            state = (ends, 0) if ends is not None else None
+        elif kind == "gone" or state is None:
+            state = None
+        elif ends is not None:
+            state = (ends, state[1])
+        if state is not None:
+            now = _level(state[0] - tick)
+            if state[0] <= tick:
+                state = None
+            elif now > state[1]:
+                fire(tick, state[0], now)
+                state = (state[0], now)
+    state = passed(state, until + 1)
+    due = None if state is None else state[0] - spans[state[1]] if state[1] < len(spans) else state[0]
+    return state, made, due
 
 
 def subscribed(log: DataFrame, event_types: list[str], filters: dict[str, str], starting_seq: int = 0) -> DataFrame:
