@@ -136,11 +136,10 @@ def test_guarantee_timers_equal_the_rule(spark):
             end = None if kind == "gone" or rnd.random() < 0.1 else at + rnd.choice([-5, 0, 30, 60, 61, 360, 900, 1440, 2000])
             if not any(r[0] == item and r[1] == DAY + timedelta(minutes=at) for r in rows):
                 rows.append((item, DAY + timedelta(minutes=at), kind, None if end is None else DAY + timedelta(minutes=end)))
-    rnd.shuffle(rows)
-    batches = [sorted(rows, key=lambda r: r[1] + timedelta(minutes=rnd.randint(0, 900)))[k * 45 : k * 45 + 45] for k in range(0, 5)]
-    rest = [r for r in rows if all(r not in b for b in batches)]
+    mixed = sorted(rows, key=lambda r: r[1] + timedelta(minutes=rnd.randint(0, 900)))
+    batches = [mixed[k : k + 45] for k in range(0, len(mixed), 45)]
     progress = []
-    found = streams.run([p for p in parts(spark, WATCH, *[b for b in [*batches, rest] if b], [(99, FAR, "read", None)])], lambda r: jobs.guarantee_timers(r, "3 days"), "t", progress)
+    found = streams.run(parts(spark, WATCH, *batches, [(99, FAR, "read", None)]), lambda r: jobs.guarantee_timers(r, "3 days"), "t", progress)
     minute = lambda t: int((t - DAY).total_seconds() // 60)
     assert sorted((r.item_id, minute(r.tick), r.label, minute(r.guarantee_end)) for r in found.collect()) == by_rule(rows)
     assert streams.dropped(progress) == 0 and rows_left(progress) == 0

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tidelog.operators import snapshots
@@ -70,6 +70,10 @@ def _rating_steps(user: int, last: tuple | None, rows: list[tuple], until: int)
     return last, made, None
 
 
+def _time(us: int) -> datetime:
+    return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=us)
+
+
 def _level(left: int) -> int:
     """How many windows hold an end that is ``left`` microseconds away; 0 once it has passed."""
     return 0 if left <= 0 else sum(left <= span * 1_000_000 for span in GUARANTEE_WINDOWS.values())
@@ -92,7 +96,7 @@ def _level_steps(item: int, state: tuple | None, rows: list[tuple], until: int)
     for tick, ends in rows:
         most, now = (state[0] if state else 0), _level(ends - tick)
         if now > most:
-            made.append((item, pd.Timestamp(tick, unit="us"), _LABELS[now - 1]))
+            made.append((item, _time(tick), _LABELS[now - 1]))
         state = (max(most, now),) if ends > tick else None
     return state, made, None
 
@@ -115,7 +119,7 @@ def _timer_steps(item: int, state: tuple | None, rows: list[tuple], until: int)
     spans = [GUARANTEE_WINDOWS[x] * 1_000_000 for x in _LABELS]
 
     def fire(at: int, ends: int, level: int) -> None:
-        made.append((item, pd.Timestamp(at, unit="us"), _LABELS[level - 1], pd.Timestamp(ends, unit="us")))
+        made.append((item, _time(at), _LABELS[level - 1], _time(ends)))
 
     def passed(state: tuple | None, before: int) -> tuple | None:
         """The watch after all its times before ``before``."""

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
@@ -30,14 +29,13 @@ class _InOrder(StatefulProcessor):
         # alarm: when the timer goes off (ms); known: whether the other columns are a state
         self.kept = handle.getValueState("kept", f"alarm long, known boolean, {self.state}")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(None if pd.isna(v) else v for v in r) for frame in rows for r in frame[self.names].astype(object).itertuples(index=False)]
-        yield self._advance(key, new, timerValues)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        yield from self._advance(key, [tuple(r[n] for n in self.names) for r in rows], timerValues)
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [], timerValues, expiredTimerInfo.getExpiryTimeInMs())
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        yield from self._advance(key, [], timerValues, expiredTimerInfo.getExpiryTimeInMs())
 
-    def _advance(self, key: tuple, new: list[tuple], timers: TimerValues, gone_off: int | None = None) -> pd.DataFrame:
+    def _advance(self, key: tuple, new: list[tuple], timers: TimerValues, gone_off: int | None = None) -> Iterator[Row]:
         until = timers.getCurrentWatermarkInMs() * 1000
         alarm, known, *state = self.kept.get() or (None, False)
         rows = [*(tuple(r) for r in self.waiting.get()), *new] if alarm is not None else new
@@ -58,7 +56,7 @@ class _InOrder(StatefulProcessor):
             self.kept.clear()
         else:
             self.kept.update((wake, after is not None, *(after or (None,) * self.width)))
-        return pd.DataFrame(told, columns=self.columns)
+        return (Row(**dict(zip(self.columns, r))) for r in told)
 
 
 def in_order(rows: DataFrame, key: str, time: str, late: str, fields: str, state: str, out: str, steps: Steps) -> DataFrame:
@@ -71,4 +69,4 @@ def in_order(rows: DataFrame, key: str, time: str, late: str, fields: str, state
     names = StructType.fromDDL(fields).names
     marked = rows.withWatermark(time, late).select(key, time, F.unix_micros(time).alias("us"), *names)
     processor = _InOrder(f"us long, {fields}", state, StructType.fromDDL(out).names, steps)
-    return marked.groupBy(key).transformWithStateInPandas(processor, out, "append", "eventTime")
+    return marked.groupBy(key).transformWithState(processor, out, "append", "eventTime")
