@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import ids, payload as pl
-from tidelog.operators import consume, delivery, feeds, log, snapshots
+from tidelog.operators import consume, delivery, feeds, id_index, log, snapshots
 from tidelog.plans.router import Router
 from tidelog.streaming import jobs
 
@@ -133,6 +133,38 @@ def test_append_twice_changes_nothing(spark, tmp_path):
     assert [r.n_events for r in pages] == [2, 2, 2] and pages[-1].next_seq == 6
 
 
+def test_an_id_is_appended_once_whatever_its_epoch(spark, tmp_path):
+    """The same id with another epoch, a null epoch or another payload gives no row, within a run and after it."""
+    folder = f"file://{tmp_path}/log"
+    other = lambda i, epoch: (f"e{i}", "new_lot", 1, "x", datetime(2027, 1, 1), "other", '{"a":1}', epoch)
+    log.commit(spark.createDataFrame([event(1), event(2)], EVENT), folder, 1, ["event_id"])
+    log.commit(spark.createDataFrame([other(1, 2), other(2, None), other(3, None), other(3, 7), event(4)], EVENT), folder, 2, ["event_id", "poll_epoch"])
+    log.compact_index(spark, folder)
+    log.commit(spark.createDataFrame([other(i, 9) for i in range(1, 6)], EVENT), folder, 3, ["event_id"])
+    log.compact_index(spark, folder)
+    log.commit(spark.createDataFrame([other(i, 10) for i in range(1, 7)], EVENT), folder, 4, ["event_id"])
+    rows = sorted((r.seq, r.event_id, r.poll_epoch) for r in log.read(spark, folder).collect())
+    assert rows == [(1, "e1", 1), (2, "e2", 1), (3, "e3", None), (4, "e4", 1), (5, "e5", 9), (6, "e6", 10)]
+
+
+def test_the_id_index_reads_few_buckets(spark, tmp_path, monkeypatch):
+    """All ids in the log are found; of new ones the filters let few pass; the plan names the buckets it reads."""
+    folder = f"file://{tmp_path}/log"
+    rows = spark.range(2000).select(*[F.lit(v).alias(c) if c != "event_id" else F.concat(F.lit("id-"), "id").alias(c) for c, v in zip([f.split()[0] for f in EVENT.split(", ")], event(1))])
+    log.commit(rows, folder, 1, ["event_id"])
+    committed = spark.createDataFrame([(r.run, r.attempt) for r in log._markers(spark, folder).collect()], "run long, attempt string")
+    there = rows.select("event_id").where("event_id like '%7'")
+    assert id_index.known(there, folder, committed).count() == there.count() == 200
+    new = spark.range(1000).select(F.concat(F.lit("new-"), "id").alias("event_id"))
+    assert id_index.known(new, folder, committed).count() == 0
+    filters = spark.read.parquet(f"{folder}/filters")
+    assert id_index.may_hold(new, filters).count() <= 2 and id_index.may_hold(there, filters).count() == 200
+    found = id_index.known(there.limit(1), folder, committed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(bucket," in plan or "In(bucket, [" in plan
+    assert id_index.known(there, folder, committed.limit(0)).count() == 0
+
+
 def test_a_repeated_or_crashed_run_loses_nothing(spark, tmp_path, monkeypatch):
     folder = f"file://{tmp_path}/log"
     rows = spark.createDataFrame([event(i) for i in range(5)], EVENT)
@@ -167,6 +199,20 @@ def test_pruning_rewrites_affected_runs_and_keeps_the_head(spark, tmp_path):
     assert log.rewrite_pruned(spark, folder, cursors.withColumn("last_seq", F.lit(9)), F.lit(datetime(2026, 6, 1)), 1) == 1
     log.commit(spark.createDataFrame([at(5, 1)], EVENT), folder, 3, ["event_id"])
     assert [(r.seq, r.event_id) for r in log.read(spark, folder).collect()] == [(5, "e5")]
+    log.compact_index(spark, folder)
+    log.commit(spark.createDataFrame([at(5, 2), at(3, 1)], EVENT), folder, 4, ["event_id"])  # what was pruned may come again
+    assert sorted((r.seq, r.event_id) for r in log.read(spark, folder).collect()) == [(5, "e5"), (6, "e3")]
+    assert log.rewrite_pruned(spark, folder, cursors, now, 1) == 0
+
+
+def test_ids_that_stay_after_pruning_are_known(spark, tmp_path):
+    folder = f"file://{tmp_path}/log"
+    at = lambda i, day: (f"e{i}", "new_lot", 1, str(i), datetime(2026, 1, day), f"h{i}", "{}", 1)
+    log.commit(spark.createDataFrame([at(1, 1), at(2, 20)], EVENT), folder, 1, ["event_id"])
+    cursors = spark.createDataFrame([("a", 3)], "consumer_name string, last_seq long")
+    assert log.rewrite_pruned(spark, folder, cursors, F.lit(datetime(2026, 2, 10)), 1) == 1
+    log.commit(spark.createDataFrame([at(2, 1), at(1, 1)], EVENT), folder, 2, ["event_id"])
+    assert sorted((r.seq, r.event_id) for r in log.read(spark, folder).collect()) == [(2, "e2"), (3, "e1")]
 
 
 def test_no_threshold_before_the_purchase(spark):

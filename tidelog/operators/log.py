@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tidelog.operators import id_index
+from tidelog.operators.id_index import exists as _exists
 from tidelog.schemas import EVENT_COLUMNS
 
 
@@ -55,14 +58,12 @@ def positions(rows: DataFrame, order: list[str], name: str = "pos", partitions:
     return placed.join(shift, "_part").withColumn(name, F.col("_shift") + place).drop("_part", "_shift", "_id")
 
 
-def new_events(events: DataFrame, log: DataFrame) -> DataFrame:
-    """Events whose id isn't in the log, once each.
-
-    Equal ids have equal epochs, so only the log's rows of the batch's epochs are compared."""
-    once = events.dropDuplicates(["event_id"])
-    epochs = once.select("poll_epoch").distinct()
-    known = log.join(epochs, "poll_epoch", "left_semi").select("event_id")
-    return once.join(known, "event_id", "left_anti")
+def new_events(events: DataFrame, known: DataFrame, order: Sequence[str] = ("occurred_at",)) -> DataFrame:
+    """Events whose ``event_id`` isn't in ``known`` (a log, or ids alone), whatever else they hold; of rows
+    with the same id the first in ``order`` stays."""
+    place = Window.partitionBy("event_id").orderBy(*order)
+    once = events.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
+    return once.join(known.select("event_id"), "event_id", "left_anti")
 
 
 def head(log: DataFrame) -> DataFrame:
@@ -70,15 +71,19 @@ def head(log: DataFrame) -> DataFrame:
 
 
 def append(events: DataFrame, log: DataFrame, order: list[str], head_: int | None = None) -> DataFrame:
-    """The rows to add to the log, numbered from its head (or from ``head_``) on; none for events it has."""
-    top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("_head"))
-    numbered = positions(new_events(events, log), order, "seq")
+    """The rows to add to the log, numbered from its head on; none for events it has. Where ``head_`` is
+    given, numbers go from there and ids of known events are enough for ``log``."""
+    numbered = positions(new_events(events, log, order), order, "seq")
     if head_ is not None:
         return numbered.withColumn("seq", F.col("seq") + F.lit(head_))
+    top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("long").alias("_head"))
     return numbered.crossJoin(top).withColumn("seq", F.col("seq") + F.col("_head")).drop("_head")
 
 
 LOG_SCHEMA = "seq long, event_id string, event_type string, schema_version int, aggregate_id string, occurred_at timestamp, content_hash string, payload string, poll_epoch long"
+_LOG_COLUMNS = [c.split()[0] for c in LOG_SCHEMA.split(", ")]
+#: Numbers of a run that lie in one file after pruning, at most.
+ROWS_A_FILE = 1 << 22
 #: Of a run's markers the one with the highest version counts; ``head`` is the log's last number then.
 MARKER = "attempt string, head long"
 
@@ -95,27 +100,38 @@ def _mark(spark: SparkSession, folder: str, run: int, version: int, attempt: str
     spark.createDataFrame([(attempt, head_)], MARKER).coalesce(1).write.parquet(f"{folder}/committed/run={run}/version={version}")
 
 
-def commit(events: DataFrame, folder: str, run: int, order: list[str], baseline: DataFrame | None = None) -> None:
-    """Append a run's events and baseline. A run that is committed already changes nothing.
+def committed(spark: SparkSession, folder: str, run: int) -> bool:
+    return not _markers(spark, folder).where(F.col("run") == run).isEmpty()
+
+
+def commit(events: DataFrame, folder: str, run: int, order: list[str], baseline: DataFrame | None = None, tables: Mapping[str, DataFrame] | None = None) -> None:
+    """Append a run's events, with its baseline and other tables of state in the same step. A run that is
+    committed already changes nothing.
 
-    Each attempt writes to folders of its own; the marker that names it comes last, so what a
-    crashed attempt left is never read, and a repeated run numbers its events anew."""
+    An id that the log has, or that comes twice, gives one row: the id index tells which are known
+    and reads only the buckets that may hold them. Each attempt writes to folders of its own; the
+    marker that names it comes last, so what a crashed attempt left is never read, and a repeated
+    run numbers its events anew."""
     spark = events.sparkSession
     markers = _markers(spark, folder)
     state = markers.agg(F.max(F.when(F.col("run") == run, 1)).alias("done"), F.coalesce(F.max("head"), F.lit(0)).alias("head")).collect()[0]
     if state["done"]:
         return
     attempt = uuid.uuid4().hex
-    append(events, read(spark, folder), order, state["head"]).write.parquet(f"{folder}/events/run={run}/attempt={attempt}")
-    if baseline is not None:
-        baseline.write.parquet(f"{folder}/baseline/run={run}/attempt={attempt}")
-    added = spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/events/run={run}/attempt={attempt}").agg(F.max("seq")).collect()[0][0]
-    _mark(spark, folder, run, 0, attempt, added or state["head"])
+    place = f"run={run}/attempt={attempt}"
+    events = stable(events)
+    known = id_index.known(events.select("event_id"), folder, markers.select("run", "attempt"))
+    append(events, known, order, state["head"]).write.parquet(f"{folder}/events/{place}")
+    for name, table in (dict(tables or {}) | ({} if baseline is None else {"baseline": baseline})).items():
+        table.write.parquet(f"{folder}/{name}/{place}")
+    added = spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/events/{place}")
+    id_index.add(added.select("event_id", F.lit(run).cast("long").alias("run"), F.lit(attempt).alias("attempt")), folder)
+    _mark(spark, folder, run, 0, attempt, added.agg(F.max("seq")).collect()[0][0] or state["head"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def compact_index(spark: SparkSession, folder: str) -> None:
+    """Merge the id index of all committed runs, so that an append reads one segment in place of many runs."""
+    id_index.compact(spark, folder, _markers(spark, folder).select("run", "attempt"))
 
 
 def _read_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,33 +143,46 @@ def _read_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The log of all committed runs; empty before the first."""
-    return _read_runs(spark, folder).select([c.split()[0] for c in LOG_SCHEMA.split(", ")])
+    return _read_runs(spark, folder).select(_LOG_COLUMNS)
+
+
+def read_state(spark: SparkSession, folder: str, name: str, schema: str, runs: Sequence[int] | None = None) -> DataFrame:
+    """A table that runs committed beside their events: of the last run, or of ``runs`` with a column run."""
+    kept = _markers(spark, folder).select("run", "attempt")
+    if not _exists(spark, f"{folder}/{name}"):
+        return spark.createDataFrame([], schema + ("" if runs is None else ", run long"))
+    rows = spark.read.schema(f"{schema}, run long, attempt string").option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
+    if runs is None:
+        last = kept.agg(F.max("run")).collect()[0][0]
+        return rows.where(F.col("run") == last).join(kept, ["run", "attempt"], "left_semi").drop("run", "attempt")
+    return rows.where(F.col("run").isin(list(runs))).join(kept, ["run", "attempt"], "left_semi").drop("attempt")
 
 
 def read_baseline(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The baseline of the last committed run; empty before the first."""
-    last = _markers(spark, folder).orderBy(F.desc("run")).limit(1).collect()
-    path = f"{folder}/baseline/run={last[0]['run']}/attempt={last[0]['attempt']}" if last else ""
-    return spark.read.schema(schema).parquet(path) if last and _exists(spark, path) else spark.createDataFrame([], schema)
+    return read_state(spark, folder, "baseline", schema)
 
 
 def rewrite_pruned(spark: SparkSession, folder: str, cursors: DataFrame, now: Column, months: int) -> int:
-    """Rewrites the runs that hold rows to prune, and only those; how many rows went. The old files
-    are no longer read; the log's head stays, so numbers are never given twice."""
+    """Rewrites the runs that hold rows to prune, and only those, in one job; how many rows went. The old
+    files are no longer read; the log's head stays, so numbers are never given twice. Ids that went
+    may come again."""
     mark = cursors.agg(F.min("last_seq").alias("_mark"))
     judged = _read_runs(spark, folder).crossJoin(F.broadcast(mark)).withColumn("_gone", prunable(F.col("_mark"), now, months))
-    counts = judged.where("_gone").groupBy("run").agg(F.count("*").alias("n")).collect()
-    versions = {}
-    if counts:
-        rows = spark.read.schema(MARKER + ", run long, version long").option("basePath", f"{folder}/committed").parquet(f"{folder}/committed")
-        versions = {r["run"]: (r["version"], r["head"]) for r in rows.groupBy("run").agg(F.max("version").alias("version"), F.max("head").alias("head")).collect()}
-    for r in counts:
-        attempt = uuid.uuid4().hex
-        kept = judged.where((F.col("run") == r["run"]) & ~F.col("_gone")).drop("_mark", "_gone", "run", "attempt")
-        kept.write.parquet(f"{folder}/events/run={r['run']}/attempt={attempt}")
-        version, top = versions[r["run"]]
-        _mark(spark, folder, r["run"], version + 1, attempt, top)
-    return sum(r["n"] for r in counts)
+    counts = judged.where("_gone").groupBy("run").agg(F.count("*").alias("n"))
+    rows = spark.read.schema(MARKER + ", run long, version long").option("basePath", f"{folder}/committed").parquet(f"{folder}/committed")
+    versions = rows.groupBy("run").agg((F.max("version") + 1).alias("version"), F.max("head").alias("head"))
+    touched = stable(counts.join(versions, "run"))
+    gone = touched.agg(F.sum("n")).collect()[0][0] or 0
+    if not gone:
+        return 0
+    attempt = uuid.uuid4().hex
+    # dealt by run and place, so that a run's rows lie in a few files each
+    kept = judged.where("not _gone").join(touched.select("run"), "run", "left_semi").select(*_LOG_COLUMNS, "run", F.lit(attempt).alias("attempt"))
+    kept.repartition("run", F.floor(F.col("seq") / ROWS_A_FILE)).write.mode("append").partitionBy("run", "attempt").parquet(f"{folder}/events")
+    id_index.add(kept.select("event_id", "run", "attempt"), folder)
+    touched.select(F.lit(attempt).alias("attempt"), "head", "run", "version").repartition("run").write.mode("append").partitionBy("run", "version").parquet(f"{folder}/committed")
+    return gone
 
 
 def decoded(log: DataFrame, event_type: str, schema: str) -> DataFrame:
