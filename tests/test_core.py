@@ -64,27 +64,29 @@ def test_history_is_the_poll_by_poll_rule(spark, misses):
     assert sorted((r.category, r.item_id, r.poll_epoch, r.event_type) for r in got.collect()) == sorted(expected)
 
 
-def test_streamed_snapshots_equal_history(spark):
-    rnd = random.Random(9)
-    epochs = [1, 2, 4, 5, 6, 9]
-    history = {e: {i: (rnd.choice([5, 6, 7]), rnd.choice("ab")) for i in range(5) if rnd.random() < 0.6 or i == 0} for e in epochs}
-    history[5] = {}  # a poll that found nothing counts as a miss
-    schema = "category string, item_id long, price decimal(18,2), content_hash string, miss_count int"
-    store, emitted = {"b": spark.createDataFrame([], schema), "last": {}}, []
-
-    def save(events, baseline, epoch):
-        emitted.extend((r.item_id, r.poll_epoch, r.event_type) for r in events.collect())
-        store["b"] = spark.createDataFrame([tuple(r) for r in baseline.select("category", "item_id", "price", "content_hash", "miss_count").collect()], schema)
-        store["last"]["c"] = epoch
-
-    taken = lambda: spark.createDataFrame(list(store["last"].items()), "category string, poll_epoch long")
-    run = jobs.snapshot_batches(lambda: store["b"], save, taken, 2)
-    rows = [("c", i, e, Decimal(p), h, 0) for e in epochs for i, (p, h) in history[e].items()]
-    for batch in (epochs[:3], epochs[:3], epochs[3:]):  # the first one comes twice
-        polls = spark.createDataFrame([("c", e) for e in batch], "category string, poll_epoch long")
-        run(spark.createDataFrame([r for r in rows if r[2] in batch], LOT + ", place int"), polls, 0)
-    assert emitted[0] == (None, 1, "snapshot_initialized")
-    assert sorted(emitted[1:]) == rule(history, 2)
+@pytest.mark.parametrize("misses", [1, 2, 3])
+def test_history_in_steps_is_the_whole_history(spark, misses):
+    """However many polls a step takes, empty polls and late categories included; a repeated step tells nothing."""
+    rnd = random.Random(10 + misses)
+    lots, polls = [], []
+    for c in range(12):
+        for e in sorted(rnd.sample(range(1, 40), 14))[3 * (c % 2) :]:
+            polls.append((f"c{c}", e))
+            lots += [(f"c{c}", i, e, Decimal(rnd.choice([5, 6, 7])), rnd.choice("ab")) for i in range(4) if rnd.random() < 0.45]
+    schema = LOT.replace("(18,2)", "(20,8)")
+    whole = snapshots.history_diff(spark.createDataFrame(lots, schema), spark.createDataFrame(polls, "category string, poll_epoch long"), misses)
+    columns = ["category", "item_id", "n", "poll_epoch", "event_type", "old_price", "price", "content_hash"]
+    expected = sorted(map(str, whole.select(columns).collect()))
+    base, taken, got = [], {}, []
+    for low, high in ((0, 1), (1, 9), (1, 9), (9, 17), (17, 18), (18, 40)):
+        frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+        args = frame([r for r in lots if low <= r[2] < high], schema), frame([p for p in polls if low <= p[1] < high], "category string, poll_epoch long")
+        events, after, polled = snapshots.history_step(*args, frame(base, snapshots.BASELINE), frame([(c, *v) for c, v in taken.items()], snapshots.POLLED), misses)
+        got += map(str, events.select(columns).collect())
+        new = {r.category: (r.n, r.poll_epoch) for r in polled.collect()}
+        base = [r for r in base if r[0] not in new] + [tuple(r) for r in after.collect()]
+        taken |= new
+    assert sorted(got) == expected
 
 
 def test_diff_branches(spark):

@@ -100,8 +100,8 @@ def payment_job(operations: DataFrame, marks: DataFrame, seen: DataFrame, poll_e
 
 
 def feed_changed(rows: DataFrame, marks: DataFrame, key: str, id_: str) -> DataFrame:
-    """Per feed: its newest id, and whether that differs from the mark."""
-    return new_marks(rows, key, id_).withColumnRenamed("mark", "newest").join(marks, key, "left").select(key, "newest", (~F.col("newest").eqNullSafe(F.col("mark"))).alias("changed"))
+    """Per feed: its newest id, and whether that is above the mark (no mark: it is)."""
+    return new_marks(rows, key, id_).withColumnRenamed("mark", "newest").join(marks, key, "left").select(key, "newest", (F.col("newest") > F.coalesce("mark", F.lit(0))).alias("changed"))
 
 
 def conversation_events(conversations: DataFrame, messages: DataFrame, known: DataFrame, updates: DataFrame, marks: DataFrame) -> DataFrame:

@@ -147,13 +147,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, folder: str, name: str, schema: str, runs: Sequence[int] | None = None) -> DataFrame:
-    """A table that runs committed beside their events: of the last run, or of ``runs`` with a column run."""
+    """A table that runs committed beside their events: of the last run that has it, or of ``runs`` with a column run."""
     kept = _markers(spark, folder).select("run", "attempt")
     if not _exists(spark, f"{folder}/{name}"):
         return spark.createDataFrame([], schema + ("" if runs is None else ", run long"))
     rows = spark.read.schema(f"{schema}, run long, attempt string").option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
     if runs is None:
-        last = kept.agg(F.max("run")).collect()[0][0]
+        last = rows.select("run", "attempt").distinct().join(kept, ["run", "attempt"], "left_semi").agg(F.max("run")).collect()[0][0]
         return rows.where(F.col("run") == last).join(kept, ["run", "attempt"], "left_semi").drop("run", "attempt")
     return rows.where(F.col("run").isin(list(runs))).join(kept, ["run", "attempt"], "left_semi").drop("attempt")
 

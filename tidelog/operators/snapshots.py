@@ -36,20 +36,16 @@ def numbered_polls(polls: DataFrame) -> DataFrame:
     return polls.select("category", "poll_epoch").distinct().withColumn("n", F.row_number().over(order)).withColumn("last", F.count("*").over(whole))
 
 
-def history_diff(lots: DataFrame, polls: DataFrame, misses: int = DISAPPEAR_POLLS) -> DataFrame:
-    """All lot events of whole histories in one pass.
-
-    ``lots`` holds one row per item and poll. Result: category, item_id, n, poll_epoch,
-    event_type, old_price, price, content_hash (of a lot that is gone: ``gone:<id>``).
-    An item's first poll of its category only seeds; ``misses`` polls without it mean gone."""
-    numbers = numbered_polls(polls)
-    at = lots.join(numbers, ["category", "poll_epoch"]).select(*KEY, "n", "last", "price", "content_hash")
+def _told(at: DataFrame, misses: int) -> tuple[DataFrame, DataFrame]:
+    """(events by number of poll, each item's last row) of rows category, item_id, n, last, price,
+    content_hash, seed. Seeds are where a baseline last saw an item; they tell nothing themselves."""
     item = Window.partitionBy(*KEY).orderBy("n")
     seen = at.select("*", F.lag("n").over(item).alias("pn"), F.lag("price").over(item).alias("pprice"), F.lag("content_hash").over(item).alias("phash"), F.lead("n").over(item).alias("nn"))
-    event = lambda kind, n, old=None: F.struct(F.lit(kind).alias("event_type"), n.cast("long").alias("n"), (F.col("pprice") if old else F.lit(None).cast(lots.schema["price"].dataType)).alias("old_price"))
+    event = lambda kind, n, old=None: F.struct(F.lit(kind).alias("event_type"), n.cast("long").alias("n"), (F.col("pprice") if old else F.lit(None).cast(at.schema["price"].dataType)).alias("old_price"))
     came_back = F.col("n") - F.col("pn") > misses
     now = (
-        F.when(F.col("pn").isNull(), F.when(F.col("n") > 1, event("new_lot", F.col("n"))))
+        F.when(F.col("seed"), None)
+        .when(F.col("pn").isNull(), F.when(F.col("n") > 1, event("new_lot", F.col("n"))))
         .when(came_back, event("new_lot", F.col("n")))
         .when(F.col("price") < F.col("pprice"), event("price_dropped", F.col("n"), True))
         .when(~F.col("content_hash").eqNullSafe(F.col("phash")), event("lot_updated", F.col("n")))
@@ -58,7 +54,43 @@ def history_diff(lots: DataFrame, polls: DataFrame, misses: int = DISAPPEAR_POLL
     made = seen.select(*KEY, "price", "content_hash", F.explode(F.filter(F.array(now, gone), lambda e: e.isNotNull())).alias("e"))
     lost = F.col("e.event_type") == "lot_disappeared"
     made = made.select(*KEY, "e.event_type", "e.n", "e.old_price", F.when(~lost, F.col("price")).alias("price"), F.when(lost, F.concat(F.lit("gone:"), F.col("item_id"))).otherwise(F.col("content_hash")).alias("content_hash"))
-    return made.join(numbers.select("category", F.col("n").cast("long").alias("n"), "poll_epoch"), ["category", "n"])
+    return made, seen.where("nn is null")
+
+
+def history_diff(lots: DataFrame, polls: DataFrame, misses: int = DISAPPEAR_POLLS) -> DataFrame:
+    """All lot events of whole histories in one pass.
+
+    ``lots`` holds one row per item and poll. Result: category, item_id, n, poll_epoch,
+    event_type, old_price, price, content_hash (of a lot that is gone: ``gone:<id>``).
+    An item's first poll of its category only seeds; ``misses`` polls without it mean gone."""
+    numbers = numbered_polls(polls)
+    at = lots.join(numbers, ["category", "poll_epoch"]).select(*KEY, "n", "last", "price", "content_hash", F.lit(False).alias("seed"))
+    return _told(at, misses)[0].join(numbers.select("category", F.col("n").cast("long").alias("n"), "poll_epoch"), ["category", "n"])
+
+
+#: Baseline rows, and the polls that a category has been through: their number and the last one's epoch.
+BASELINE = "category string, item_id long, price decimal(20,8), content_hash string, miss_count int"
+POLLED = "category string, n long, poll_epoch long"
+
+
+def history_step(lots: DataFrame, polls: DataFrame, baseline: DataFrame, polled: DataFrame, misses: int = DISAPPEAR_POLLS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`history_diff` continued: (events, baseline, polled) after further ``polls``, all in one pass.
+
+    ``lots`` holds one row per item and poll, ``baseline`` (BASELINE) the polled categories' items before
+    and ``polled`` (POLLED) the polls before; what comes back covers the categories of ``polls``.
+    Polls at or before a category's last are left out, so a repeated step tells nothing."""
+    done = polled.select("category", F.col("n").alias("_before"), F.col("poll_epoch").alias("_epoch"))
+    order = Window.partitionBy("category").orderBy("poll_epoch")
+    new = polls.select("category", "poll_epoch").distinct().join(done, "category", "left").where(F.col("_epoch").isNull() | (F.col("poll_epoch") > F.col("_epoch")))
+    before = F.coalesce("_before", F.lit(0))
+    numbers = new.select("category", "poll_epoch", (before + F.row_number().over(order)).alias("n"), (before + F.count("*").over(Window.partitionBy("category"))).alias("last"), before.alias("_before"))
+    rows = lots.join(numbers, ["category", "poll_epoch"]).select(*KEY, "n", "last", F.col("price").cast("decimal(20,8)").alias("price"), "content_hash", F.lit(False).alias("seed"))
+    taken = numbers.groupBy("category").agg(F.max("last").alias("last"), F.max("_before").alias("_before"), F.max("poll_epoch").alias("poll_epoch"))
+    seeds = baseline.join(taken, "category").select(*KEY, (F.col("_before") - F.col("miss_count")).alias("n"), "last", "price", "content_hash", F.lit(True).alias("seed"))
+    made, last = _told(rows.unionByName(seeds), misses)
+    events = made.join(numbers.select("category", "n", "poll_epoch"), ["category", "n"])
+    kept = last.where(F.col("last") - F.col("n") < misses).select(*KEY, "price", "content_hash", (F.col("last") - F.col("n")).cast("int").alias("miss_count"))
+    return events, kept, taken.select("category", F.col("last").alias("n"), "poll_epoch")
 
 
 def bootstrap_markers(lots: DataFrame, polls: DataFrame) -> DataFrame:
@@ -90,21 +122,24 @@ def absent(baseline: DataFrame, snapshot: DataFrame) -> DataFrame:
 
 def confirmed(gone: DataFrame, states: DataFrame, cap: int = CONFIRM_CAP) -> DataFrame:
     """Reason and confidence of each lot that is gone: at most ``cap`` lookups per poll of a
-    category, by item_id; the others stay unknown."""
-    order = Window.partitionBy("category", "poll_epoch").orderBy("item_id")
-    looked = gone.withColumn("_place", F.row_number().over(order))
-    known = states.select("item_id", "item_state", F.lit(True).alias("_found"))
-    out = looked.join(known, "item_id", "left").withColumn("r", resolve_reason(F.col("item_state"), F.coalesce("_found", F.lit(False)) & (F.col("_place") <= cap)))
-    return out.select(*gone.columns, "r.reason", "r.confidence")
+    category, by item_id; the others stay unknown.
+
+    Only the first ``cap`` of each poll leave their tasks to be ranked, and only they meet the states."""
+    poll = ["category", "poll_epoch"]
+    place = Window.partitionBy(*poll).orderBy("item_id")
+    looked = gone.select(*poll, "item_id").withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= cap).drop("_place")
+    known = looked.join(states.select("item_id", "item_state"), "item_id").withColumn("_why", resolve_reason(F.col("item_state"), F.lit(True))).drop("item_state")
+    out = gone.join(known, [*poll, "item_id"], "left").withColumn("_why", F.coalesce("_why", resolve_reason(F.lit(None).cast("string"), F.lit(False))))
+    return out.select(*gone.columns, "_why.reason", "_why.confidence")
 
 
 def confirmed_events(events: DataFrame, states: DataFrame, cap: int = CONFIRM_CAP) -> DataFrame:
-    """:func:`confirmed` on events of all types: reason and confidence stand at lot_disappeared only."""
-    order = Window.partitionBy("category", "poll_epoch", "event_type").orderBy("item_id")
-    known = states.select("item_id", "item_state", F.lit(True).alias("_found"))
-    looked = events.withColumn("_place", F.row_number().over(order)).join(known, "item_id", "left")
-    why = resolve_reason(F.col("item_state"), F.coalesce("_found", F.lit(False)) & (F.col("_place") <= cap))
-    return looked.withColumn("_why", F.when(F.col("event_type") == "lot_disappeared", why)).select(*events.columns, "_why.reason", "_why.confidence")
+    """:func:`confirmed` on events of all types: reason and confidence stand at lot_disappeared only.
+
+    ``events`` are read twice; write them before if they are dear."""
+    gone = F.col("event_type") == "lot_disappeared"
+    none = F.lit(None).cast("string")
+    return confirmed(events.where(gone), states, cap).unionByName(events.where(~gone).withColumns({"reason": none, "confidence": none}))
 
 
 def lookup(ids: DataFrame, lots: DataFrame) -> DataFrame:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidelog.functions import ids, payload as pl
 from tidelog.operators import consume, delivery, feeds, log, snapshots
 from tidelog.plans import streams
 from tidelog.plans.router import Router, collect_sources
-from tidelog.schemas import EVENT_TYPES
+from tidelog.schemas import EVENT_TYPES, NOTIFICATION
 from tidelog.sources.domain import duckdb_sql, load
+from tidelog.sources.pages import lots_of, parsed_invoices, read_feed, read_pages, stream_pages
 from tidelog.streaming import jobs
+from tidelog.streaming.polls import lot_log_events, polls_to_log
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,16 +58,11 @@ def history(s: SparkSession, d: str) -> DataFrame:
 def lot_events(s: SparkSession, d: str) -> DataFrame:
     """The flagship: all lot events of the whole history as rows of the log, confirmed where gone."""
     polls = load(s, d, "polls")
-    made = snapshots.confirmed_events(history(s, d), load(s, d, "lot_states")).withColumn("aggregate_id", F.col("item_id").cast("string")).withColumn("lot_count", F.lit(None).cast("long"))
+    made = snapshots.confirmed_events(log.stable(history(s, d)), load(s, d, "lot_states")).withColumn("aggregate_id", F.col("item_id").cast("string")).withColumn("lot_count", F.lit(None).cast("long"))
     marks = snapshots.bootstrap_markers(load(s, d, "lot_observations"), polls)
     marks = marks.select("*", F.col("category").alias("aggregate_id"), F.lit("snapshot_initialized").alias("event_type"), F.concat(F.lit("bootstrap:"), "lot_count").alias("content_hash"))
     both = made.drop("item_id", "n").unionByName(marks, allowMissingColumns=True)
-    fields = {c: F.col(c).cast("string") for c in ("category", "price", "old_price", "reason", "confidence")} | {"lot_count": F.col("lot_count")}
-    both = both.withColumns({
-        "event_id": ids.event_id(F.col("aggregate_id"), F.col("event_type"), F.col("content_hash"), F.col("poll_epoch")),
-        "schema_version": F.lit(1), "occurred_at": F.timestamp_seconds(F.lit(DAY_ZERO) + F.col("poll_epoch") * POLL_SECONDS), "payload": pl.tags(**fields),
-    })
-    return log.one_log(both)
+    return lot_log_events(both, F.timestamp_seconds(F.lit(DAY_ZERO) + F.col("poll_epoch") * POLL_SECONDS))
 
 
 POLL_SECONDS = 30 * 86400
@@ -179,10 +176,6 @@ def _(s, d):
 
 @query("io1_pages", "select category, item_id, price, cast((row_number() over (partition by category order by item_id) - 1) % 50 as int) place, cast(floor((row_number() over (partition by category order by item_id) - 1) / 50) + 1 as int) page from {lots}")
 def _(s, d):
-    from pyspark.sql import Window
-
-    from tidelog.sources.pages import lots_of
-
     rows = load(s, d, "lots").withColumn("k", F.row_number().over(Window.partitionBy("category").orderBy("item_id")) - 1)
     item = F.struct("item_id", "title", "price", F.lit("rub").alias("currency"), "ai_price", F.timestamp_seconds("published_at").alias("published_at"), F.lit(1).cast("long").alias("seller_id"), "category")
     pages = rows.groupBy("category", (F.floor(F.col("k") / 50) + 1).cast("int").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("i")))), lambda x: x["i"]).alias("items"))
@@ -191,6 +184,9 @@ def _(s, d):
 
 # ---- feeds
 
+# the first query of a session bears the session's start, so the flagship isn't first
+QUERIES["flagship_lot_events"] = QUERIES.pop("flagship_lot_events")
+
 _MAPPED = "case operation_type " + " ".join(f"when '{k}' then '{v}'" for k, v in __import__("tidelog.schemas", fromlist=["x"]).PAYMENT_EVENTS.items()) + " end"
 
 
@@ -226,8 +222,6 @@ def _(s, d):
 
 @query("io2_invoice_bodies", "select status <> 'refunded' good, invoice_id, case when status <> 'refunded' then status end status from {invoices}")
 def _(s, d):
-    from tidelog.sources.pages import parsed_invoices
-
     body = F.when(F.col("status") == "refunded", F.concat(F.lit('{"invoice_id":'), "invoice_id")).otherwise(F.to_json(F.struct("invoice_id", "status", "event_id", F.lit("x").alias("other"))))
     good, rejected = parsed_invoices(load(s, d, "invoices").select(body.alias("body")))
     bad = rejected.select(F.lit(False).alias("good"), F.regexp_extract("body", "inv-[0-9]+", 0).alias("invoice_id"), F.lit(None).cast("string").alias("status"))
@@ -365,6 +359,14 @@ def _(s, d):
     return feeds.feed_changed(rows, marks, "kind", "notification_id")
 
 
+@query("ag7_marks_above", """select kind, max(notification_id) newest, kind = 'nomarket' changed from {notifications} group by 1""")
+def _(s, d):
+    """A mark above the newest id: nothing is new. The other feed's mark is below."""
+    rows = load(s, d, "notifications")
+    marks = rows.groupBy("kind").agg((F.max("notification_id") + F.when(F.col("kind") == "market", 4).otherwise(-1)).alias("mark"))
+    return feeds.feed_changed(rows, marks, "kind", "notification_id")
+
+
 @query("sc1_event_ids", f"select {UUID} event_id, aggregate_id from (select *, {SHA1.format(key=chr(39) + 'x' + chr(39) + ' || aggregate_id || ' + chr(39) + '|' + chr(39) + ' || event_type || ' + chr(39) + '|' + chr(39) + ' || content_hash || ' + chr(39) + '|' + chr(39) + ' || poll_epoch')} d from {{event_log}})")
 def _(s, d):
     rows = load(s, d, "event_log")
@@ -717,6 +719,71 @@ def _(s, d):
     return found.select("item_id", F.unix_seconds("tick").alias("tick"), "label", F.unix_seconds("guarantee_end").alias("guarantee_end"))
 
 
+# ---- polls as page files, in the order of the polls
+
+def page_envelopes(s: SparkSession, d: str) -> DataFrame:
+    """Pages of 50 lots of every poll, in order of position; a poll that found nothing is one empty page."""
+    rows = load(s, d, "lot_observations")
+    place = F.row_number().over(Window.partitionBy("category", "poll_epoch").orderBy(*POSITION, "item_id")) - 1
+    none = lambda kind: F.lit(None).cast(kind)
+    item = F.struct("item_id", F.col("content_hash").alias("title"), "price", F.lit("rub").alias("currency"), none("decimal(20,8)").alias("ai_price"), none("timestamp").alias("published_at"), F.lit(1).cast("long").alias("seller_id"), "category")
+    pages = rows.withColumn("k", place).groupBy("category", "poll_epoch", (F.floor(F.col("k") / 50) + 1).cast("int").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", item.alias("i")))), lambda x: x["i"]).alias("items"))
+    empty = load(s, d, "polls").join(pages, ["category", "poll_epoch"], "left_anti").select("category", "poll_epoch", F.lit(1).alias("page"), F.array().cast(pages.schema["items"].dataType).alias("items"))
+    return pages.unionByName(empty).select("category", F.timestamp_seconds(F.lit(DAY_ZERO) + F.col("poll_epoch") * POLL_SECONDS).alias("captured_at"), "page", F.lit(50).alias("per_page"), "items")
+
+
+_POLL_EVENTS = f"""{_LATEST}, first_ as (select f.category, count(distinct o.item_id) lot_count from (select category, min(poll_epoch) poll_epoch from {{polls}} group by 1) f left join {{lot_observations}} o using (category, poll_epoch) group by all),
+ gone as (select category, item_id, n, row_number() over (partition by category, n order by item_id) k from history where event_type = 'lot_disappeared'),
+ why as (select category, item_id, n, case when item_state is null or k > 5 then 'unknown' when item_state = 'closed' then 'delisted' when item_state in ('sold','paid','purchased') then 'sold' else 'unknown' end reason from gone left join {{lot_states}} using (item_id)),
+ ev as (select cast(h.item_id as varchar) aggregate_id, h.event_type, case when h.event_type = 'lot_disappeared' then h.content_hash else sha256(h.content_hash || chr(31) || 'rub' || chr(31) || '1') end content_hash, h.n poll_epoch, h.poll_epoch at_epoch,
+   '{{"category":"' || h.category || '"' || coalesce(',"price":"' || cast(price as decimal(20,8)) || '"', '') || coalesce(',"old_price":"' || cast(old_price as decimal(20,8)) || '"', '') || coalesce(',"reason":"' || reason || '","confidence":"' || case reason when 'unknown' then 'low' else 'normal' end || '"', '') || '}}' payload
+   from history h left join why on h.event_type = 'lot_disappeared' and h.category = why.category and h.item_id = why.item_id and h.n = why.n
+   union all select category, 'snapshot_initialized', 'bootstrap:' || lot_count, 1, (select min(poll_epoch) from {{polls}} p where p.category = first_.category), '{{"category":"' || category || '","lot_count":' || lot_count || '}}' from first_),
+ ided as (select {UUID} event_id, * from (select *, {SHA1.format(key="aggregate_id || '|' || event_type || '|' || content_hash || '|' || poll_epoch")} d from ev))"""
+
+
+def polls_logged(s: SparkSession, d: str) -> str:
+    """The folder of a log that the polls' page files have been streamed to, several polls at a time."""
+    pages = page_envelopes(s, d)
+    parts, _ = streams.out_of_order(pages, F.unix_seconds("captured_at"), tuple(range(streams.SLICES)))
+    folder = streams.shared_folder(s, "ss1")
+    states = load(s, d, "lot_states")
+    for k, part in enumerate(parts):
+        part.write.json(f"{folder}/pages/slice={k}")
+        arrived = stream_pages(s, f"{folder}/pages/*", files=1 << 20)
+        arrived.writeStream.foreachBatch(polls_to_log(f"{folder}/log", states)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return f"{folder}/log"
+
+
+@query("ss1_polls_to_log", f"with {_POLL_EVENTS} select event_id, event_type, aggregate_id, content_hash, cast(poll_epoch as bigint) poll_epoch, cast({DAY_ZERO} + at_epoch * {POLL_SECONDS} as bigint) occurred_secs, payload from ided")
+def _(s, d):
+    rows = log.read(s, polls_logged(s, d))
+    return rows.select("event_id", "event_type", "aggregate_id", "content_hash", "poll_epoch", F.unix_seconds("occurred_at").alias("occurred_secs"), "payload")
+
+
+@query("io1_page_files", """select category, item_id, price, title from {lot_observations_titled} union all select 'rejected', null, null, '{"category":"broken' from range(1)""".replace("{lot_observations_titled}", "(select category, item_id, cast(price as decimal(20,8)) price, content_hash title from {lot_observations})"))
+def _(s, d):
+    """Written as files of page envelopes with a broken line among them, and read again."""
+    folder = streams.shared_folder(s, "io1")
+    page_envelopes(s, d).write.json(f"{folder}/pages")
+    s.range(1).select(F.lit('{"category":"broken').alias("value")).write.mode("append").text(f"{folder}/pages")
+    good, rejected = read_pages(s, f"{folder}/pages")
+    bad = rejected.select(F.lit("rejected").alias("category"), F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("decimal(20,8)").alias("price"), F.col("text").alias("title"))
+    return lots_of(good).select("category", "item_id", "price", "title").unionByName(bad)
+
+
+@query("io2_feed_files", "select kind, notification_id, content_type, extra from {notifications} union all select 'rejected', null, null, x from (values ('[1'), ('{\"notification_id\":7}')) t(x)")
+def _(s, d):
+    """A feed as JSON lines, with fields that nobody asked for, a broken line and one without its kind."""
+    folder = streams.shared_folder(s, "io2")
+    load(s, d, "notifications").withColumn("other", F.lit(1)).write.json(f"{folder}/feed")
+    s.createDataFrame([("[1",), ('{"notification_id":7}',)], "value string").write.mode("append").text(f"{folder}/feed")
+    good, rejected = read_feed(s, f"{folder}/feed", NOTIFICATION)
+    none = F.lit(None).cast("string")
+    bad = rejected.select(F.lit("rejected").alias("kind"), F.lit(None).cast("long").alias("notification_id"), none.alias("content_type"), F.col("text").alias("extra"))
+    return good.select("kind", "notification_id", "content_type", "extra").unionByName(bad)
+
+
 @query("ss6_poison", "select seq, seq % 97 = 0 parked from {event_log}")
 def _(s, d):
     rows = stored(s, d).select("seq", F.col("event_id"), "payload")

@@ -8,43 +8,11 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidelog.operators import snapshots
 from tidelog.operators.consume import payload_matches
 from tidelog.schemas import GUARANTEE_WINDOWS, SEEN_SECONDS
 from tidelog.streaming.ordered import in_order
 
 
-def snapshot_batches(load: Callable[[], DataFrame], save: Callable[[DataFrame, DataFrame, int], None], polled_: Callable[[], DataFrame], misses: int) -> Callable[[DataFrame, DataFrame, int], None]:
-    """Lots of one or more polls against the stored baseline, poll by poll: call it with the batch's
-    lots and its polls (category, poll_epoch; polls that found nothing too).
-
-    ``polled_`` gives the last epoch taken of each category (category, poll_epoch): a category's first
-    poll only seeds and tells one snapshot_initialized, and polls already taken are left out, so
-    a replayed batch changes nothing. ``save(events, baseline, epoch)`` keeps both in one step."""
-
-    def run(lots: DataFrame, polls: DataFrame, batch_id: int) -> None:
-        for row in polls.select("poll_epoch").distinct().orderBy("poll_epoch").collect():
-            before = polled_()
-            taken = before.select("category", F.col("poll_epoch").alias("_last"))
-            now = polls.where(F.col("poll_epoch") == row[0]).select("category").distinct().join(taken, "category", "left").where(F.col("_last").isNull() | (F.col("_last") < row[0]))
-            if now.isEmpty():
-                continue  # taken already
-            poll = snapshots.last_wins(lots.where(F.col("poll_epoch") == row[0]).join(now.select("category"), "category", "left_semi"), snapshots.KEY, ["place"])
-            base = load()
-            # only the categories that were polled can miss a lot
-            compared = snapshots.diff(base.join(now.select("category"), "category", "left_semi"), poll)
-            after = snapshots.next_baseline(compared, misses)
-            first = now.where("_last is null").select("category")
-            gone = after.where("ripe").select(*snapshots.KEY, F.lit("lot_disappeared").alias("event_type"))
-            told = compared.where("event_type is not null").join(first, "category", "left_anti").select(*snapshots.KEY, "event_type").unionByName(gone)
-            marks = first.select("category", F.lit(None).cast("long").alias("item_id"), F.lit("snapshot_initialized").alias("event_type"))
-            events = told.unionByName(marks).withColumn("poll_epoch", F.lit(row[0]))
-            other = base.join(now.select("category"), "category", "left_anti")
-            save(events, after.where("not ripe").drop("ripe").unionByName(other.select(*after.columns[:-1])), row[0])
-
-    return run
-
-
 def deduplicated(events: DataFrame, seconds: int = SEEN_SECONDS) -> DataFrame:
     """Each event id once within the time to live, by event time."""
     return events.withWatermark("occurred_at", f"{seconds} seconds").dropDuplicatesWithinWatermark(["event_id"])
