@@ -6,12 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.operators.log import positions
+from tidelog.operators.log import counted_before
 from tidelog.schemas import ACCOUNT_EVENTS, CATALOG_EVENTS, EVENT_TYPES, LAG_ALARM
 
-#: Log numbers that are looked through to find a cursor's place.
-BUCKET = 1024
-
 
 def scope_filters(kind: Column, category: Column, account_alias: Column) -> Column:
     """A typed scope as the map of payload fields it asks for."""
@@ -87,29 +84,40 @@ def catch_up(log: DataFrame, subscriptions: DataFrame, cursors: DataFrame) -> Da
     return fan_out(log.where(F.col("seq") > least), after).where("seq > last_seq")
 
 
+def scanned(log: DataFrame, cursors: DataFrame, limit: int) -> DataFrame:
+    """consumer_name and seq of the first ``limit`` rows of the log above each cursor (consumer_name, last_seq).
+
+    Cursors and the log's numbers are ranged together, only those above the lowest cursor; a cursor
+    learns how many rows lie at or below it, and so the positions of the rows that follow."""
+    least = cursors.agg(F.min("last_seq")).collect()[0][0]
+    if least is None:
+        return cursors.sparkSession.createDataFrame([], "consumer_name string, seq long")
+    none = F.lit(None).cast("string")
+    numbers = log.where(F.col("seq") > least).select("seq", F.lit(True).alias("is_row"), none.alias("consumer_name"))
+    marks = cursors.select(F.col("last_seq").alias("seq"), F.lit(False).alias("is_row"), "consumer_name")
+    # a row comes before the cursors that stand at it
+    placed = counted_before(numbers.union(marks).withColumn("after", ~F.col("is_row")), ["seq", "after", "consumer_name"], "is_row", "pos")
+    wanted = placed.where("not is_row").select("consumer_name", F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + limit)).alias("pos"))
+    return wanted.join(placed.where("is_row").select("pos", "seq"), "pos").select("consumer_name", "seq")
+
+
 def peek(log: DataFrame, subscriptions: DataFrame, cursors: DataFrame, limit: int = 100) -> DataFrame:
     """Per subscription: scan ``limit`` rows after its cursor, then filter. n_items, next_seq (the
     last scanned), last_read_seq, drained. The limit counts scanned rows."""
-    dense = positions(log, ["seq"])
     at = subscriptions.where("active").join(cursors.select("consumer_name", "last_seq"), "consumer_name", "left").withColumn("last_seq", F.coalesce("last_seq", F.lit(0)))
-    # A cursor's position is that of the last row at or below it: in its own bucket of numbers,
-    # or else at the end of an earlier bucket. Only cursors are compared with buckets.
-    bucket = lambda c: F.floor(F.col(c) / BUCKET)
-    rows = dense.select("seq", "pos", bucket("seq").alias("b"))
-    cursor = at.select("consumer_name", "last_seq", bucket("last_seq").alias("b")).distinct()
-    inside = cursor.join(rows, "b").where("seq <= last_seq").groupBy("consumer_name").agg(F.max("pos").alias("inside"))
-    ends = rows.groupBy("b").agg(F.max("pos").alias("end")).withColumnRenamed("b", "eb")
-    before = cursor.join(ends, F.col("eb") < F.col("b")).groupBy("consumer_name").agg(F.max("end").alias("before"))
-    start = cursor.select("consumer_name").join(inside, "consumer_name", "left").join(before, "consumer_name", "left").select("consumer_name", F.coalesce("inside", "before", F.lit(0)).alias("start"))
-    window = at.join(start, "consumer_name")
-    wanted = window.withColumn("pos", F.explode(F.sequence(F.col("start") + 1, F.col("start") + limit)))
-    scanned = wanted.join(dense, "pos")
-    hit = matches(F.col("event_type"), F.col("payload"), F.col("event_types"), F.col("filters"))
-    got = scanned.groupBy("consumer_name").agg(F.count("*").alias("scanned"), F.count(F.when(hit, 1)).alias("n_items"), F.max("seq").alias("next_seq"))
-    out = window.select("consumer_name", F.col("last_seq").alias("last_read_seq")).join(got, "consumer_name", "left")
+    got = pending(log, at, limit).groupBy("consumer_name").agg(F.count("*").alias("scanned"), F.count(F.when(F.col("hit"), 1)).alias("n_items"), F.max("seq").alias("next_seq"))
+    out = at.select("consumer_name", F.col("last_seq").alias("last_read_seq")).join(got, "consumer_name", "left")
     return out.select("consumer_name", "last_read_seq", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("next_seq", "last_read_seq").alias("next_seq"), (F.coalesce("scanned", F.lit(0)) < limit).alias("drained"))
 
 
+def pending(log: DataFrame, at: DataFrame, limit: int = 100) -> DataFrame:
+    """The rows that each subscription of ``at`` (with last_seq) scans, with ``hit``: whether it asks for them."""
+    rows = scanned(log, at.select("consumer_name", "last_seq"), limit).join(log, "seq")
+    asked = at.select("consumer_name", F.col("event_types").alias("_types"), F.col("filters").alias("_filters"))
+    hit = matches(F.col("event_type"), F.col("payload"), F.col("_types"), F.col("_filters"))
+    return rows.join(asked, "consumer_name").withColumn("hit", hit).drop("_types", "_filters")
+
+
 def watermark(cursors: DataFrame) -> DataFrame:
     return cursors.agg(F.min("last_seq").alias("watermark"))
 

@@ -58,6 +58,23 @@ def positions(rows: DataFrame, order: list[str], name: str = "pos", partitions:
     return placed.join(shift, "_part").withColumn(name, F.col("_shift") + place).drop("_part", "_shift", "_id")
 
 
+def counted_before(rows: DataFrame, order: list[str], counts: str, name: str = "rank") -> DataFrame:
+    """``rows`` with how many of them, up to and with each in ``order``, have ``counts`` (a boolean column).
+
+    Rows of several kinds may be ranged together, so that those that don't count learn their place
+    among those that do: an as-of join in one exchange by range. Each part counts its own, and the
+    count that it starts from is carried over from the parts before (a table of one row per part)."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stable(rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_part", F.shiftright("_id", 33))
+    one = F.when(F.col(counts), 1).otherwise(0)
+    parts = ranged.groupBy("_part").agg(F.sum(one).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    inside = F.sum(one).over(Window.partitionBy("_part").orderBy("_id"))
+    return ranged.withColumn("_n", inside).join(shift, "_part").withColumn(name, F.col("_n") + F.col("_shift")).drop("_part", "_shift", "_id", "_n")
+
+
 def new_events(events: DataFrame, known: DataFrame, order: Sequence[str] = ("occurred_at",)) -> DataFrame:
     """Events whose ``event_id`` isn't in ``known`` (a log, or ids alone), whatever else they hold; of rows
     with the same id the first in ``order`` stays."""
@@ -121,7 +138,7 @@ def commit(events: DataFrame, folder: str, run: int, order: list[str], baseline:
     place = f"run={run}/attempt={attempt}"
     events = stable(events)
     known = id_index.known(events.select("event_id"), folder, markers.select("run", "attempt"))
-    append(events, known, order, state["head"]).write.parquet(f"{folder}/events/{place}")
+    append(events, known, order, state["head"]).select(_LOG_COLUMNS).write.parquet(f"{folder}/events/{place}")
     for name, table in (dict(tables or {}) | ({} if baseline is None else {"baseline": baseline})).items():
         table.write.parquet(f"{folder}/{name}/{place}")
     added = spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/events/{place}")

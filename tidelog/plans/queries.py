@@ -10,10 +10,10 @@ from tidelog.functions import ids, payload as pl
 from tidelog.operators import consume, delivery, feeds, log, snapshots
 from tidelog.plans import streams
 from tidelog.plans.router import Router, collect_sources
-from tidelog.schemas import EVENT_TYPES, NOTIFICATION
+from tidelog.schemas import EVENT_COLUMNS, EVENT_TYPES, NOTIFICATION
 from tidelog.sources.domain import duckdb_sql, load
 from tidelog.sources.pages import lots_of, parsed_invoices, read_feed, read_pages, stream_pages
-from tidelog.streaming import jobs
+from tidelog.streaming import consumers, jobs
 from tidelog.streaming.polls import lot_log_events, polls_to_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -719,6 +719,31 @@ def _(s, d):
     return found.select("item_id", F.unix_seconds("tick").alias("tick"), "label", F.unix_seconds("guarantee_end").alias("guarantee_end"))
 
 
+def log_in_runs(s: SparkSession, d: str, runs: int) -> str:
+    """The folder of a log with the events in order of their numbers, committed in several runs."""
+    folder = f"{streams.shared_folder(s, 'log')}/log"
+    rows = log.stable(stored(s, d).withColumnRenamed("seq", "old"))
+    size = rows.count() // runs + 1
+    for k in range(runs):
+        part = rows.where((F.col("old") > k * size) & (F.col("old") <= (k + 1) * size))
+        log.commit(part.select("old", *EVENT_COLUMNS), folder, k, ["old"])
+    return folder
+
+
+@query("ss5_catch_up_consumers", "select consumer_name, seq from {matched} left join {cursors} using (consumer_name) where seq > coalesce(last_seq, 0)")
+def _(s, d):
+    """All subscriptions from their cursors on, run after run; a number that a consumer gets out of order shows as 0."""
+    log_folder = log_in_runs(s, d, 3)
+    folder = streams.shared_folder(s, "ss5")
+    consumers.advance(s, folder, 0, load(s, d, "cursors"))
+    who = lambda: subs(s, d)
+    stream = consumers.new_heads(s, log_folder).writeStream.foreachBatch(consumers.catch_up(log_folder, folder, who))
+    stream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = consumers.delivered(s, folder, consumers.DELIVERY)
+    before = F.coalesce(F.max("seq").over(Window.partitionBy("consumer_name").orderBy("version", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_before", before).select("consumer_name", F.when(F.col("seq") > F.col("_before"), F.col("seq")).otherwise(0).alias("seq"))
+
+
 # ---- polls as page files, in the order of the polls
 
 def page_envelopes(s: SparkSession, d: str) -> DataFrame:
@@ -745,7 +770,7 @@ _POLL_EVENTS = f"""{_LATEST}, first_ as (select f.category, count(distinct o.ite
 def polls_logged(s: SparkSession, d: str) -> str:
     """The folder of a log that the polls' page files have been streamed to, several polls at a time."""
     pages = page_envelopes(s, d)
-    parts, _ = streams.out_of_order(pages, F.unix_seconds("captured_at"), tuple(range(streams.SLICES)))
+    parts, _ = streams.out_of_order(pages, F.unix_seconds("captured_at"), (0, 1, 2))
     folder = streams.shared_folder(s, "ss1")
     states = load(s, d, "lot_states")
     for k, part in enumerate(parts):

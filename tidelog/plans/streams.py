@@ -37,13 +37,14 @@ def state_with_timers(spark: SparkSession) -> Iterator[None]:
 
 
 def out_of_order(rows: DataFrame, seconds: Column, order: tuple[int, ...] = ARRIVAL) -> tuple[list[DataFrame], str]:
-    """``rows`` in SLICES parts by time (``seconds``), each part before the one it should follow, and the
-    lateness that a watermark must allow so that none is too late."""
+    """``rows`` in as many parts by time (``seconds``) as ``order`` has, in that order (by default each part
+    comes before the one it should follow), and the lateness that a watermark must allow so that none
+    is too late."""
     rows = stable(rows.withColumn("_at", seconds.cast("long")))
     low, high = rows.agg(F.min("_at"), F.max("_at")).collect()[0]
     if low is None:
         return [rows.drop("_at")], "0 seconds"
-    width = (high - low) // SLICES + 1
+    width = (high - low) // len(order) + 1
     parts = [rows.where(F.floor((F.col("_at") - low) / width) == k).drop("_at") for k in order]
     return parts, f"{2 * width} seconds"
 
