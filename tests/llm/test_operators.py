@@ -336,6 +336,31 @@ def test_toxicity(spark, empty):
     assert toxicity.scored(empty, toxicity.train(empty, marks)).count() == 0
 
 
+def test_toxicity_is_the_noisy_or(spark):
+    """Scores, gradients' result and the place of the cut against plain loops."""
+    texts = ["good day. fine words here.", "you zork. fine day.", "zork zork! bad zork here. good", "fine. good. day.", "", None] * 6
+    labels = [0, 1, 1, 0, 0, 0] * 6
+    model = toxicity.fit(texts, labels)
+    for text in texts[:6]:
+        logits = []
+        for part in re.split(r"[.!?\n]+", (text or "").lower()):
+            words = {w.strip(toxicity._EDGE) for w in part.split()} - {""}
+            if words:
+                logits.append(model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w, *("^" + w[:n] for n in (4, 5) if len(w) >= n)]))
+        clean = math.prod(1 / (1 + math.exp(z)) for z in logits)
+        bag = math.log((1 - clean) / clean) if logits else None
+        assert model.score(model.logits(text)) == pytest.approx(1 / (1 + math.exp(-(model.slope * bag + model.shift))) if logits else 0.0)
+    assert model.score(model.logits("a zork.")) > 0.5 > model.score(model.logits("a good day."))
+    rnd = random.Random(1)
+    for _ in range(50):
+        n = rnd.randint(2, 12)
+        x, y = np.array([rnd.choice([0.0, 1.0, 1.5, rnd.random() * 3]) for _ in range(n)]), np.array([float(rnd.random() < 0.4) for _ in range(n)])
+        if not 0 < y.sum() < n:
+            continue
+        f1 = lambda cut: 2 * y[x > cut].sum() / ((x > cut).sum() + y.sum())
+        assert f1(toxicity.best_cut(x, y)) == pytest.approx(max(f1(c) for c in [*(x - 1e-6), x.max() + 1]))
+
+
 def test_language_model(docs, rows, empty):
     got = gru_lm.score_documents(docs).collect()
     cut = [(i, WORDS.findall((t or "").translate(LOWER)) + ["\n"]) for i, t, *_ in rows]
@@ -383,6 +408,33 @@ def test_language_model_learns_from_every_training_text(spark):
     assert any(r.held_out for r in got) and all(r.score > 0.5 * r.base_score for r in got)
 
 
+def test_language_model_scores_again_alike(spark):
+    """The same table gives the same scores to the last bit, whatever its blocks; words that are rare within
+    their class get its probability by their counts."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choices([f"w{k}" for k in range(300)], weights=[1 / (k + 1) for k in range(300)], k=120)), "en", "s", 0) for i in range(90)]
+    docs = spark.createDataFrame(rows, DOC).repartition(6, "doc_id")
+    first, again = by_id(gru_lm.score_documents(docs)), by_id(gru_lm.score_documents(docs))
+    assert first == again and len(first) == 90 and len({r[6] for r in first}) > 80
+
+
+def test_language_model_shares_of_rare_words(spark, monkeypatch):
+    """A text of one rare word more than another: its score differs by the word's share of its class, times what the
+    network gives the class, which is the same for two words of one class and one length of text."""
+    monkeypatch.setattr(gru_lm, "vocabulary_size", lambda tokens: gru_lm.CLASS_WORDS)
+    rnd = random.Random(2)
+    common = [f"c{k}" for k in range(gru_lm.CLASS_WORDS)]
+    words = [w for w in (f"r{a}{b}q" for a in "abcdefgh" for b in "abcdefgh")]
+    pair = next((a, b) for i, a in enumerate(words) for b in words[i + 1 :] if gru_lm.ending(a) == gru_lm.ending(b))
+    train = [i for i in range(400) if gru_lm.training(i)][:60]
+    held = [i for i in range(400) if not gru_lm.training(i)][:2]
+    rows = [(i, " ".join(rnd.choices(common, k=200) + [pair[0]] * 3 + ([pair[1]] if k % 3 == 0 else [])), "en", "s", 0) for k, i in enumerate(train)]
+    rows += [(held[0], pair[0], "en", "s", 0), (held[1], pair[1], "en", "s", 0)]
+    found = {r[0]: r[6] for r in by_id(gru_lm.score_documents(spark.createDataFrame(rows, DOC)))}
+    counts = (3 * 60, 20)
+    assert math.isclose(found[held[0]] - found[held[1]], math.log10((counts[0] + 0.5) / (counts[1] + 0.5)), rel_tol=1e-4)
+
+
 def test_language_model_words_grow_with_the_tokens():
     sizes = [gru_lm.vocabulary_size(10**k) for k in range(5, 11)]
     assert sizes[0] == gru_lm.FREQUENT and sizes[-3] < sizes[-2] < sizes[-1] and all(n % gru_lm.CLASS_WORDS == 0 for n in sizes)

@@ -9,7 +9,6 @@ or a source with a third of all rows, is no hot key: a bucket holds many words.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,7 +16,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.llm import tokens
@@ -63,11 +64,12 @@ def word_blocks(docs: DataFrame, numbered: Callable[[pa.Array], tuple[pa.Array,
     ``buckets`` each word's bucket, ``words`` the bucket's words in that order, ``counts`` how often
     each occurs in documents for whose id ``counted`` is true. ``numbered`` gives a column's distinct
     words, the number of each word of its texts, and where each text's words end. Null texts count
-    as empty. Block ids are random, so write the table before use.
+    as empty. A block's number is a hash of its documents and of its place among the task's blocks, so
+    the same partitions give the same numbers; write the table before use.
     """
     number = bucket_number(docs.sparkSession)
 
-    def close(ids, lengths, places, known) -> pa.RecordBatch:
+    def close(ids, lengths, places, known, nth: int) -> pa.RecordBatch:
         flat = np.concatenate(places) if places else np.zeros(0, np.uint32)
         order = np.argsort(-np.bincount(flat, minlength=len(known)), kind="stable")
         rank = np.empty(len(known), np.int64)
@@ -84,13 +86,17 @@ def word_blocks(docs: DataFrame, numbered: Callable[[pa.Array], tuple[pa.Array,
             n = np.bincount(flat[mask], minlength=len(words))
             counts = [pack(n[o]) for o in own]
         columns = [
-            pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(flat)]), pa.array([pack(buckets)]),
+            pa.array([own_number(ids, flat, nth)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(flat)]), pa.array([pack(buckets)]),
             pa.array([[pack_words([words[i] for i in o.tolist()]) for o in own]], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.binary())),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "lengths", "places", "buckets", "words", "counts"])
 
+    def own_number(ids: list, flat: np.ndarray, nth: int) -> int:
+        place = f"{TaskContext.get().partitionId()} {nth} {ids}".encode()
+        return xxhash.xxh64_intdigest(place + np.ascontiguousarray(flat).tobytes()) >> 1
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lengths, places, known, size = [], [], [], {}, 0
+        ids, lengths, places, known, size, nth = [], [], [], {}, 0, 0
         for batch in batches:
             doc_ids, row = [None if x is None else int(x) for x in batch.column("doc_id").to_pylist()], 0
             for run in tokens.runs(batch.column("text")):
@@ -102,10 +108,10 @@ def word_blocks(docs: DataFrame, numbered: Callable[[pa.Array], tuple[pa.Array,
                 row += len(run)
                 size += pc.sum(pc.utf8_length(run)).as_py() or 0
                 if size >= chars:
-                    yield close(ids, lengths, places, known)
-                    ids, lengths, places, known, size = [], [], [], {}, 0
+                    yield close(ids, lengths, places, known, nth)
+                    ids, lengths, places, known, size, nth = [], [], [], {}, 0, nth + 1
         if ids:
-            yield close(ids, lengths, places, known)
+            yield close(ids, lengths, places, known, nth)
 
     # ids as text keep whole where some are null
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, SCHEMA)

@@ -36,10 +36,10 @@ FREQUENT, CLASS_WORDS, ENDINGS = 1024, 32, 64
 COUNTED_TOKENS = 16_000_000
 HIDDEN = 24
 WINDOW = 32
-#: Rounds between which weights are averaged. Up to SMALL_TOKENS each round reads all training
-#: documents; beyond, each block has its round and is read once.
+#: Rounds between which weights are averaged. Each block has its round, by its number, so that every
+#: training text is read once, however many there are.
 ROUNDS = 3
-SMALL_TOKENS = 4_000_000
+RATE = 0.02
 #: Texts a task reads side by side; weights summed by a task of the tree.
 LANES = 128
 FAN = 8
@@ -305,6 +305,7 @@ def build_vocabulary(counted: DataFrame, frequent: int) -> Vocabulary:
 
 def add_up(frame: pd.DataFrame) -> pd.DataFrame:
     """One row: the sum of the weights' products and of the tokens."""
+    frame = frame.sort_values(["tokens", "weights"])  # the same order in every run
     total = sum(np.frombuffer(w, np.float64) for w in frame["weights"])
     return pd.DataFrame({"part": frame["part"].iloc[:1], "tokens": [frame["tokens"].sum()], "weights": [total.tobytes()]})
 
@@ -313,10 +314,10 @@ PART = "part long, tokens long, weights binary"
 
 
 def train_network(table: DataFrame, vocabulary: Vocabulary) -> Network:
-    """The network after ROUNDS rounds over the training documents of all blocks. A round's result
-    is the mean of the tasks' weights, by the tokens that each has learned from."""
+    """The network after ROUNDS rounds, each over the training documents of its blocks. A round's result
+    is the mean of the tasks' weights, by the tokens that each has learned from. The same blocks in
+    the same partitions give the same network."""
     network = Network(frequent=vocabulary.frequent)
-    apart = vocabulary.total > SMALL_TOKENS
     # a task's number keeps its meaning in later levels: FAN neighbours are summed together
     own = table.select(F.spark_partition_id().cast("long").alias("part"), "block", "doc_ids", "lengths", "places", "buckets", "words")
     for turn in range(ROUNDS):
@@ -332,12 +333,12 @@ def train_network(table: DataFrame, vocabulary: Vocabulary) -> Network:
                     ids = word_ids(row, vocabulary)[blocks.unpack(row.places)]
                     edges = np.concatenate(([0], np.cumsum(row.lengths))).astype(np.int64)
                     texts = [ids[a:b] for a, b, use in zip(edges[:-1], edges[1:], mine) if use]
-                    model.train(texts, rate=0.01 if turn < ROUNDS - 1 else 0.003, seed=turn)
+                    model.train(texts, rate=RATE, seed=turn)
                     tokens += sum(map(len, texts))
             if tokens:
                 yield pd.DataFrame({"part": [part], "tokens": [tokens], "weights": [(model.flat().astype(np.float64) * tokens).tobytes()]})
 
-        sums = (own.where(F.pmod("block", F.lit(ROUNDS)) == turn) if apart else own).mapInPandas(learn, PART)
+        sums = own.where(F.pmod("block", F.lit(ROUNDS)) == turn).mapInPandas(learn, PART)
         parts = table.rdd.getNumPartitions()
         while parts > FAN:
             parts = -(-parts // FAN)

@@ -10,15 +10,16 @@ fitted without them has scored.
 
 from __future__ import annotations
 
+import pickle
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidelog.llm.shared import id_crc
 
@@ -36,9 +37,6 @@ STEPS = 200
 #: Parts of the sample that are scored by a model of the others, for calibration.
 FOLDS = 3
 PREDICTED_FROM = 0.7
-#: A toxic document that is missed counts as much as so many clean ones that are rejected: the odds
-#: of every score are raised by it.
-MISS_COST = 3.0
 #: Probability from which a sentence counts as offending.
 OFFENDING = 0.5
 
@@ -87,8 +85,10 @@ class Model:
 
 
 def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through logits ``x`` and labels ``y``, by Newton's steps,
-    with the odds raised by MISS_COST."""
+    """Slope and shift of a logistic curve over logits ``x`` that others' models gave, with labels ``y``.
+
+    The slope is that of the best fit, by Newton's steps. The shift puts PREDICTED_FROM where telling
+    toxic from clean has the best F1 among these documents; between equally good places, in the middle."""
     x = np.clip(x, -30, 30)
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     w = np.array([1.0, 0.0])
@@ -98,23 +98,45 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         grad = design.T @ (p - target) + 1e-3 * (w - (1.0, 0.0))
         hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         w = w - np.clip(np.linalg.solve(hessian, grad), -1, 1)
-    return max(float(w[0]), 0.05), float(w[1]) + float(np.log(MISS_COST))
+    slope = max(float(w[0]), 0.05)
+    return slope, float(np.log(PREDICTED_FROM / (1 - PREDICTED_FROM))) - slope * best_cut(x, y)
+
+
+def best_cut(x: np.ndarray, y: np.ndarray) -> float:
+    """The place among logits ``x`` above which calling documents toxic has the best F1."""
+    order = np.argsort(-x, kind="stable")
+    x, y = x[order], y[order]
+    caught, called = np.cumsum(y), np.arange(1, len(x) + 1)
+    ends = np.append(x[:-1] > x[1:], True)  # equal logits can't be parted
+    f1 = np.where(ends, 2 * caught / (called + y.sum()), -1.0)
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    k = int(best[len(best) // 2])
+    return float((x[k] + x[k + 1]) / 2 if k + 1 < len(x) else x[k] - 1)
 
 
-def fit_calibrated(texts: list[str | None], labels: list[int]) -> Model:
-    """:func:`fit` on all, with the curve from FOLDS parts that models of the others have scored."""
-    model = fit(texts, labels)
+def fit_calibrated(texts: list[str | None], labels: list[int], fits: Callable[[Callable[[int], bytes]], dict[int, bytes]] | None = None) -> Model:
+    """:func:`fit` on all, with the curve from FOLDS parts that models of the others have scored.
+
+    ``fits`` runs the FOLDS + 1 fits (by default one after the other here)."""
+    y = np.array(labels, dtype=float)
+    if not len(y) or y.min() == y.max():
+        return fit(texts, labels)
+
+    def part(k: int) -> bytes:
+        """What fold ``k``'s model says about its own documents; for FOLDS the model of all."""
+        if k == FOLDS:
+            return pickle.dumps(fit(texts, labels))
+        rest = [i for i in range(len(texts)) if i % FOLDS != k]
+        model = fit([texts[i] for i in rest], [labels[i] for i in rest])
+        return np.array([model.bag(model.logits(texts[i])) for i in range(k, len(texts), FOLDS)]).tobytes()
+
+    done = {k: part(k) for k in range(FOLDS + 1)} if fits is None else fits(part)
+    model, x = pickle.loads(done[FOLDS]), np.zeros(len(y))
     if not model.weights:
         return model
-    y, x = np.array(labels, dtype=float), np.zeros(len(labels))
     for k in range(FOLDS):
-        own = set(range(k, len(texts), FOLDS))
-        rest = [i for i in range(len(texts)) if i not in own]
-        part = fit([texts[i] for i in rest], [labels[i] for i in rest])
-        for i in own:
-            x[i] = part.bag(part.logits(texts[i]))
-    slope, shift = calibrated(x, y)
-    return Model(model.bias, model.weights, slope, shift)
+        x[k::FOLDS] = np.frombuffer(done[k])
+    return Model(model.bias, model.weights, *calibrated(x, y))
 
 
 def fit(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Model:
@@ -163,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     Rows without a label don't count; a document with several labels is toxic if one says so.
     Documents are chosen by a hash of their ids among ids alone; only the texts of the chosen
-    are fetched, each distinct text of an id once, and those beyond SAMPLE_CHARS left out.
+    are fetched, each distinct text of an id once (SAMPLE_DOCUMENTS in all), and those beyond
+    SAMPLE_CHARS left out.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
@@ -178,8 +201,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     wanted = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in chosen], "doc_id long, toxic int")
     texts = docs.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(wanted), "doc_id")
     once = texts.groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
-    rows = sorted(once.collect(), key=lambda r: (r["doc_id"], r["hash"]))
-    return fit_calibrated([r["text"] for r in rows], [r["toxic"] for r in rows])
+    # an id may stand for many texts: of all, as many as documents may be fitted, by a hash of both
+    few = once.orderBy(F.xxhash64("doc_id", "hash"), "doc_id", "hash").limit(SAMPLE_DOCUMENTS)
+    rows = sorted(few.collect(), key=lambda r: (r["doc_id"], r["hash"]))
+    return fit_calibrated([r["text"] for r in rows], [r["toxic"] for r in rows], lambda part: _in_tasks(docs.sparkSession, part))
+
+
+def _in_tasks(spark: SparkSession, part: Callable[[int], bytes]) -> dict[int, bytes]:
+    """Each fit in a task of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield pd.DataFrame({"k": frame["id"], "found": [part(int(k)) for k in frame["id"]]})
+
+    found = spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInPandas(run, "k long, found binary").collect()
+    return {r["k"]: bytes(r["found"]) for r in found}
 
 
 def scored(docs: DataFrame, model: Model, least: float = OFFENDING) -> DataFrame:
