@@ -8,8 +8,9 @@ from tidelog.schemas import EVENT_NAMESPACE
 
 
 def event_id(aggregate_id: Column, event_type: Column, content_hash: Column, poll_epoch: Column) -> Column:
-    """uuid5 of ``aggregate|type|hash|epoch`` in the fixed namespace, as 36 characters."""
-    key = F.concat_ws("|", aggregate_id, event_type, content_hash, poll_epoch.cast("string"))
+    """uuid5 of ``aggregate|type|hash|epoch`` in the fixed namespace, as 36 characters; null if a part is."""
+    bar = F.lit("|")
+    key = F.concat(aggregate_id.cast("string"), bar, event_type, bar, content_hash, bar, poll_epoch.cast("string"))
     digest = F.sha1(F.concat(F.unhex(F.lit(EVENT_NAMESPACE)), F.encode(key, "UTF-8")))
     cut = lambda a, n: F.substring(digest, a, n)
     variant = F.translate(cut(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
@@ -17,7 +18,9 @@ def event_id(aggregate_id: Column, event_type: Column, content_hash: Column, pol
 
 
 def payment_hash(operation_id: Column, operation_type: Column, amount_text: Column) -> Column:
-    return F.sha2(F.concat_ws(":", operation_id.cast("string"), operation_type, amount_text), 256)
+    """Digest of ``id:type:amount``; a null part reads None, as no part's text is."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    return F.sha2(F.concat(text(operation_id), F.lit(":"), text(operation_type), F.lit(":"), text(amount_text)), 256)
 
 
 def fields_hash(*fields: Column) -> Column:

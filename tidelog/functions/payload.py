@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidelog.schemas import SOLD_STATES
 
@@ -16,6 +17,49 @@ def iso(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
 
 
+def jsonable(value: Column, kind: T.DataType) -> Column:
+    """``value`` with money, times and other kinds that JSON lacks as text, at any depth of structs, arrays and maps.
+
+    Decimals keep their digits, times are ISO-8601 in UTC, dates and fractions their text, keys of
+    maps their text; null stays null. Binary values have no text and are an error."""
+    if isinstance(kind, (T.StringType, T.IntegralType, T.BooleanType, T.NullType)):
+        return value
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return iso(value)
+    if isinstance(kind, (T.DecimalType, T.DateType, T.FractionalType)):
+        return value.cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: jsonable(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        keyed = F.transform_keys(value, lambda k, _: map_key(k, kind.keyType))
+        return F.transform_values(keyed, lambda _, v: jsonable(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        fields = [jsonable(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    raise TypeError(f"no JSON for {kind.simpleString()}")
+
+
+def map_key(key: Column, kind: T.DataType) -> Column:
+    """A key as text: a time with a blank for its T, a truth value with a capital."""
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.regexp_replace(iso(key), "T", " ")
+    return F.initcap(key.cast("string")) if isinstance(kind, T.BooleanType) else key.cast("string")
+
+
+def encoded(rows: DataFrame, *fields: str, tags: Mapping[str, str] | None = None) -> Column:
+    """The payload of an event: columns ``tags`` (by name) and then ``fields`` of ``rows`` as one JSON object.
+
+    A field wins over a tag of its name; a tag without a value is left out, a field's null stays."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    own = F.to_json(F.struct(*[jsonable(F.col(c), kinds[c]).alias(c) for c in fields]), {"ignoreNullFields": "false"}) if fields else F.lit("{}")
+    marks = {k: c for k, c in (tags or {}).items() if k not in fields}
+    if not marks:
+        return own
+    first = F.to_json(F.struct(*[jsonable(F.col(c), kinds[c]).alias(k) for k, c in marks.items()]))
+    between = F.when((first == "{}") | (own == "{}"), "").otherwise(",")
+    return F.concat(F.expr("'{'"), F.substr(first, F.lit(2), F.length(first) - 2), between, F.substr(own, F.lit(2)))
+
+
 def payload(**fields: Column) -> Column:
     """One JSON object of declared fields; nulls stay. Cast money to text before."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})

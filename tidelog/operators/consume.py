@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidelog.operators.log import counted_before
+from tidelog.operators.log import counted_before, stable
 from tidelog.schemas import ACCOUNT_EVENTS, CATALOG_EVENTS, EVENT_TYPES, LAG_ALARM
 
 
@@ -54,26 +54,54 @@ def validated(subscriptions: DataFrame, aliases: DataFrame) -> DataFrame:
 SCOPES = ("category", "account_alias")
 
 
-def fan_out(log: DataFrame, subscriptions: DataFrame) -> DataFrame:
+#: Events of one key that a task should join, and how many keys may be dealt out at most.
+HOT_ROWS = 1_000_000
+MOST_HOT = 10_000
+
+_KEY = ["event_type", "_field", "_value"]
+
+
+def _keyed(log: DataFrame) -> DataFrame:
+    """An event once for no scope and once for each scope field it has; its payload is read once."""
+    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
+    own = F.transform(F.array(*map(F.lit, SCOPES)), lambda k: pair(k, F.try_element_at(F.col("_data"), k)))
+    pairs = F.concat(F.array(pair(F.lit(""), F.lit(""))), F.filter(F.coalesce(own, F.array().cast("array<struct<k:string,v:string>>")), lambda p: p["v"].isNotNull()))
+    read = log.withColumn("_data", F.from_json("payload", "map<string,string>")).withColumn("_pair", F.explode(pairs))
+    return read.withColumns({"_field": F.col("_pair.k"), "_value": F.col("_pair.v")}).drop("_data", "_pair")
+
+
+def hot_keys(log: DataFrame, rows: int = HOT_ROWS, most: int = MOST_HOT) -> DataFrame:
+    """Keys of :func:`fan_out` with more than ``rows`` events, and how many ways to deal them (``_ways``).
+
+    Events are counted where they lie, so a hot key is no hot key here. At most ``most`` keys, as
+    none has less than that share of all, so the result may be sent to all tasks."""
+    counts = _keyed(log.select("event_type", "payload")).groupBy(*_KEY).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    hot = counts.crossJoin(F.broadcast(total)).where((F.col("_n") > rows) & (F.col("_n") > F.col("_all") / most))
+    return stable(hot.select(*_KEY, F.ceil(F.col("_n") / rows).alias("_ways")))
+
+
+def fan_out(log: DataFrame, subscriptions: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Each event with each active subscription that matches it.
 
     The payload is read once per event. An equi-join on type and scope: an event stands once for
     no scope and once for each scope field it has, a subscription for the field it asks for, so
-    only those that ask for more fields are compared with a payload again."""
+    only those that ask for more fields are compared with a payload again. Events of ``hot`` keys
+    (:func:`hot_keys`) are dealt to several tasks, and the key's subscriptions go to each of these."""
     asks = F.col("filters")
     field = F.lit("")
     for name in reversed(SCOPES):
         field = F.when(F.map_contains_key(asks, name), name).otherwise(field)
     asked = subscriptions.where("active").withColumn("event_type", F.explode(F.array_distinct("event_types"))).drop("event_types")
     asked = asked.withColumn("_field", field).withColumn("_value", F.coalesce(F.try_element_at(asks, field), F.lit("")))
-    data = F.from_json("payload", "map<string,string>")
-    pair = lambda k, v: F.struct(k.alias("k"), v.alias("v"))
-    own = F.transform(F.array(*map(F.lit, SCOPES)), lambda k: pair(k, F.try_element_at(F.col("_data"), k)))
-    pairs = F.concat(F.array(pair(F.lit(""), F.lit(""))), F.filter(F.coalesce(own, F.array().cast("array<struct<k:string,v:string>>")), lambda p: p["v"].isNotNull()))
-    keyed = log.withColumn("_data", data).withColumn("_pair", F.explode(pairs)).withColumn("_field", F.col("_pair.k")).withColumn("_value", F.col("_pair.v")).drop("_data", "_pair")
+    keyed, key = _keyed(log), list(_KEY)
+    if hot is not None:
+        ways = F.coalesce("_ways", F.lit(1))
+        keyed = keyed.join(F.broadcast(hot), _KEY, "left").withColumn("_way", F.pmod(F.xxhash64("seq"), ways)).drop("_ways")
+        asked = asked.join(F.broadcast(hot), _KEY, "left").withColumn("_way", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1))).drop("_ways")
+        key.append("_way")
     more = F.size("filters") > F.when(F.col("_field") == "", 0).otherwise(1)
-    joined = keyed.join(asked, ["event_type", "_field", "_value"])
-    return joined.where(~more | payload_matches(F.col("payload"), asks)).drop("_field", "_value")
+    return keyed.join(asked, key).where(~more | payload_matches(F.col("payload"), asks)).drop("_field", "_value", "_way")
 
 
 def catch_up(log: DataFrame, subscriptions: DataFrame, cursors: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidelog.functions.ids import event_id, payment_hash
-from tidelog.functions.payload import guarantee_time, iso, payload, unix_time
+from tidelog.functions.ids import event_id, keyed_hash, payment_hash
+from tidelog.functions.payload import encoded, guarantee_time, iso, payload, unix_time
+from tidelog.operators.log import typed
 from tidelog.schemas import EVENT_COLUMNS, GUARANTEE_WINDOWS, INVOICE_EVENTS, NOTIFICATION_EVENTS, NOTIFICATION_FALLBACKS, PAYMENT_EVENTS, SEEN_SECONDS
 
 
@@ -157,6 +158,71 @@ def guarantee_levels(watches: DataFrame) -> DataFrame:
     return out.withColumn("_most", F.coalesce(F.max("level").over(before), F.lit(0))).where(F.col("level") > F.col("_most")).drop("_most")
 
 
+def logged(rows: DataFrame, *fields: str, tags: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of the log from rows with event_type, aggregate_id, content_hash, poll_epoch and occurred_at, their
+    payload made of ``fields`` and ``tags``; ``keep`` names further columns to keep."""
+    rows = rows.withColumns({"schema_version": F.lit(1), "poll_epoch": F.col("poll_epoch").cast("long"), "payload": encoded(rows, *fields, tags=tags)})
+    return rows.withColumn("event_id", event_id(F.col("aggregate_id"), F.col("event_type"), F.col("content_hash"), F.col("poll_epoch"))).select(*EVENT_COLUMNS, *keep)
+
+
+def notification_job(rows: DataFrame, marks: DataFrame, seen: DataFrame, poll_epoch: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One poll of the notification feeds: log events, rejected rows, rows newly seen (notification_id,
+    content_hash) and the feeds' marks (kind, mark).
+
+    A feed whose newest id isn't above its mark tells nothing. Rows seen with the same content type
+    and time give nothing; rejected rows count as seen, so they are told once."""
+    changed = feed_changed(rows, marks, "kind", "notification_id").where("changed").select("kind")
+    due = rows.join(changed, "kind", "left_semi").withColumn("content_hash", keyed_hash(F.col("content_type"), F.col("created_at")))
+    new = unseen(due.dropDuplicates(["kind", "notification_id", "content_hash"]), seen, "notification_id", "content_hash")
+    typed = notification_events(new.withColumn("occurred_at", F.timestamp_seconds("created_at")).withColumn("poll_epoch", F.lit(poll_epoch)))
+    good = typed.where("rejected is null").drop("created_at").withColumn("created_at", F.col("occurred_at"))
+    fallback = F.col("event_type").isin(list(NOTIFICATION_FALLBACKS.values()))
+    claims = F.col("event_type").isin("dispute_opened", "claim_filed")
+    events = logged(good.where(claims), "claim_id", "item_id").unionByName(logged(good.where(~claims & ~fallback), "item_id", "buyer_id")).unionByName(logged(good.where(fallback), "notification_id", "content_type", "created_at"))
+    return events, typed.where("rejected is not null"), new.select("notification_id", "content_hash"), advanced_marks(due, marks, "kind", "notification_id")
+
+
+def invoice_job(invoices: DataFrame, occurred_at: Column) -> DataFrame:
+    """Log events of invoice bodies (invoice_id, status, event_id, amount, currency)."""
+    rows = invoice_events(invoices).withColumns({"aggregate_id": F.col("invoice_id"), "content_hash": F.col("dedup_key"), "poll_epoch": F.lit(0), "occurred_at": occurred_at})
+    return logged(rows, "invoice_id", "status", "amount", "currency")
+
+
+def rating_job(changes: DataFrame, occurred_at: Column) -> DataFrame:
+    """Log events of counter changes (user_id, poll, counters, deltas, account_alias or null)."""
+    key = keyed_hash("rating", F.col("user_id"), F.col("user_like_count"), F.col("user_dislike_count"))
+    rows = changes.withColumns({"event_type": F.lit("rating_changed"), "aggregate_id": F.col("user_id").cast("string"), "content_hash": key, "poll_epoch": F.col("poll"), "occurred_at": occurred_at})
+    return logged(rows, "user_like_count", "user_dislike_count", "delta_likes", "delta_dislikes", tags={"account_alias": "account_alias"})
+
+
+def conversation_job(conversations: DataFrame, messages: DataFrame, known: DataFrame, updates: DataFrame, marks: DataFrame, poll_epoch: int, occurred_at: Column) -> tuple[DataFrame, DataFrame]:
+    """(log events, marks) of a poll of conversations (CONVERSATION) and their messages (MESSAGE); see
+    :func:`conversation_events` for what is told."""
+    told = conversation_events(conversations, messages, known, updates, marks).withColumns({"poll_epoch": F.lit(poll_epoch), "occurred_at": occurred_at})
+    kind, ident = F.col("event_type"), lambda c: F.col(c).cast("string")
+    chats = told.where(kind == "new_conversation").join(conversations.drop("is_unread"), "conversation_id")
+    chats = chats.withColumns({"aggregate_id": ident("conversation_id"), "content_hash": keyed_hash("conversation", F.col("conversation_id"))})
+    own = messages.select("message_id", F.col("creator_user_id").alias("author_user_id"), F.col("message_body_plain_text").alias("message_text"), F.col("message_is_system").alias("is_system"))
+    texts = told.where(kind == "new_message").join(own, "message_id").join(conversations.select("conversation_id", "folder"), "conversation_id")
+    texts = texts.withColumns({"aggregate_id": ident("message_id"), "content_hash": keyed_hash("message", F.col("message_id"))})
+    events = logged(chats, "conversation_id", "conversation_title", "creator_user_id", "creator_username", "folder").unionByName(
+        logged(texts, "message_id", "conversation_id", "author_user_id", "message_text", "is_system", "folder"))
+    after = marks.select("conversation_id", "mark").unionByName(texts.groupBy("conversation_id").agg(F.max("message_id").alias("mark")))
+    return events, after.groupBy("conversation_id").agg(F.max("mark").alias("mark"))
+
+
+def guarantee_job(fired: DataFrame, poll_epoch: Column) -> DataFrame:
+    """Log events of guarantees that a window has opened for (item_id, tick, label, guarantee_end)."""
+    rows = fired.withColumns({"event_type": F.lit("guarantee_expiring"), "aggregate_id": F.col("item_id").cast("string"), "content_hash": keyed_hash("guarantee", F.col("item_id"), F.col("label")), "poll_epoch": poll_epoch, "occurred_at": F.col("tick")})
+    return logged(rows, "item_id", "guarantee_end")
+
+
+def within_budget(events: DataFrame, category: str, budget: str) -> DataFrame:
+    """item_id and price of a category's new lots that cost no more than ``budget``, from rows of the log."""
+    lots = typed(events, ["new_lot"])
+    return lots.where((F.col("category") == category) & (F.col("price") <= F.lit(budget).cast("decimal(20,8)"))).select(F.col("aggregate_id").cast("long").alias("item_id"), "price", "event_id")
+
+
 def with_alias(rows: DataFrame, accounts: DataFrame) -> DataFrame:
     """The primary alias of each row's account; null if there is none."""
     primary = accounts.where("is_primary").select("account_id", F.col("alias").alias("account_alias"))

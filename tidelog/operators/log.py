@@ -8,10 +8,11 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from tidelog.operators import id_index
 from tidelog.operators.id_index import exists as _exists
-from tidelog.schemas import EVENT_COLUMNS
+from tidelog.schemas import EVENT_COLUMNS, PAYLOADS
 
 
 def one_log(*families: DataFrame) -> DataFrame:
@@ -208,6 +209,23 @@ def decoded(log: DataFrame, event_type: str, schema: str) -> DataFrame:
     return rows.select(*[c for c in log.columns if c != "payload"], "_p.*")
 
 
+def typed(log: DataFrame, types: Sequence[str]) -> DataFrame:
+    """Rows of event types that declare the same fields, with those fields as typed columns.
+
+    A payload is parsed once, to a variant; fields are taken from that. Missing fields, texts of
+    another kind and payloads that don't parse give nulls, further fields are left out."""
+    (ddl,) = {PAYLOADS[kind] for kind in types}
+    fields = StructType.fromDDL(ddl).fields
+    got = [F.try_variant_get("_v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields]
+    rest = [c for c in log.columns if c not in {"payload", *(f.name for f in fields)}]
+    return log.where(F.col("event_type").isin(list(types))).withColumn("_v", F.try_parse_json("payload")).select(*rest, *got)
+
+
+def typed_views(log: DataFrame) -> dict[str, DataFrame]:
+    """:func:`typed` for each event type that is emitted."""
+    return {kind: typed(log, [kind]) for kind in PAYLOADS}
+
+
 def read_after(log: DataFrame, seq: int, limit: int) -> DataFrame:
     return log.where(F.col("seq") > seq).orderBy("seq").limit(limit)
 

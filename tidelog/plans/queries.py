@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import BooleanType, StringType, StructType, TimestampType
 
 from tidelog.functions import ids, payload as pl
 from tidelog.operators import consume, delivery, feeds, log, snapshots
 from tidelog.plans import streams
 from tidelog.plans.router import Router, collect_sources
-from tidelog.schemas import EVENT_COLUMNS, EVENT_TYPES, NOTIFICATION
+from tidelog.schemas import EVENT_COLUMNS, EVENT_TYPES, NOTIFICATION, PAYLOADS
 from tidelog.sources.domain import duckdb_sql, load
 from tidelog.sources.pages import lots_of, parsed_invoices, read_feed, read_pages, stream_pages
 from tidelog.streaming import consumers, jobs
@@ -461,6 +462,13 @@ def _(s, d):
     return consume.fan_out(slim(s, d), subs(s, d)).select("consumer_name", "seq")
 
 
+@query("jn6_fan_out_hot", "select consumer_name, seq from {matched}")
+def _(s, d):
+    """The same with keys above a few hundred events dealt out."""
+    rows = slim(s, d)
+    return consume.fan_out(rows, subs(s, d), consume.hot_keys(rows, 300)).select("consumer_name", "seq")
+
+
 @query("fl1_match", "select seq, event_type in ('new_lot', 'price_dropped') and coalesce(category = 'small', false) matches from {event_log}")
 def _(s, d):
     asked = F.create_map(F.lit("category"), F.lit("small"))
@@ -572,6 +580,22 @@ def _(s, d):
     return delivery.sse_frames(slim(s, d).withColumn("data", F.col("payload")))
 
 
+@query("io6_envelope_frames", f"""select seq, 'id: ' || seq || chr(10) || 'event: ' || event_type || chr(10) || 'data: ' || {_BODY} || chr(10) || chr(10) frame from {{event_log}}""")
+def _(s, d):
+    """What a stream's client gets: the whole envelope."""
+    return delivery.sse_frames(bodies(s, d).withColumn("data", F.col("body")))
+
+
+@query("tk2_pending_items", f"""with thin as (select *, row_number() over (order by seq) pos from {{event_log}} where seq % 7 <> 0), a as (select consumer_name, coalesce(last_seq, 0) last_read_seq from {{subscriptions}} left join {{cursors}} using (consumer_name) where active),
+ st as (select *, (select count(*) from thin where seq <= last_read_seq) st from a)
+ select consumer_name, seq, event_type, {_BODY} body from {{matched}} m join st using (consumer_name) join (select seq seq_, pos, raw_id, account_alias, category from thin) t on t.seq_ = m.seq where pos > st and pos <= st + 100""")
+def _(s, d):
+    """The items of every subscription's next 100 rows, as its client gets them."""
+    at = subs(s, d).where("active").join(load(s, d, "cursors"), "consumer_name", "left").withColumn("last_seq", F.coalesce("last_seq", F.lit(0)))
+    rows = bodies(s, d).where("seq % 7 != 0").select("seq", "event_type", "payload", "body")
+    return consume.pending(rows, at, 100).where("hit").select("consumer_name", "seq", "event_type", "body")
+
+
 _CLASS = """cl as (select *, case when error like 'unsafe_url:%' then 'terminal' when error is not null then 'retry' when status between 200 and 299 and coalesce(ok, true) then 'delivered' when status between 200 and 299 or status >= 500 or status in (408, 429) then 'retry' else 'terminal' end result,
  case when error is not null then error when status between 200 and 299 and not coalesce(ok, true) then 'receiver_requested_retry' when not status between 200 and 299 then 'http_' || status end reason from {attempts} where attempt <= 4)"""
 _OUT = _CLASS + """, ends as (select consumer_name, seq, min(attempt) filter (result <> 'retry') e from cl group by 1, 2), live as (select cl.* from cl join ends using (consumer_name, seq) where e is null or attempt <= e),
@@ -744,6 +768,102 @@ def _(s, d):
     return rows.withColumn("_before", before).select("consumer_name", F.when(F.col("seq") > F.col("_before"), F.col("seq")).otherwise(0).alias("seq"))
 
 
+# ---- every feed as rows of the log
+
+def conversations_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = F.col
+    chats = load(s, d, "chats").select("conversation_id", "conversation_update_date", "is_unread", F.concat(F.lit("chat "), "conversation_id").alias("conversation_title"), (c("conversation_id") % 50).alias("creator_user_id"), F.concat(F.lit("user-"), c("conversation_id") % 50).alias("creator_username"), F.lit("inbox").alias("folder"))
+    texts = load(s, d, "messages").select("conversation_id", "message_id", (c("turn") % 2).cast("long").alias("creator_user_id"), c("text").alias("message_body_plain_text"), c("is_system").alias("message_is_system"))
+    return chats, texts
+
+
+def feed_log(s: SparkSession, d: str) -> DataFrame:
+    """The events of a poll of every feed, and of the whole history of lots, ratings and guarantees."""
+    zero = F.timestamp_seconds(F.lit(DAY_ZERO))
+    rows = load(s, d, "notifications")
+    marks = rows.groupBy("kind").agg(F.lit(0).cast("long").alias("mark"))
+    seen = rows.where("notification_id % 9 = 0").select("notification_id", F.concat_ws(":", "content_type", "created_at").alias("content_hash"))
+    changes = feeds.with_alias(feeds.rating_changes(load(s, d, "profiles")).withColumn("account_id", F.col("user_id") % 20), load(s, d, "accounts"))
+    watched = load(s, d, "watched").select("item_id", F.timestamp_seconds("ends").alias("guarantee_end"), F.timestamp_seconds("happened").alias("watched_from"))
+    chats, texts = conversations_of(s, d)
+    bills = load(s, d, "invoices").withColumns({"amount": F.lit("1.50"), "currency": F.lit(None).cast("string")})
+    return log.one_log(
+        lot_events(s, d), payment_poll(s, d)[0], feeds.notification_job(rows, marks, seen, 1)[0], feeds.invoice_job(bills, zero), feeds.rating_job(changes, zero),
+        feeds.conversation_job(chats, texts, *[load(s, d, n) for n in ("chats_known", "chats_updated", "chat_marks")], 1, zero)[0],
+        feeds.guarantee_job(feeds.threshold_crossings(watched, ticks(s, d)), F.lit(1)),
+    )
+
+
+_N = lambda x: f"coalesce(cast({x} as varchar), 'null')"
+_ISO = lambda x: f"strftime(make_timestamp({x} * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
+_FEED_LOG = f"""{_ABOVE}, {_LATEST}, marks_ as (select f.category, f.poll_epoch, count(distinct o.item_id) lot_count from (select category, min(poll_epoch) poll_epoch from {{polls}} group by 1) f left join {{lot_observations}} o using (category, poll_epoch) group by all),
+ gone as (select category, item_id, poll_epoch, row_number() over (partition by category, poll_epoch order by item_id) k from history where event_type = 'lot_disappeared'),
+ why as (select category, item_id, poll_epoch, {_REASON} reason from gone left join {{lot_states}} using (item_id)),
+ nots as (select *, {_NKIND} t, 'notif:' || kind || ':' || notification_id aggregate_id, content_type || ':' || created_at content_hash from {{notifications}} where notification_id % 9 <> 0),
+ rates as (select * from (select *, user_like_count - lag(user_like_count) over w dl, user_dislike_count - lag(user_dislike_count) over w dd from {{profiles}} window w as (partition by user_id order by poll)) where dl <> 0 or dd <> 0),
+ due as (select c.conversation_id from {{chats}} c left join {{chats_known}} k using (conversation_id) left join {{chats_updated}} u on u.conversation_id = c.conversation_id and u.conversation_update_date = c.conversation_update_date where k.conversation_id is null or u.conversation_id is null or c.is_unread),
+ tick0 as ({_TICKS}), cross_ as (select item_id, ends, label, span, lo + 18000 * greatest(0, cast(ceil((greatest(ends - span, happened) - lo) / 18000) as bigint)) t from {{watched}} cross join (values ('24h', 86400), ('6h', 21600), ('1h', 3600)) w(label, span) cross join (select min(t) lo from tick0)),
+ feed as (select cast(h.item_id as varchar) aggregate_id, h.event_type, h.content_hash, h.poll_epoch, '{{"category":"' || h.category || '"' || {_FIELD('price')} || {_FIELD('old_price')} || coalesce(',"reason":"' || reason || '","confidence":"' || case reason when 'unknown' then 'low' else 'normal' end || '"', '') || '}}' payload
+    from history h left join why on h.event_type = 'lot_disappeared' and h.category = why.category and h.item_id = why.item_id and h.poll_epoch = why.poll_epoch
+  union all select category, 'snapshot_initialized', 'bootstrap:' || lot_count, poll_epoch, '{{"category":"' || category || '","lot_count":' || lot_count || '}}' from marks_
+  union all select cast(operation_id as varchar), {_MAPPED}, content_hash, 1, {_PAYMENT_JSON} from fresh where {_MAPPED} is not null
+  union all select aggregate_id, t, content_hash, 1, '{{"claim_id":' || {_N("case when " + _HAS("claim_id") + " then " + _GET("claim_id") + " else notification_id end")} || ',"item_id":' || {_N("case when " + _HAS("item_id") + " then " + _GET("item_id") + " end")} || '}}' from nots where t in ('dispute_opened', 'claim_filed') and extra not like '%"x7"%'
+  union all select aggregate_id, t, content_hash, 1, '{{"item_id":' || {_N("case when " + _HAS("item_id") + " then " + _GET("item_id") + " else notification_id end")} || ',"buyer_id":' || {_N("case when " + _HAS("buyer_id") + " then " + _GET("buyer_id") + " end")} || '}}' from nots where t in ('lot_reserved', 'purchase_confirmed') and extra not like '%"x7"%'
+  union all select aggregate_id, case kind when 'market' then 'market_notification_received' else 'forum_notification_received' end, content_hash, 1, '{{"notification_id":' || notification_id || ',"content_type":"' || content_type || '","created_at":"' || {_ISO("created_at")} || '"}}' from nots where t is null
+  union all select invoice_id, case status when 'paid' then 'invoice_paid' when 'expired' then 'invoice_expired' else 'invoice_created' end, coalesce(nullif(event_id, ''), invoice_id || ':' || status), 0, '{{"invoice_id":"' || invoice_id || '","status":"' || status || '","amount":"1.50","currency":null}}' from {{invoices}}
+  union all select cast(user_id as varchar), 'rating_changed', 'rating:' || user_id || ':' || user_like_count || ':' || user_dislike_count, poll, '{{' || case when user_id % 20 <> 7 then '"account_alias":"acct-' || user_id % 20 || '",' else '' end || '"user_like_count":' || user_like_count || ',"user_dislike_count":' || user_dislike_count || ',"delta_likes":' || dl || ',"delta_dislikes":' || dd || '}}' from rates
+  union all select cast(conversation_id as varchar), 'new_conversation', 'conversation:' || conversation_id, 1, '{{"conversation_id":' || conversation_id || ',"conversation_title":"chat ' || conversation_id || '","creator_user_id":' || conversation_id % 50 || ',"creator_username":"user-' || conversation_id % 50 || '","folder":"inbox"}}' from {{chats}} where conversation_id not in (select conversation_id from {{chats_known}})
+  union all select cast(message_id as varchar), 'new_message', 'message:' || message_id, 1, '{{"message_id":' || message_id || ',"conversation_id":' || conversation_id || ',"author_user_id":' || turn % 2 || ',"message_text":' || coalesce(cast(to_json(text) as varchar), 'null') || ',"is_system":' || is_system || ',"folder":"inbox"}}' from {{messages}} join {{chat_marks}} using (conversation_id) where message_id > mark and conversation_id in (select conversation_id from due)
+  union all select cast(item_id as varchar), 'guarantee_expiring', 'guarantee:' || item_id || ':' || arg_min(label, span), 1, '{{"item_id":' || item_id || ',"guarantee_end":"' || {_ISO("ends")} || '"}}' from cross_ where t < ends group by item_id, ends, t)"""
+
+
+@query("job_feeds_to_log", f"with {_FEED_LOG} select {UUID} event_id, event_type, aggregate_id, content_hash, cast(poll_epoch as bigint) poll_epoch, payload from (select *, {SHA1.format(key="aggregate_id || '|' || event_type || '|' || content_hash || '|' || poll_epoch")} d from feed)")
+def _(s, d):
+    return feed_log(s, d).select("event_id", "event_type", "aggregate_id", "content_hash", "poll_epoch", "payload")
+
+
+def _of_kind(kind: str) -> str:
+    """Names of the payload fields of a type that is named by one word, quoted."""
+    names = sorted({pair.split()[0] for ddl in PAYLOADS.values() for pair in ddl.split(", ") if pair.split()[1] == kind})
+    return ", ".join(f"'{n}'" for n in names)
+
+
+@query("io4_typed_views", f"""with {_FEED_LOG}, fields as (select event_type, unnest(json_keys(payload)) field, payload from feed), vals as (select event_type, field, json_extract_string(payload, '$.' || field) v from fields)
+ select event_type, field, count(v) n_present, cast(sum(case when v is null then null when field in ({_of_kind('timestamp')}) then cast(cast(epoch(cast(v as timestamptz)) as bigint) as decimal(38,8)) when field in ({_of_kind('boolean')}) then case v when 'true' then 1 else 0 end when event_type not like 'invoice%' and field not in ({_of_kind('string')}) or (event_type not like 'invoice%' and field = 'amount') then cast(v as decimal(38,8)) else length(v) end) as decimal(38,8)) total from vals group by 1, 2""")
+def _(s, d):
+    """Every emitted type's payload as typed columns; per field how many there are, and a sum that depends on each."""
+    rows, out = log.stable(feed_log(s, d)), None
+    for ddl in dict.fromkeys(PAYLOADS.values()):
+        view, sums = log.typed(rows, [kind for kind in PAYLOADS if PAYLOADS[kind] == ddl]), []
+        for f in StructType.fromDDL(ddl).fields:
+            c = F.col(f.name)
+            value = F.unix_seconds(c) if isinstance(f.dataType, TimestampType) else F.length(c) if isinstance(f.dataType, StringType) else c.cast("int") if isinstance(f.dataType, BooleanType) else c
+            sums.append(F.struct(F.lit(f.name).alias("field"), F.count(c).alias("n_present"), F.sum(value.cast("decimal(38,8)")).cast("decimal(38,8)").alias("total")))
+        got = view.groupBy("event_type").agg(F.array(*sums).alias("r")).select("event_type", F.inline("r"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("sc3_nested_payload", """select operation_id, amount, '{"account_alias":"acct-' || account_id || '","operation_id":' || operation_id || ',"lot":{"item_id":' || item_id || ',"price":"' || amount || '","seen":"' || strftime(make_timestamp(happened * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') || '","seller":'
+ || case when counterparty_id is null then 'null' else '{"id":' || counterparty_id || ',"limits":{"1":"' || cast(amount as decimal(20,8)) || '"}}' end || '},"history":[{"at":"1995-01-01T00:00:00.000500+00:00","price":"' || amount || '"},null],"tags":["a","é",null],"flags":{"True":1}}' payload from {payments}""")
+def _(s, d):
+    c = F.col
+    seller = F.when(c("counterparty_id").isNotNull(), F.struct(c("counterparty_id").alias("id"), F.create_map(F.lit(1), c("amount").cast("decimal(20,8)")).alias("limits")))
+    step = F.struct(F.timestamp_micros(F.lit(DAY_ZERO * 1_000_000 + 500)).alias("at"), c("amount").alias("price"))
+    rows = load(s, d, "payments").select(
+        "operation_id", "amount", F.concat(F.lit("acct-"), "account_id").alias("alias"), F.lit("a tag that the field wins over").alias("other"),
+        F.struct("item_id", c("amount").alias("price"), F.timestamp_seconds("happened").alias("seen"), seller.alias("seller")).alias("lot"),
+        F.array(step, F.when(F.lit(False), step)).alias("history"), F.array(F.lit("a"), F.lit("é"), F.lit(None)).alias("tags"), F.create_map(F.lit(True), F.lit(1)).alias("flags"),
+    )
+    return rows.select("operation_id", "amount", pl.encoded(rows, "operation_id", "lot", "history", "tags", "flags", tags={"account_alias": "alias", "lot": "other"}).alias("payload"))
+
+
+@query("fl6_budget", f"with {_LATEST} select item_id, cast(price as decimal(20,8)) price, poll_epoch from history where event_type = 'new_lot' and category = 'small' and price <= 20000")
+def _(s, d):
+    events = lot_events(s, d)
+    return feeds.within_budget(events, "small", "20000").join(events.select("event_id", "poll_epoch"), "event_id").select("item_id", "price", "poll_epoch")
+
+
 # ---- polls as page files, in the order of the polls
 
 def page_envelopes(s: SparkSession, d: str) -> DataFrame:

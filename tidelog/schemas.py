@@ -57,3 +57,26 @@ GUARANTEE_WINDOWS = {"24h": 86400, "6h": 21600, "1h": 3600}
 SEEN_SECONDS = 86400
 DEAL_THRESHOLD = "0.85"
 LAG_ALARM = 100_000
+
+_OPERATION = "operation_id long, amount decimal(20,8), currency string, counterparty_id long, counterparty_username string, fee int, is_hold boolean, hold_end_date timestamp, item_id long, comment string"
+_MARKED = "notification_id long, content_type string, created_at timestamp"
+_BILL = "invoice_id string, status string, amount string, currency string"
+#: The typed fields of each emitted event's payload.
+PAYLOADS = {
+    "new_lot": "category string, price decimal(20,8)",
+    "price_dropped": "category string, old_price decimal(20,8), price decimal(20,8)",
+    "lot_updated": "category string, price decimal(20,8)",
+    "lot_disappeared": "category string, reason string, confidence string",
+    "snapshot_initialized": "category string, lot_count long",
+    **{kind: _OPERATION for kind in PAYMENT_EVENTS.values()},
+    "dispute_opened": "claim_id long, item_id long",
+    "claim_filed": "claim_id long, item_id long",
+    "lot_reserved": "item_id long, buyer_id long",
+    "purchase_confirmed": "item_id long, buyer_id long",
+    **{kind: _MARKED for kind in NOTIFICATION_FALLBACKS.values()},
+    **{kind: _BILL for kind in INVOICE_EVENTS.values()},
+    "new_conversation": "conversation_id long, conversation_title string, creator_user_id long, creator_username string, folder string",
+    "new_message": "message_id long, conversation_id long, author_user_id long, message_text string, is_system boolean, folder string",
+    "rating_changed": "account_alias string, user_like_count int, user_dislike_count int, delta_likes int, delta_dislikes int",
+    "guarantee_expiring": "item_id long, guarantee_end timestamp",
+}
