@@ -256,6 +256,21 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     assert unique(got) == unique(sorted(expected, key=str)) and len(got) == len(expected)
     assert token_files.read_document(spark, f"file://{tmp_path}/f", 5)[0] == t.encode("one two", add_special_tokens=False).ids + [1]
     assert token_files.round_trip(empty, WORD).count() == 0
+    found = spark.read.parquet(f"file://{tmp_path}/f/files").where("first_id is not null")
+    assert found.where("first_id > last_id").count() == 0 and token_files.read_document(spark, f"file://{tmp_path}/f", 10**9) == []
+
+
+def test_the_dictionary_learns_from_the_whole_table(spark, monkeypatch):
+    """A thousand empty texts stand before the ones that can be learned from; few of many are taken, from all parts."""
+    monkeypatch.setattr(token_files, "TRAINING_DOCUMENTS", 200)
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(300)]
+    rows = [(i, "" if i < 1000 else " ".join(rnd.choices(words, k=120)), "en", "s", 0) for i in range(1600)]
+    table = spark.createDataFrame(rows, DOC)
+    sample = token_files.training_sample(table)
+    assert 50 <= len(sample) <= 200 and sample == token_files.training_sample(table.repartition(5))
+    assert len(token_files.train_dictionary(table, WORD, "space", 2)) > 0
+    assert token_files.training_sample(table.limit(0)) == []
 
 
 def test_packing(docs, rows, empty):

@@ -27,11 +27,6 @@ CAPACITY = 2048
 GROUP_PIECES = 100_000
 END = 0
 
-PIECES = 100_000
-#: Exchanges at most; each leaves out what is full already.
-ROUNDS = 4
-END = 0
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

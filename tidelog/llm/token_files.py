@@ -30,16 +30,29 @@ DICTIONARY_BYTES = 64 * 1024
 #: Bytes of frames after which a file is closed.
 FILE_BYTES = 8_000_000
 
-FILES = "part int, number long, first_id long, dictionary_sha256 string, width int, doc_ids array<long>, n_tokens array<long>, offsets array<long>, data binary"
+FILES = "part int, number long, first_id long, last_id long, dictionary_sha256 string, width int, doc_ids array<long>, n_tokens array<long>, offsets array<long>, data binary"
 
 
 def serialize(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
 
 
+def training_sample(docs: DataFrame) -> list[str]:
+    """At most TRAINING_DOCUMENTS texts of 1 to 20,000 characters, by a hash of ids and texts from all parts of the
+    table: tasks send little more than that in all. Where too few are found, a greater share is looked through."""
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    share = min(1.0, 2 * TRAINING_DOCUMENTS / max(docs.count(), 1))
+    while True:
+        near = docs.where(place < F.lit(int(share * (1 << 30)))).where("length(text) between 1 and 20000")
+        found = [r["text"] for r in near.orderBy(place, "doc_id", "text").select("text").limit(TRAINING_DOCUMENTS).collect()]
+        if share >= 1 or len(found) >= TRAINING_DOCUMENTS // 4:
+            return found
+        share = min(1.0, 8 * share)
+
+
 def train_dictionary(docs: DataFrame, path: str, cut: str, width: int) -> bytes:
-    """A dictionary from a bounded sample; empty if there is too little to train on."""
-    sample = [serialize(x[: 4 * TRAINING_IDS], width) for x in tokens.encode_texts([r["text"] for r in docs.where("length(text) between 1 and 20000").select("text").limit(TRAINING_DOCUMENTS).collect()], path, cut)]
+    """A dictionary from :func:`training_sample`; empty if there is too little to train on."""
+    sample = [serialize(x[: 4 * TRAINING_IDS], width) for x in tokens.encode_texts(training_sample(docs), path, cut)]
     sample = [x for x in sample if len(x) >= 16]
     if len(sample) < 20:
         return b""
@@ -76,7 +89,7 @@ def write_files(docs: DataFrame, folder: str, path: str, cut: str = "space", end
     def shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def close() -> pd.DataFrame:
             offsets = np.cumsum([0, *map(len, parts)]).tolist()
-            return pd.DataFrame({"part": [part], "number": [number], "first_id": pd.array([ids[0]], dtype="Int64"), "dictionary_sha256": [name], "width": [width], "doc_ids": [ids], "n_tokens": [sizes], "offsets": [offsets], "data": [b"".join(parts)]})
+            return pd.DataFrame({"part": [part], "number": [number], "first_id": pd.array([ids[0]], dtype="Int64"), "last_id": pd.array([ids[-1]], dtype="Int64"), "dictionary_sha256": [name], "width": [width], "doc_ids": [ids], "n_tokens": [sizes], "offsets": [offsets], "data": [b"".join(parts)]})
 
         ids, sizes, parts, total, number, part = [], [], [], 0, 0, 0
         for frame in frames:
@@ -130,14 +143,17 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 found.insert(0, "doc_id", pd.array([None if pd.isna(x) else int(x) for x in row.doc_ids], dtype="Int64"))
                 yield found
 
-    return files.drop("first_id").join(begins, ["part", "number"]).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.drop("first_id", "last_id").join(begins, ["part", "number"]).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[int]]:
-    """The ids of one document (of each row with that id), by the offset index alone."""
+    """The ids of one document (of each row with that id), by the offset index alone.
+
+    Files stand in order of ids, so their first and last ids tell which can hold it; of the others
+    nothing but those two is read."""
     dictionary = bytes(spark.read.parquet(f"{folder}/dictionary").collect()[0]["dictionary"])
     press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    files = spark.read.schema(FILES).parquet(f"{folder}/files").where(F.array_contains("doc_ids", doc_id))
+    files = spark.read.schema(FILES).parquet(f"{folder}/files").where((F.col("first_id") <= doc_id) | F.col("first_id").isNull()).where(F.col("last_id") >= doc_id).where(F.array_contains("doc_ids", doc_id))
     one = files.select("width", F.explode(F.filter(F.sequence(F.lit(1), F.size("doc_ids")), lambda i: F.element_at("doc_ids", i) == doc_id)).alias("i"), "offsets", "data")
     one = one.select("width", F.expr("substring(data, cast(offsets[i - 1] + 1 as int), cast(offsets[i] - offsets[i - 1] as int))").alias("frame"))
     return [np.frombuffer(press.decompress(bytes(r["frame"])), "<u2" if r["width"] == 2 else "<u4").tolist() for r in one.collect()]
