@@ -72,5 +72,10 @@ def dead_letters(outcome: DataFrame, events: DataFrame) -> DataFrame:
     return outcome.where("outcome = 'dead'").join(rows, "seq").select("consumer_name", *rows.columns, "reason")
 
 
+def dead_list(dead: DataFrame) -> DataFrame:
+    """Each consumer's dead letters in order of seq, with their place (from 1)."""
+    return dead.withColumn("place", F.row_number().over(Window.partitionBy("consumer_name").orderBy("seq")))
+
+
 def dead_counts(dead: DataFrame) -> DataFrame:
     return dead.groupBy("consumer_name").agg(F.count("*").alias("n_dead"))

@@ -158,6 +158,11 @@ def _(s, d):
     return snapshots.catalog(load(s, d, "lots"), "small", 905, 1400, None, ["Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"]).select("item_id", "price", "title", "game")
 
 
+@query("fl5_catalog_title", "select item_id, title from {lots} where category = 'large' and title like '%a%' and price >= 950")
+def _(s, d):
+    return snapshots.catalog(load(s, d, "lots"), "large", 950, None, "a").select("item_id", "title")
+
+
 @query("fl7_deals", "select item_id, price, ai_price from {lots} where price < ai_price * 0.85")
 def _(s, d):
     return snapshots.deals(load(s, d, "lots"), "0.85").select("item_id", "price", "ai_price")
@@ -255,6 +260,17 @@ def _(s, d):
     return feeds.unseen(rows, rows.where("operation_id % 7 < 3 and amount * 100 % 3 <> 0"), "operation_id", "amount").select("operation_id", "amount")
 
 
+@query("jn5_marks_of_a_day", """select operation_id, amount from {payments} p where not exists (select 1 from {payments} q where q.operation_id = p.operation_id and q.amount = p.amount and q.operation_id % 7 < 3
+ and q.happened > (select max(happened) from {payments}) - 86400 * 400 + 86400 * 399 * cast(q.operation_id % 2 as bigint))""")
+def _(s, d):
+    """Marks older than a day count no more: even operations were marked 399 days after they happened."""
+    rows = load(s, d, "payments")
+    last = rows.agg(F.max("happened")).collect()[0][0]
+    marked = F.timestamp_seconds(F.col("happened") + F.when(F.col("operation_id") % 2 == 0, 86400 * 399).otherwise(0))
+    seen = rows.where("operation_id % 7 < 3").withColumn("marked_at", marked)
+    return feeds.unseen(rows, seen, "operation_id", "amount", F.timestamp_seconds(F.lit(last))).select("operation_id", "amount")
+
+
 @query("jn8_above_mark", "select p.account_id, operation_id, amount from {payments} p left join {payment_marks} m using (account_id) where operation_id > coalesce(mark, 0)")
 def _(s, d):
     return feeds.above_mark(load(s, d, "payments"), load(s, d, "payment_marks"), "account_id", "operation_id").select("account_id", "operation_id", "amount")
@@ -613,6 +629,11 @@ def _(s, d):
     return delivery.dead_counts(delivery.dead_letters(delivery.outcomes(load(s, d, "attempts"), 4), stored(s, d)))
 
 
+@query("ag6_dead_list", f"with {_OUT} select consumer_name, seq, r reason, cast(row_number() over (partition by consumer_name order by seq) as int) place from outc where outcome = 'dead'")
+def _(s, d):
+    return delivery.dead_list(dead(s, d)).select("consumer_name", "seq", "reason", "place")
+
+
 def dead(s: SparkSession, d: str) -> DataFrame:
     return delivery.dead_letters(delivery.outcomes(load(s, d, "attempts"), 4), stored(s, d))
 
