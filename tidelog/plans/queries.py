@@ -778,7 +778,7 @@ def log_in_runs(s: SparkSession, d: str, runs: int) -> str:
 @query("ss5_catch_up_consumers", "select consumer_name, seq from {matched} left join {cursors} using (consumer_name) where seq > coalesce(last_seq, 0)")
 def _(s, d):
     """All subscriptions from their cursors on, run after run; a number that a consumer gets out of order shows as 0."""
-    log_folder = log_in_runs(s, d, 3)
+    log_folder = log_in_runs(s, d, 2)
     folder = streams.shared_folder(s, "ss5")
     consumers.advance(s, folder, 0, load(s, d, "cursors"))
     who = lambda: subs(s, d)
@@ -911,7 +911,7 @@ _POLL_EVENTS = f"""{_LATEST}, first_ as (select f.category, count(distinct o.ite
 def polls_logged(s: SparkSession, d: str) -> str:
     """The folder of a log that the polls' page files have been streamed to, several polls at a time."""
     pages = page_envelopes(s, d)
-    parts, _ = streams.out_of_order(pages, F.unix_seconds("captured_at"), (0, 1, 2))
+    parts, _ = streams.out_of_order(pages, F.unix_seconds("captured_at"), (0, 1))
     folder = streams.shared_folder(s, "ss1")
     states = load(s, d, "lot_states")
     for k, part in enumerate(parts):
