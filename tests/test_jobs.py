@@ -63,6 +63,30 @@ def test_polls_reach_the_log_once_through_a_crash(spark, tmp_path, monkeypatch):
     assert sorted((r.category, r.item_id, r.miss_count) for r in held) == [("a", 1, 0), ("b", 1, 0)]
 
 
+def test_passing_tables_leave_nothing_behind(spark, tmp_path):
+    """A table of two equal megabytes is written once, packed; a batch of polls leaves its log only."""
+    kept = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}/checkpoints")
+    try:
+        size = lambda: sum(f.stat().st_size for f in (tmp_path / "checkpoints").rglob("*") if f.is_file())
+        runs = spark.sparkContext.accumulator(0)
+
+        def seen(parts):
+            for part in parts:
+                runs.add(len(part))
+                yield part
+
+        rows = log.stable(spark.range(20_000).select("id", F.lit("x" * 100).alias("text")).mapInPandas(seen, "id long, text string"))
+        assert rows.count() == 20_000 and runs.value == 20_000 and 0 < size() < 500_000
+        before, folder = size(), f"file://{tmp_path}/polls"
+        spark.createDataFrame([(page("a", 1, 1, [(1, 10, "x")]),), (page("a", 2, 1, [(2, 10, "x")]),)], "value string").coalesce(1).write.text(f"{folder}/pages")
+        run_stream(spark, folder, spark.createDataFrame([], "item_id long, item_state string"), None).awaitTermination()
+        assert log.read(spark, f"{folder}/log").count() == 2 and size() == before
+    finally:
+        if kept is not None:
+            spark.sparkContext.setCheckpointDir(kept.rsplit("/", 1)[0])
+
+
 def test_page_and_feed_files(spark, tmp_path):
     """Malformed files and lines are set apart with their file; unknown fields are ignored; the category of the envelope fills in."""
     (tmp_path / "one.json").write_text(json.dumps(json.loads(page("a", 1, 1, [(1, 10.5, "x"), (2, 5, "é")])), indent=1))
