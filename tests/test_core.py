@@ -307,3 +307,13 @@ def test_payment_job(spark):
     # and with its marks, nothing
     assert feeds.payment_job(again, after, nothing, 2, at)[0].count() == 0
     assert feeds.payment_job(first.limit(0), marks, nothing, 1, at)[2].count() == 2
+
+
+def test_retries_are_classified_once(spark):
+    """No filter or join takes the classification down to the tables that attempts are made of."""
+    from tidelog.sources import domain
+
+    rows = delivery.retry_schedule(domain.load(spark, "/root/testdata/sf0.001", "attempts").where("attempt <= 4"), 2.0, 10.0, 20.0, 4)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if ("Filter" in line or "Join" in line) and len(line) > 2000]
+    assert {r[0] for r in rows.select("result").distinct().collect()} == {"retry"}
