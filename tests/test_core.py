@@ -317,3 +317,12 @@ def test_retries_are_classified_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if ("Filter" in line or "Join" in line) and len(line) > 2000]
     assert {r[0] for r in rows.select("result").distinct().collect()} == {"retry"}
+
+
+def test_pads_of_any_key(spark):
+    """Keys with every byte, as short and as long as a block, longer, empty and null; words of eight bytes, not digits."""
+    keys = ["", None, "k", "\x00\x7f", "é" * 32, "x" * 64, "y" * 65, "".join(map(chr, range(1, 64))), "ÿ" * 20]
+    rows = pl.with_pads(spark.createDataFrame([(k,) for k in keys], "secret string"), "secret").withColumn("signed", pl.sign(F.lit("body é"), F.col("inner"), F.col("outer")))
+    for r in rows.collect():
+        assert r.signed == "sha256=" + hmac.new((r.secret or "").encode(), "body é".encode(), hashlib.sha256).hexdigest()
+    assert "translate" not in rows._jdf.queryExecution().optimizedPlan().toString()
