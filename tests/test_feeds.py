@@ -117,3 +117,24 @@ def test_frames_hold_the_envelope(spark):
     lines = frame.split("\n")
     assert lines[:2] == ["id: 7", "event: new_lot"] and lines[3:] == ["", ""]
     assert json.loads(lines[2].removeprefix("data: ")) == {"event_id": "e", "event_type": "new_lot", "aggregate_id": "1", "occurred_at": "2026-01-02T03:04:05+00:00", "seq": 7, "schema_version": 1, "category": "é"}
+
+
+def test_few_accounts_and_feeds_are_no_hot_keys(spark):
+    """However large the tables seem, rows aren't dealt by account or feed."""
+    operations = spark.createDataFrame([(1, 7, "income", Decimal(1), None, False, 0, 1, "rub", "u", 0, "c")], "operation_id long, account_id long, operation_type string, amount decimal(18,2), counterparty_id long, is_hold boolean, hold_end_date long, item_id long, currency string, counterparty_username string, fee int, comment string")
+    told = spark.createDataFrame([("market", 5, "x", 1, "{}")], "kind string, notification_id long, content_type string, created_at long, extra string")
+    marks = lambda key, kind: spark.createDataFrame([], f"{key} {kind}, mark long")
+    seen = lambda key: spark.createDataFrame([], f"{key} long, content_hash string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [
+            feeds.payment_job(operations, marks("account_id", "long"), seen("operation_id"), 1, F.timestamp_seconds(F.lit(0)))[0],
+            feeds.notification_job(told, marks("kind", "string"), seen("notification_id"), 1)[0],
+            feeds.with_alias(operations, spark.createDataFrame([(7, "a", True)], "account_id long, alias string, is_primary boolean")),
+        ]
+        for plan in [p._jdf.queryExecution().executedPlan().toString() for p in plans]:
+            assert "SortMergeJoin [account_id" not in plan and not [x for x in plan.splitlines() if "SortMergeJoin [kind" in x and "LeftSemi" in x]
+            assert "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
