@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidelog.operators import feeds
 from tidelog.plans import streams
 from tidelog.schemas import GUARANTEE_WINDOWS
-from tidelog.streaming import jobs
+from tidelog.streaming import jobs, ordered
 
 DAY = datetime(2026, 1, 10)
 HOUR = timedelta(hours=1)
@@ -152,3 +152,26 @@ def test_marks_of_seen_events_leave_after_a_day(spark):
     hours = sorted((r.event_id, (r.occurred_at - DAY) / HOUR) for r in found.collect())
     assert [h for h in hours if h[0] in "cd"] == [("c", 60), ("d", 120)]
     assert [i for i, _ in hours] == ["a", "a", "b", "b", "c", "d"] and ("a", 121) in hours and ("b", 100) in hours
+
+
+def test_state_is_kept_by_groups_of_items(spark):
+    """Calls to the state store go by its rows: 6,000 items that wait have fewer rows than there are groups, thrice."""
+    progress = []
+    rows = spark.range(6000).select(F.col("id").alias("item_id"), F.explode(F.array(*[F.lit(DAY - h * HOUR) for h in (20, 5, -1)])).alias("tick"), F.lit(DAY).alias("guarantee_end"))
+    far = spark.createDataFrame([(None, FAR, DAY)], "item_id long, tick timestamp, guarantee_end timestamp")
+    found = streams.run([rows, far], lambda r: jobs.guarantee_levels(r, "3 days"), "t", progress)
+    got = found.groupBy("tick", "label").agg(F.count("*"), F.countDistinct("item_id")).collect()
+    assert sorted(tuple(r) for r in got) == [(DAY - 20 * HOUR, "24h", 6000, 6000), (DAY - 5 * HOUR, "6h", 6000, 6000)]
+    assert max(op.numRowsTotal for p in progress for op in p.stateOperators) <= 3 * ordered.BUCKETS and rows_left(progress) == 0
+
+
+def test_ordered_rows_keep_nulls_and_long_numbers(spark):
+    """Frames would make fractions of whole numbers beside nulls; a time that frames can't hold waits on."""
+    big = (1 << 62) + 1
+    seen = lambda key, state, rows, until: (None, [(key, at, number, text) for at, number, text in rows], None)
+    rows = [(1, DAY, big, None), (1, DAY, None, "b"), (2, DAY + HOUR, -big, ""), (3, datetime(9000, 1, 1), 1, "x")]
+    found = streams.run(
+        parts(spark, "k long, at timestamp, number long, text string", rows, [(None, datetime(2200, 1, 1), 0, "")]),
+        lambda r: ordered.in_order(r, "k", "at", "0 seconds", "number long, text string", "k long, us long, number long, text string", seen), "t")
+    assert sorted([r.k, r.number, r.text] for r in found.where("k is not null").collect() if r.number is not None) == [[1, big, None], [2, -big, ""]]
+    assert [tuple(r) for r in found.where("number is null").select("k", "text").collect()] == [(1, "b")]

@@ -26,7 +26,7 @@ def rating_deltas(profiles: DataFrame, late: str = "0 seconds") -> DataFrame:
     than that is left out and counted among the query's rows dropped by the watermark."""
     fields = "poll long, user_like_count int, user_dislike_count int"
     out = "user_id long, poll long, user_like_count int, user_dislike_count int, delta_likes int, delta_dislikes int"
-    return in_order(profiles, "user_id", "polled_at", late, fields, "likes int, dislikes int", out, _rating_steps)
+    return in_order(profiles, "user_id", "polled_at", late, fields, out, _rating_steps)
 
 
 def _rating_steps(user: int, last: tuple | None, rows: list[tuple], until: int) -> tuple[tuple | None, list[tuple], int | None]:
@@ -56,7 +56,7 @@ def guarantee_levels(watches: DataFrame, late: str = "0 seconds") -> DataFrame:
     before, by tick. A row that finds its guarantee expired takes the item off the list; rows later
     than the watermark are left out, so none can bring it back with an earlier tick."""
     rows = watches.withColumn("ends", F.unix_micros("guarantee_end"))
-    return in_order(rows, "item_id", "tick", late, "ends long", "level int", "item_id long, tick timestamp, label string", _level_steps)
+    return in_order(rows, "item_id", "tick", late, "ends long", "item_id long, tick timestamp, label string", _level_steps)
 
 
 def _level_steps(item: int, state: tuple | None, rows: list[tuple], until: int) -> tuple[tuple | None, list[tuple], int | None]:
@@ -79,7 +79,7 @@ def guarantee_timers(watches: DataFrame, late: str = "0 seconds") -> DataFrame:
     the watermark, ``late`` behind the newest tick; later ones are left out and counted by the query."""
     rows = watches.withColumn("ends", F.unix_micros("guarantee_end"))
     out = "item_id long, tick timestamp, label string, guarantee_end timestamp"
-    return in_order(rows, "item_id", "tick", late, "kind string, ends long", "ends long, level int", out, _timer_steps)
+    return in_order(rows, "item_id", "tick", late, "kind string, ends long", out, _timer_steps)
 
 
 def _timer_steps(item: int, state: tuple | None, rows: list[tuple], until: int) -> tuple[tuple | None, list[tuple], int | None]:
