@@ -138,3 +138,12 @@ def test_few_accounts_and_feeds_are_no_hot_keys(spark):
             assert "BroadcastHashJoin" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_budget_keeps_columns_of_the_log(spark):
+    """Without a join by event id: an id that comes twice gives its two rows."""
+    rows = [("e1", "new_lot", "7", 3, '{"category":"a","price":"5.00"}'), ("e1", "new_lot", "7", 4, '{"category":"a","price":"4.00"}'), ("e3", "lot_updated", "9", 5, '{"category":"a","price":"1"}')]
+    events = spark.createDataFrame(rows, "event_id string, event_type string, aggregate_id string, poll_epoch long, payload string")
+    got = feeds.within_budget(events, "a", "5", ["poll_epoch"])
+    assert sorted((r.item_id, r.price, r.poll_epoch) for r in got.collect()) == [(7, Decimal("4.00000000"), 4), (7, Decimal("5.00000000"), 3)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
