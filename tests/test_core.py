@@ -326,3 +326,17 @@ def test_pads_of_any_key(spark):
     for r in rows.collect():
         assert r.signed == "sha256=" + hmac.new((r.secret or "").encode(), "body é".encode(), hashlib.sha256).hexdigest()
     assert "translate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_polls_of_items_need_no_exchange_after_a_join_by_item(spark):
+    """The last row by position in each poll, null polls too; a join by item_id has dealt the rows already."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice("ab"), rnd.randint(1, 4), rnd.choice([None, 1, 2, 5]), rnd.randint(0, 5), rnd.randint(0, 10**6)) for _ in range(200)]
+    rows = spark.createDataFrame(rows, "category string, item_id long, poll_epoch long, page int, place long")
+    want = snapshots.last_wins(rows, [*snapshots.KEY, "poll_epoch"], ["page", "place"])
+    got = snapshots.latest_per_poll(rows, ["page", "place"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == rows.select(*snapshots.KEY, "poll_epoch").distinct().count()
+    items = spark.createDataFrame([(i, i) for i in range(5)], "item_id long, weight long")
+    joined = snapshots.latest_per_poll(rows.hint("merge").join(items, "item_id"), ["page", "place"])
+    assert joined._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 0
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
