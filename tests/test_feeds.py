@@ -147,3 +147,14 @@ def test_budget_keeps_columns_of_the_log(spark):
     got = feeds.within_budget(events, "a", "5", ["poll_epoch"])
     assert sorted((r.item_id, r.price, r.poll_epoch) for r in got.collect()) == [(7, Decimal("4.00000000"), 4), (7, Decimal("5.00000000"), 3)]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_views_read_files_of_their_types_alone(spark):
+    rows = spark.createDataFrame([("new_lot", '{"category":"a"}'), ("lot_updated", '{"category":"b"}'), ("new_lot", None)], "event_type string, payload string")
+    kept = log.stable(rows.select("payload", "event_type"), ["event_type"])
+    assert kept.columns == ["payload", "event_type"] and sorted(map(str, kept.select("event_type", "payload").collect())) == sorted(map(str, rows.collect()))
+    view = log.typed(kept, ["new_lot"])
+    assert sorted((r.event_type, r.category or "") for r in view.collect()) == [("new_lot", ""), ("new_lot", "a")]
+    names = {r[0].split("event_type=")[1].split("/")[0] for r in view.select(F.input_file_name()).collect()}
+    plan = view._jdf.queryExecution().executedPlan().toString()
+    assert names == {"new_lot"} and "PartitionFilters: [isnotnull(event_type" in plan
