@@ -157,3 +157,24 @@ def test_peek_is_the_scan_of_each_cursor(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert consume.peek(rows.limit(0), asked, cursors, 40).where("drained and next_seq = last_read_seq").count() == len(got)
     assert consume.peek(rows, asked.limit(0), cursors, 40).count() == 0
+
+
+def test_deliveries_are_made_once(spark, tmp_path, monkeypatch):
+    """Ranging them by consumer and number reads them twice, so they are written before."""
+    folder, cursors, made = f"file://{tmp_path}/log", f"file://{tmp_path}/consumers", spark.sparkContext.accumulator(0)
+    subscriptions = spark.createDataFrame([("all", ["new_lot", "lot_updated"], {}, True)], SUBSCRIPTION)
+    log.commit(spark.createDataFrame(events(1, 6), EVENT), folder, 0, ["event_id"])
+    catch_up = consume.catch_up
+
+    def counted(*tables):
+        def seen(parts):
+            for part in parts:
+                made.add(len(part))
+                yield part
+
+        rows = catch_up(*tables).select("consumer_name", "seq", "event_id", "event_type", "payload")
+        return rows.mapInPandas(seen, rows.schema)
+
+    monkeypatch.setattr(consume, "catch_up", counted)
+    consumers.catch_up(folder, cursors, lambda: subscriptions)(spark.createDataFrame([(6,)], "head long"), 0)
+    assert [r.seq for r in consumers.delivered(spark, cursors, consumers.DELIVERY).orderBy("seq").collect()] == [1, 2, 3, 4, 5, 6] and made.value == 6
