@@ -9,13 +9,15 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelog.llm import ann, bpe_words, components, gru_lm, license_scan, line_dedup, packing, quality_rules, simhash, token_files, tokens, toxicity
+from tidelog.llm import ann, blocks, bpe_words, components, gru_lm, license_scan, line_dedup, packing, quality_rules, simhash, token_files, tokens, toxicity
 from tidelog.llm.shared import id_crc_py
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -459,6 +461,60 @@ def test_language_model_words_grow_with_the_tokens():
     assert np.isfinite(net.score([doc])).all()
 
 
+def test_language_model_works_in_full_windows(monkeypatch):
+    """One long text beside short ones leaves no windows of a single lane, and texts that follow each other
+    in a lane are scored as each is alone."""
+    rng = np.random.default_rng(3)
+    net, calls = gru_lm.Network(), []
+    docs = [rng.integers(0, gru_lm.FREQUENT + gru_lm.ENDINGS, n) for n in [20_000, *rng.integers(1, 200, 1000)]]
+    plain = gru_lm.Network.log_probs
+    monkeypatch.setattr(gru_lm.Network, "log_probs", lambda self, states, target: calls.append(len(target)) or plain(self, states, target))
+    scores = net.score(docs)
+    assert sum(calls) == sum(map(len, docs)) and len(calls) < 2 * sum(calls) / (gru_lm.LANES * gru_lm.WINDOW) + 2
+    for k in (0, 1, 500, 1000):
+        assert math.isclose(scores[k], net.score([docs[k]])[0], rel_tol=1e-5)
+    assert net.score([]).tolist() == [] and net.score([docs[1][:0], docs[1]])[0] == 0
+
+
+def test_language_model_with_large_logits():
+    """Where exp of a logit is too large or small for single precision, the log of the softmax is still right."""
+    net = gru_lm.Network()
+    net.p["c"] *= 3000
+    net.p["w"] *= 3000
+    states = np.random.default_rng(1).uniform(-1, 1, (300, gru_lm.HIDDEN)).astype(np.float32)
+    target = np.arange(300) * 3
+    classes, words = states @ net.p["c"] + net.p["cb"], np.stack([s @ net.p["w"][t // gru_lm.CLASS_WORDS] for s, t in zip(states, target)])
+    log = lambda x, at: x[np.arange(len(at)), at] - x.max(1) - np.log(np.exp((x - x.max(1, keepdims=True)).astype(np.float64)).sum(1))
+    expected = log(classes, target // gru_lm.CLASS_WORDS) + log(words, target % gru_lm.CLASS_WORDS)
+    assert np.allclose(net.log_probs(states, target), expected, rtol=1e-3, atol=0.1)
+    net.train([target, target[::-1]])
+    assert all(np.isfinite(v).all() for v in net.p.values())
+
+
+def test_language_model_words_as_columns():
+    """Ids and endings of a column of words, and counts of a bucket, as worked out word by word."""
+    rnd = random.Random(5)
+    words = ["\n", "!?", "a!", "é", "éé.", "漢字字字!!", "a.b.", "😀\".", *{"".join(rnd.choices("abé漢.!,'\"", k=rnd.randint(1, 7))) for _ in range(500)}]
+    words = list(dict.fromkeys(words))
+    cores = [w.rstrip(".,;:!?\"')") for w in words]
+    expected = [zlib.crc32((c[-3:] + "." * (c != w)).encode()) % gru_lm.ENDINGS for c, w in zip(cores, words)]
+    column = pa.array(words, pa.large_string())
+    assert gru_lm.endings(column).tolist() == expected == [gru_lm.ending(w) for w in words]
+    known = gru_lm.Vocabulary(64, words[100:164], 0, 0, np.zeros(1), np.zeros(1))
+    assert known.numbers(column).tolist() == [i - 100 if 100 <= i < 164 else 64 + e for i, e in enumerate(expected)]
+    lists = [rnd.sample(words, 200) for _ in range(3)]
+    counts = [[rnd.choice([0, 1, 1, 2, 9]) for _ in own] for own in lists]
+    frame = pd.DataFrame({"block": [4, 5, 6], "bucket": 1, "words": [blocks.pack_words([w.encode() for w in own]) for own in lists], "counts": [blocks.pack(np.array(c)) for c in counts]})
+    sums = collections.Counter()
+    for own, c in zip(lists, counts):
+        sums.update(dict(zip(own, c)))
+    got = gru_lm.bucket_counts(frame, 50)
+    assert [blocks.unpack(x).tolist() for x in got["reply"][:3]] == [[sums[w] for w in own] for own in lists]
+    assert [(x["word"], x["c"]) for x in got["top"].iloc[3]] == sorted(((w, c) for w, c in sums.items() if c), key=lambda x: (-x[1], x[0]))[:50]
+    kinds = collections.Counter(e for w, e in zip(words, expected) if sums[w])
+    assert got["kinds"].iloc[3] == [kinds[e] for e in range(gru_lm.ENDINGS)] and sum(got["tokens"].iloc[3]) == sum(sums.values())
+
+
 def test_state_is_carried_across_windows():
     net = gru_lm.Network()
     doc = np.arange(100) % 50

@@ -40,8 +40,7 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def pack_words(words: list[str]) -> bytes:
-    raw = [w.encode() for w in words]
+def pack_words(raw: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, raw), "<u4", len(raw))
     return zstandard.ZstdCompressor(level=5).compress(np.array([len(raw)], "<u4").tobytes() + sizes.tobytes() + b"".join(raw))
 
@@ -54,6 +53,14 @@ def unpack_words(data: bytes) -> list[str]:
     return [body[a:b].decode() for a, b in zip([0, *ends[:-1]], ends)]
 
 
+def unpack_array(data: bytes) -> pa.Array:
+    """The words as a large_string column; none of them becomes a Python object."""
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    edges = np.concatenate(([0], np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)))
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(edges), pa.py_buffer(data).slice(4 + 4 * n))
+
+
 def bucket_number(spark: SparkSession) -> int:
     """As many buckets as the session's shuffles have partitions, so they grow with the data."""
     return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
@@ -76,8 +83,8 @@ def word_blocks(docs: DataFrame, numbered: Callable[[pa.Array], tuple[pa.Array,
         rank[order] = np.arange(len(known))
         flat = rank[flat]
         listed = list(known)
-        words = [listed[i] for i in order.tolist()]
-        buckets = np.fromiter((zlib.crc32(w.encode()) % number for w in words), np.int64, len(words))
+        words = [listed[i].encode() for i in order.tolist()]
+        buckets = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % number
         own = [np.flatnonzero(buckets == b) for b in range(number)] if number <= 64 else np.split(np.argsort(buckets, kind="stable"), np.searchsorted(np.sort(buckets), np.arange(1, number)))
         if counted is None:
             counts = [b""] * number
@@ -101,7 +108,7 @@ def word_blocks(docs: DataFrame, numbered: Callable[[pa.Array], tuple[pa.Array,
             doc_ids, row = [None if x is None else int(x) for x in batch.column("doc_id").to_pylist()], 0
             for run in tokens.runs(batch.column("text")):
                 words, numbers, ends = numbered(run)
-                own = np.fromiter((known.setdefault(w, len(known)) for w in words.to_pylist()), np.int64, len(words))
+                own = np.fromiter((known.setdefault(w, len(known)) for w in words.to_numpy(zero_copy_only=False).tolist()), np.int64, len(words))
                 places.append(own[numbers].astype(np.uint32))
                 ids += doc_ids[row : row + len(run)]
                 lengths += np.diff(ends, prepend=0).tolist()

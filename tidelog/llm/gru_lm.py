@@ -16,6 +16,7 @@ Counts reach the documents through blocks: each distinct word of a block is join
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +45,9 @@ RATE = 0.02
 LANES = 128
 FAN = 8
 SCORED_TOGETHER = 512
+#: Rows of class logits worked on at a time, so that they stay in a core's cache; logits to which exp needs no shift.
+TOGETHER = 512
+PLAIN_EXP = 60
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -63,24 +67,33 @@ def numbered_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def ending(word: str) -> int:
     """The class of a word that isn't frequent: a hash of its last letters and what follows them."""
-    core = word.rstrip(".,;:!?\"')")
-    return zlib.crc32((core[-3:] + ("." if len(core) < len(word) else "")).encode()) % ENDINGS
+    return int(endings(pa.array([word], pa.large_string()))[0])
+
+
+def endings(words: pa.Array) -> np.ndarray:
+    """The same of each word; few tails are distinct, so those alone are hashed."""
+    core = pc.utf8_rtrim(words, characters=".,;:!?\"')")
+    followed = pc.less(pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False).astype(np.int64)
+    tails = pc.utf8_slice_codeunits(core, -3).dictionary_encode()
+    hashed = np.array([[zlib.crc32((t + end).encode()) % ENDINGS for end in ("", ".")] for t in tails.dictionary.to_pylist()], np.int64).reshape(-1, 2)
+    return hashed[tails.indices.to_numpy(), followed]
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """ids below ``frequent`` are words, those above are classes of endings."""
+    """ids below ``frequent`` are the words at these places of ``ids``, those above are classes of endings."""
 
     frequent: int
-    ids: dict[str, int]
+    ids: list[str]
     total: int
     distinct: int
     rare_tokens: np.ndarray
     rare_words: np.ndarray
 
-    def id(self, word: str) -> int:
-        found = self.ids.get(word)
-        return self.frequent + ending(word) if found is None else found
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The id of each word."""
+        found = pc.fill_null(pc.index_in(words, value_set=pa.array(self.ids, words.type)), -1).to_numpy(zero_copy_only=False)
+        return np.where(found < 0, self.frequent + endings(words), found).astype(np.int32)
 
 
 def vocabulary_size(tokens: int) -> int:
@@ -89,26 +102,48 @@ def vocabulary_size(tokens: int) -> int:
     return max(FREQUENT, CLASS_WORDS * round(grown / CLASS_WORDS))
 
 
-def picked_log(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+def shifted(logits: np.ndarray, largest: float) -> None:
+    """Less each row's largest where ``largest``, a bound of the logits, allows no plain exp."""
+    if not largest <= PLAIN_EXP:
+        logits -= logits.max(1, keepdims=True)
+
+
+def exp_sums(logits: np.ndarray) -> np.ndarray:
+    """The sum of each row's exp, which stays in ``logits``."""
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], logits.dtype)
+
+
+def picked_log(logits: np.ndarray, at: np.ndarray, largest: float) -> np.ndarray:
     """The log of the softmax at one place of each row. Overwrites ``logits``."""
-    logits -= logits.max(1, keepdims=True)
+    shifted(logits, largest)
     out = logits[np.arange(len(at)), at].astype(np.float64)
-    np.exp(logits, out=logits)
-    return out - np.log(logits.sum(1))
+    return out - np.log(exp_sums(logits))
 
 
-def errors(logits: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The softmax, less 1 at the right place, divided by ``n``. Overwrites ``logits``."""
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    logits[np.arange(len(at)), at] -= 1
-    logits /= max(n, 1)
-    return logits
+def errors(logits: np.ndarray, at: np.ndarray, n: int, largest: float) -> np.ndarray:
+    """Makes ``logits`` multiples of the softmax less 1 at the right place; gives what each row, times that, is this divided by ``n``."""
+    shifted(logits, largest)
+    sums = exp_sums(logits)
+    logits[np.arange(len(at)), at] -= sums
+    return 1 / (n * sums)[:, None]
+
+
+def dealt(docs: list[np.ndarray], lanes: int) -> list[list[int]]:
+    """Numbers of the documents of each lane, longest first; the lane with most words is first."""
+    own, loads = [[] for _ in range(lanes)], [(0, i) for i in range(lanes)]
+    for k in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
+        size, lane = heapq.heappop(loads)
+        own[lane].append(k)
+        heapq.heappush(loads, (size + len(docs[k]), lane))
+    return [own[lane] for _, lane in sorted(loads, reverse=True)]
 
 
 class Network:
-    """Inputs are rows of a table (the last one starts a text); outputs are class and word logits."""
+    """Inputs are rows of a table (the last one starts a text); outputs are class and word logits.
+
+    Windows are worked on in place, in memory kept from one to the next: fresh pages cost as much as
+    what is computed in them. Units of a gate lie together, as do words of a class."""
 
     def __init__(self, seed: int = 5, frequent: int = FREQUENT):
         rng = np.random.default_rng(seed)
@@ -117,36 +152,125 @@ class Network:
         self.frequent, self.groups, self.start = frequent, frequent // CLASS_WORDS, frequent + ENDINGS
         classes = self.groups + ENDINGS
         self.p = {"x": scale(frequent + ENDINGS + 1, 3 * h), "u": scale(h, 2 * h), "un": scale(h, h), "c": scale(h, classes), "cb": np.zeros(classes, np.float32), "w": scale(self.groups, h, CLASS_WORDS), "wb": np.zeros((self.groups, CLASS_WORDS), np.float32)}
+        # numbers of 16 bits are sorted by their digits; the last entry is that of places without a target
+        self.class_of = np.concatenate((np.arange(frequent) // CLASS_WORDS, self.groups + np.arange(ENDINGS), [-1])).astype(np.int16 if classes < 1 << 15 else np.int64)
+        self.kept: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, dtype: np.dtype, *shape: int) -> np.ndarray:
+        """An array whose contents last until its name is asked for again."""
+        size = math.prod(shape)
+        if name not in self.kept or self.kept[name].size < size or self.kept[name].dtype != dtype:
+            self.kept[name] = np.empty(size, dtype)
+        return self.kept[name][:size].reshape(shape)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.reshape(-1) for v in self.p.values()])
 
     def put(self, weights: np.ndarray) -> None:
-        at = 0
+        """The parameters become views of ``weights``, or of a copy if those aren't single precision."""
+        weights, at = weights.astype(np.float32, copy=False), 0
         for k, v in self.p.items():
-            self.p[k] = weights[at : at + v.size].reshape(v.shape).astype(np.float32)
+            self.p[k] = weights[at : at + v.size].reshape(v.shape)
             at += v.size
 
+    def inputs(self) -> np.ndarray:
+        """The table of inputs by gate (z, r, candidate), those of the gates negated, as ``steps`` takes them."""
+        x = self.p["x"]
+        table = self.room("table", x.dtype, 3, len(x), HIDDEN)
+        np.negative(x[:, :HIDDEN], out=table[0])
+        np.negative(x[:, HIDDEN : 2 * HIDDEN], out=table[1])
+        table[2] = x[:, 2 * HIDDEN :]
+        return table
+
+    def window(self, table: np.ndarray, source: np.ndarray) -> np.ndarray:
+        """Inputs (gate, step, lane, unit) of a window whose words are (step, lane)."""
+        xs = self.room("xs", table.dtype, 3, *source.shape, HIDDEN)
+        for rows, out in zip(table, xs):
+            np.take(rows, source, axis=0, out=out, mode="clip")
+        return xs
+
+    def steps(self, xs: np.ndarray, h: np.ndarray, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States before each step, those times r, and the states after. Inputs become z, r and the candidates.
+        Where ``begins`` (step, lane) is true, the state before is zero."""
+        (_, T, lanes, n), p = xs.shape, self.p
+        before, part, after = (self.room(k, h.dtype, T, lanes, n) for k in ("before", "part", "after"))
+        u, un = -p["u"].reshape(n, 2, n).transpose(1, 0, 2), p["un"]
+        two, one = self.room("two", h.dtype, 2, lanes, n), self.room("one", h.dtype, lanes, n)
+        some = [False] * T if begins is None else begins.any(1).tolist()
+        for t in range(T):
+            own, gates, c = before[t], xs[:2, t], xs[2, t]
+            own[:] = h
+            if some[t]:
+                own[begins[t]] = 0
+            np.matmul(own, u, out=two)
+            gates += two
+            np.exp(gates, out=gates)
+            gates += 1
+            np.divide(1, gates, out=gates)
+            np.multiply(gates[1], own, out=part[t])
+            np.matmul(part[t], un, out=one)
+            c += one
+            np.tanh(c, out=c)
+            h = np.subtract(c, own, out=after[t])
+            h *= gates[0]
+            h += own
+        return before, part, after
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n = HIDDEN
-        g = 1 / (1 + np.exp(-(x[:, : 2 * n] + h @ self.p["u"])))
-        z, r = g[:, :n], g[:, n:]
-        c = np.tanh(x[:, 2 * n :] + (r * h) @ self.p["un"])
-        return (1 - z) * h + z * c, z, r, c
+        xs = np.stack([-x[:, :n], -x[:, n : 2 * n], x[:, 2 * n :]])[:, None]
+        state = self.steps(xs, h)[2][0].copy()
+        return state, *xs[:, 0]
+
+    def by_class(self, states: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Places with a target in order of its class, the classes, the states there with a 1 after each,
+        and where the classes of frequent words begin."""
+        cls = self.class_of[target]
+        order = np.argsort(cls, kind="stable")[np.count_nonzero(target < 0) :]
+        cls = cls[order]
+        s = self.room("sorted", states.dtype, len(order), HIDDEN + 1)
+        s[:, :HIDDEN] = np.take(states, order, axis=0)
+        s[:, HIDDEN] = 1
+        return order, cls, s, np.searchsorted(cls, np.arange(self.groups + 1)).tolist()
+
+    def heads(self) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Weights of classes and of words with their constants as a last row, and bounds of their logits: no state is beyond 1."""
+        c, w = (np.concatenate((self.p[k], self.p[k + "b"][..., None, :]), -2) for k in ("c", "w"))
+        return c, w, float(np.abs(c).sum(-2).max()), float(np.abs(w).sum(-2).max(initial=0))
 
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the class's probability, times that of a frequent word within its class."""
-        p = self.p
-        cls = np.where(target < self.frequent, target // CLASS_WORDS, target - self.frequent + self.groups)
-        out = picked_log(states @ p["c"] + p["cb"], cls)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.groups + 1)).tolist()
+        c, w, c_most, w_most = self.heads()
+        order, cls, s, edges = self.by_class(states, target)
+        found = np.empty(len(order))
+        for a in range(0, len(order), TOGETHER):
+            own = s[a : a + TOGETHER]
+            found[a : a + TOGETHER] = picked_log(np.matmul(own, c, out=self.room("classes", s.dtype, len(own), c.shape[1])), cls[a : a + TOGETHER], c_most)
+        logits = self.room("words", s.dtype, edges[-1], CLASS_WORDS)
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
             if a < b:
-                of = order[a:b]
-                out[of] += picked_log(states[of] @ p["w"][k] + p["wb"][k], target[of] % CLASS_WORDS)
+                np.matmul(s[a:b], w[k], out=logits[a:b])
+        found[: edges[-1]] += picked_log(logits, target[order[: edges[-1]]] % CLASS_WORDS, w_most)
+        out = np.empty(len(order))
+        out[order] = found
         return out
 
+    def windows(self, texts: list[list[np.ndarray]], steps: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows of all lanes that go on, the longest lane first: places in the lanes' texts laid end to
+        end, which of them are there, the words there (else -1) and those before."""
+        sizes = np.array([len(t) for lane in texts for t in lane])
+        flat = np.concatenate([t for lane in texts for t in lane]).astype(np.int64)
+        source = np.concatenate(([self.start], flat[:-1]))
+        source[(np.cumsum(sizes) - sizes)[sizes > 0]] = self.start
+        sizes = np.array([sum(map(len, lane)) for lane in texts])
+        starts = np.cumsum(sizes) - sizes
+        for a in range(0, int(sizes[0]), steps):
+            alive = int((sizes > a).sum())
+            span = a + np.arange(min(steps, int(sizes[0]) - a))
+            live = span < sizes[:alive, None]
+            at = np.where(live, starts[:alive, None] + span, 0)
+            yield at, live, np.where(live, flat[at], -1), np.where(live, source[at], 0)
+
     def train(self, docs: list[np.ndarray], rate: float = 0.01, seed: int = 3) -> None:
         """Truncated backpropagation over whole documents: windows pass on the state, not the gradient.
 
@@ -157,129 +281,137 @@ class Network:
             return
         lanes = max(1, min(LANES, len(docs), tokens // (8 * WINDOW)))
         rng = np.random.default_rng(seed)
-        dealt, loads = [[] for _ in range(lanes)], [(0, i) for i in range(lanes)]
-        for k in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
-            size, lane = heapq.heappop(loads)
-            dealt[lane].append(k)
-            heapq.heappush(loads, (size + len(docs[k]), lane))
-        texts = [[docs[k] for k in rng.permutation(dealt[lane])] for _, lane in sorted(loads, reverse=True)]
-        flat = np.concatenate([t for lane in texts for t in lane])
-        source = np.concatenate(([self.start], flat[:-1]))
-        source[np.cumsum([len(t) for lane in texts for t in lane])[:-1]] = self.start
-        sizes = np.array([sum(map(len, lane)) for lane in texts])
-        starts = np.cumsum(sizes) - sizes
-        m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
+        texts = [[docs[k] for k in rng.permutation(lane)] for lane in dealt(docs, lanes)]
+        weights = self.flat()
+        self.put(weights)
+        m1, m2, change = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights)
         h = np.zeros((lanes, HIDDEN), np.float32)
-        for steps, a in enumerate(range(0, int(sizes[0]), WINDOW), 1):
-            alive = int((sizes > a).sum())
-            span = a + np.arange(min(WINDOW, int(sizes[0]) - a))
-            live = span < sizes[:alive, None]
-            at = np.where(live, starts[:alive, None] + span, 0)
-            target, before = np.where(live, flat[at], -1), np.where(live, source[at], 0)
-            grads, h = self._gradients(before, target, h[:alive], before != self.start)
-            lr = rate * min(1, steps / 5) * live.sum() / (lanes * len(span))
-            for k, g in grads.items():
-                m1[k] += 0.1 * (g - m1[k])
-                m2[k] += 0.01 * (g * g - m2[k])
-                self.p[k] -= np.float32(lr / (1 - 0.9**steps)) * m1[k] / (np.sqrt(m2[k] / np.float32(1 - 0.99**steps)) + np.float32(1e-8))
+        for steps, (_, live, target, before) in enumerate(self.windows(texts), 1):
+            grads, h = self._gradients(before, target, h[: len(live)], before != self.start)
+            g = np.concatenate([grads[k].reshape(-1) for k in self.p], out=self.room("gradient", weights.dtype, len(weights)))
+            lr, root = rate * min(1, steps / 5) * live.sum() / (lanes * live.shape[1]), (1 - 0.99**steps) ** 0.5
+            # moments: m1 += 0.1 * (g - m1), m2 += 0.01 * (g * g - m2)
+            m1 += np.multiply(np.subtract(g, m1, out=change), np.float32(0.1), out=change)
+            m2 += np.multiply(np.subtract(np.multiply(g, g, out=g), m2, out=g), np.float32(0.01), out=g)
+            np.sqrt(m2, out=change)
+            change += np.float32(1e-8 * root)
+            np.divide(m1, change, out=change)
+            change *= np.float32(lr * root / (1 - 0.9**steps))
+            weights -= change
 
     def _gradients(self, source: np.ndarray, target: np.ndarray, h: np.ndarray, goes_on: np.ndarray | None = None) -> tuple[dict, np.ndarray]:
         """Gradients of the mean loss over targets that aren't negative, and the last state.
         Where ``goes_on`` is false, a text starts from a state of zeros."""
         p, n, (lanes, T) = self.p, HIDDEN, source.shape
-        keep = None if goes_on is None else np.ascontiguousarray(goes_on.T)[:, :, None].astype(h.dtype)
-        source, target = np.ascontiguousarray(source.T), np.ascontiguousarray(target.T)  # a row for each step
-        xs = p["x"][source]
-        h0, z, r, c, states = (np.empty((T, lanes, n), h.dtype) for _ in range(5))
-        for t in range(T):
-            h0[t] = h if keep is None else h * keep[t]
-            h, z[t], r[t], c[t] = self.step(xs[t], h0[t])
-            states[t] = h
-        flat, all_states = target.reshape(-1), states.reshape(-1, n)
-        cls = np.where(flat < self.frequent, flat // CLASS_WORDS, flat - self.frequent + self.groups)
-        live = np.argsort(cls, kind="stable")[np.count_nonzero(flat < 0) :]
-        y, s, cls = flat[live], all_states[live], cls[live]
-        d = errors(s @ p["c"] + p["cb"], cls, len(y))
-        grads = {"c": s.T @ d, "cb": d.sum(0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
-        ds = d @ p["c"].T
-        edges = np.searchsorted(cls, np.arange(self.groups + 1)).tolist()
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if a < b:
-                d = errors(s[a:b] @ p["w"][k] + p["wb"][k], y[a:b] % CLASS_WORDS, len(y))
-                grads["w"][k], grads["wb"][k] = s[a:b].T @ d, d.sum(0)
-                ds[a:b] += d @ p["w"][k].T
-        full = np.zeros_like(all_states)
-        full[live] = ds
+        begins = None if goes_on is None else np.ascontiguousarray(~goes_on.T)
+        source, target = np.ascontiguousarray(source.T), target.T.reshape(-1)  # a row for each step
+        xs = self.window(self.inputs(), source)
+        before, part, after = self.steps(xs, h, begins)
+        last = after[-1].copy()
+
+        c, w, c_most, w_most = self.heads()
+        order, cls, s, edges = self.by_class(after.reshape(-1, n), target)
+        total, f = max(len(order), 1), edges[-1]
+        ds, of_c, of_w = self.room("ds", h.dtype, len(order), n), np.zeros_like(c), np.zeros_like(w)
+        back_c, back_w = np.ascontiguousarray(c[:n].T), np.ascontiguousarray(w[:, :n].transpose(0, 2, 1))
+        for a in range(0, len(order), TOGETHER):
+            own = s[a : a + TOGETHER]
+            d = np.matmul(own, c, out=self.room("classes", s.dtype, len(own), c.shape[1]))
+            scale = errors(d, cls[a : a + TOGETHER], total, c_most)
+            of_c += (own * scale).T @ d
+            np.multiply(np.matmul(d, back_c, out=ds[a : a + TOGETHER]), scale, out=ds[a : a + TOGETHER])
+        d, more = self.room("words", s.dtype, f, CLASS_WORDS), self.room("more", s.dtype, f, n)
+        groups = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        for k, a, b in groups:
+            np.matmul(s[a:b], w[k], out=d[a:b])
+        d *= errors(d, target[order[:f]] % CLASS_WORDS, total, w_most)
+        for k, a, b in groups:
+            np.matmul(s[a:b].T, d[a:b], out=of_w[k])
+            np.matmul(d[a:b], back_w[k], out=more[a:b])
+        ds[:f] += more
+        full = self.room("full", h.dtype, T * lanes, n)
+        if len(order) < len(full):
+            full[:] = 0
+        full[order] = ds
         full = full.reshape(T, lanes, n)
-        by_c, by_z, by_r, stay = z * (1 - c * c), (c - h0) * z * (1 - z), h0 * r * (1 - r), 1 - z
-        back, gx, u, un = np.zeros_like(h), np.empty((T, lanes, 3 * n), h.dtype), p["u"].T.copy(), p["un"].T.copy()
+
+        # derivatives by what goes into the candidates and the gates, for all steps
+        z, r, cand = xs
+        stay = np.subtract(1, xs[:2], out=self.room("stay", h.dtype, 2, T, lanes, n))
+        by_gates = np.multiply(xs[:2], stay, out=self.room("by gates", h.dtype, 2, T, lanes, n))
+        by_gates[1] *= before
+        by_c = np.subtract(cand, before, out=self.room("by candidates", h.dtype, T, lanes, n))
+        by_gates[0] *= by_c
+        np.multiply(cand, cand, out=by_c)
+        np.subtract(1, by_c, out=by_c)
+        by_c *= z
+        gx, back = self.room("gx", h.dtype, 3, T, lanes, n), np.zeros((lanes, n), h.dtype)
+        u, un = p["u"].T.reshape(2, n, n), np.ascontiguousarray(p["un"].T)
+        two, one = self.room("two", h.dtype, 2, lanes, n), self.room("one", h.dtype, lanes, n)
+        some = [False] * T if begins is None else begins.any(1).tolist()
         for t in reversed(range(T)):
-            g, own = full[t] + back, gx[t]
-            dc = own[:, 2 * n :] = g * by_c[t]
-            own[:, :n] = g * by_z[t]
-            drh = dc @ un
-            own[:, n : 2 * n] = drh * by_r[t]
-            back = g * stay[t] + drh * r[t] + own[:, : 2 * n] @ u
-            back = back if keep is None else back * keep[t]
-        gx = gx.reshape(-1, 3 * n)
-        before = h0.reshape(-1, n)
-        grads["u"], grads["un"] = before.T @ gx[:, : 2 * n], (r.reshape(-1, n) * before).T @ gx[:, 2 * n :]
-        order = np.argsort(source.reshape(-1), kind="stable")
-        inputs, at = np.unique(source.reshape(-1)[order], return_index=True)
-        grads["x"] = np.zeros_like(p["x"])
-        grads["x"][inputs] = np.add.reduceat(gx[order], at)
-        return {k: np.clip(v, -1, 1) for k, v in grads.items()}, h
+            g = full[t]
+            g += back
+            np.multiply(g, by_c[t], out=gx[2, t])
+            np.multiply(g, by_gates[0, t], out=gx[0, t])
+            np.matmul(gx[2, t], un, out=one)
+            np.multiply(one, by_gates[1, t], out=gx[1, t])
+            np.multiply(g, stay[0, t], out=back)
+            one *= r[t]
+            back += one
+            np.matmul(gx[:2, t], u, out=two)
+            back += two[0]
+            back += two[1]
+            if some[t]:
+                back[begins[t]] = 0
+
+        gx = gx.reshape(3, -1, n)
+        grads = {"c": of_c[:n], "cb": of_c[n], "w": of_w[:, :n], "wb": of_w[:, n], "un": part.reshape(-1, n).T @ gx[2]}
+        grads["u"] = np.matmul(before.reshape(-1, n).T, gx[:2]).transpose(1, 0, 2).reshape(n, 2 * n)
+        of_x, at = np.zeros(p["x"].size, h.dtype), (source.reshape(-1, 1) * (3 * n) + np.arange(n)).reshape(-1)
+        for own in gx:
+            np.add.at(of_x, at, own.reshape(-1))
+            at += n
+        grads["x"] = of_x.reshape(p["x"].shape)
+        return {k: np.clip(v, -1, 1) for k, v in grads.items()}, last
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Natural log-likelihood of each whole document, without the words' shares in classes of endings."""
-        out = np.zeros(len(docs))
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        for a in range(0, len(order), SCORED_TOGETHER):
-            group = order[a : a + SCORED_TOGETHER]
-            sizes = np.array([len(docs[i]) for i in group])
-            h = np.zeros((len(group), HIDDEN), np.float32)
-            for at in range(0, int(sizes[0]), WINDOW):
-                alive = int((sizes > at).sum())
-                width = min(WINDOW, int(sizes[0]) - at)
-                ids = np.full((alive, width), -1)
-                before = np.full((alive, width), self.start)
-                for i in range(alive):
-                    own = docs[group[i]]
-                    part = own[at : at + width]
-                    ids[i, : len(part)] = part
-                    previous = own[max(at - 1, 0) : at + width - 1]
-                    before[i, (at == 0) : (at == 0) + len(previous)] = previous
-                h = h[:alive]
-                states = np.empty((alive, width, HIDDEN), np.float32)
-                for t in range(width):
-                    h = self.step(self.p["x"][before[:, t]], h)[0]
-                    states[:, t] = h
-                live = ids.reshape(-1) >= 0
-                scores = np.zeros(live.size)
-                scores[live] = self.log_probs(states.reshape(-1, HIDDEN)[live], ids.reshape(-1)[live])
-                out[group[:alive]] += scores.reshape(alive, width).sum(1)
-        return out
+        """Natural log-likelihood of each whole document, without the words' shares in classes of endings.
+
+        Documents follow each other in lanes, each from a state of zeros; there are as many lanes as
+        the longest document leaves full, up to SCORED_TOGETHER."""
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        if not sizes.sum():
+            return np.zeros(len(docs))
+        lanes = dealt(docs, min(SCORED_TOGETHER, len(docs), -(-int(sizes.sum()) // int(sizes.max()))))
+        scores, table = np.empty(sizes.sum()), self.inputs()
+        h = np.zeros((len(lanes), HIDDEN), np.float32)
+        for at, live, target, before in self.windows([[docs[k] for k in lane] for lane in lanes], max(1, LANES * WINDOW // len(lanes))):
+            before = np.ascontiguousarray(before.T)
+            states = self.steps(self.window(table, before), h[: len(live)], before == self.start)[2]
+            h, live = states[-1].copy(), live.T.reshape(-1)
+            there = slice(None) if live.all() else live
+            scores[at.T.reshape(-1)[there]] = self.log_probs(states.reshape(-1, HIDDEN)[there], target.T.reshape(-1)[there])
+        order = np.concatenate(lanes).astype(np.int64)
+        return np.bincount(np.repeat(order, sizes[order]), scores, len(docs))
 
 
 def bucket_counts(frame: pd.DataFrame, frequent: int) -> pd.DataFrame:
     """Sums each word's counts over all blocks of a bucket. One reply per block, and one row without
     a block: the bucket's ``frequent`` most frequent words and its sums by ending."""
-    lists = [blocks.unpack_words(x) for x in frame["words"]]
-    table: dict[str, int] = {}
-    for words, packed in zip(lists, frame["counts"]):
-        for w, c in zip(words, blocks.unpack(packed).tolist()):
-            table[w] = table.get(w, 0) + c
-    replies = [blocks.pack(np.fromiter((table[w] for w in words), np.int64, len(words))) for words in lists]
-    seen = sorted(((c, w) for w, c in table.items() if c), key=lambda x: (-x[0], x[1]))
-    tokens, kinds = [0] * ENDINGS, [0] * ENDINGS
-    for c, w in seen:
-        e = ending(w)
-        tokens[e] += c
-        kinds[e] += 1
+    lists = [blocks.unpack_array(x) for x in frame["words"]]
+    coded = pa.concat_arrays(lists).dictionary_encode()
+    words, at = coded.dictionary, coded.indices.to_numpy()
+    sums = np.bincount(at, np.concatenate([blocks.unpack(packed) for packed in frame["counts"]]), len(words)).astype(np.int64)
+    replies = [blocks.pack(own) for own in np.split(sums[at], np.cumsum([len(x) for x in lists])[:-1])]
+    seen, e = sums > 0, endings(words)
+    tokens, kinds = (np.bincount(e[seen], x, ENDINGS).astype(np.int64).tolist() for x in (sums[seen], None))
+    # the most frequent, and all that are level with the last of them before words decide
+    most = np.flatnonzero(sums >= max(1, np.partition(sums, -frequent)[-frequent] if len(sums) > frequent else 1))
+    top = sorted(zip(sums[most].tolist(), words.take(pa.array(most)).to_pylist()), key=lambda x: (-x[0], x[1]))[:frequent]
     block, bucket = frame["block"].tolist(), frame["bucket"].tolist()
     rows = [(k, b, x, None, None, None) for k, b, x in zip(block, bucket, replies)]
-    rows.append((None, bucket[0], None, [{"word": w, "c": c} for c, w in seen[:frequent]], tokens, kinds))
+    rows.append((None, bucket[0], None, [{"word": w, "c": c} for c, w in top], tokens, kinds))
     out = pd.DataFrame(rows, columns=["block", "bucket", "reply", "top", "tokens", "kinds"], dtype=object)
     out["block"] = out["block"].astype("Int64")
     return out
@@ -297,10 +429,10 @@ def build_vocabulary(counted: DataFrame, frequent: int) -> Vocabulary:
     for r in by.collect():
         tokens[r["e"]], words[r["e"]] = r["t"], r["w"]
     total, distinct = int(tokens.sum()), int(words.sum())
-    for r in top:
-        tokens[ending(r["word"])] -= r["c"]
-        words[ending(r["word"])] -= 1
-    return Vocabulary(frequent, {r["word"]: i for i, r in enumerate(top)}, total, distinct, tokens, words)
+    for r, e in zip(top, endings(pa.array([r["word"] for r in top], pa.large_string())).tolist()):
+        tokens[e] -= r["c"]
+        words[e] -= 1
+    return Vocabulary(frequent, [r["word"] for r in top], total, distinct, tokens, words)
 
 
 def add_up(frame: pd.DataFrame) -> pd.DataFrame:
@@ -358,7 +490,7 @@ def word_ids(row, vocabulary: Vocabulary) -> np.ndarray:
     """The id of each distinct word of a block, in the order of its places."""
     order = np.argsort(blocks.unpack(row.buckets), kind="stable")
     ids = np.empty(len(order), np.int32)
-    ids[order] = [vocabulary.id(w) for packed in row.words for w in blocks.unpack_words(packed)]
+    ids[order] = vocabulary.numbers(pa.concat_arrays([blocks.unpack_array(packed) for packed in row.words]))
     return ids
 
 
