@@ -2,12 +2,15 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.operators import consume, log, snapshots
+from tidelog.operators import consume, id_index, log, snapshots
+from tidelog.plans import queries, streams
 from tidelog.sources import pages
 from tidelog.streaming import consumers
 from tidelog.streaming.polls import polls_to_log
@@ -87,6 +90,88 @@ def test_passing_tables_leave_nothing_behind(spark, tmp_path):
             spark.sparkContext.setCheckpointDir(kept.rsplit("/", 1)[0])
 
 
+def exchanges(rows):
+    return [line.strip(" +-:") for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if line.strip(" +-:").startswith("Exchange ")]
+
+
+def test_exchanged_rows_go_with_their_job(spark, tmp_path):
+    """Not when the driver collects garbage, and only while tables pass."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    setting = lambda: spark.conf.get(log._EXCHANGED, None)
+    before, kept = files(), setting()
+    log.commit(spark.createDataFrame(events(1, 40), EVENT).repartition(4), f"file://{tmp_path}/log", 0, ["event_id"])
+    for _ in range(100):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and setting() == kept
+
+
+def test_new_events_are_found_without_dealing_them(spark, tmp_path):
+    """Ids that come twice, that the log has, that are null: as new_events, but only repeated ids are exchanged."""
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, *(f"e{i}" for i in range(300))]), k) for k in range(200)]
+    spark.createDataFrame(rows, "event_id string, place long").write.parquet(f"file://{tmp_path}/rows")
+    made = spark.read.parquet(f"file://{tmp_path}/rows")
+    known = spark.createDataFrame([(f"e{i}",) for i in range(0, 400, 7)], "event_id string")
+    with log.passing(spark):
+        got = log.unseen(made, known, ["place"])
+        assert sorted(map(str, got.collect())) == sorted(map(str, log.new_events(made, known, ["place"]).collect())) and got.count() > 50
+        # one exchange, of what the join with the repeated ids leaves
+        plan = log.unseen(made, known, ["place"])
+        assert len(exchanges(plan)) == 1 and "LeftSemi, BuildRight" in plan._jdf.queryExecution().executedPlan().toString().split("Exchange hash")[1]
+    for words in (id_index.filter_words(made), id_index.filter_words(made, "place")):
+        assert len(exchanges(words)) == 1
+
+
+def test_lots_are_dealt_once_a_step(spark):
+    """The last row of an item in a poll and its history come from one exchange by item, with the baseline's rows."""
+    rnd = random.Random(6)
+    rows = [("ab"[rnd.randint(0, 1)], rnd.randint(1, 4), rnd.randint(4, 9), rnd.randint(1, 2), rnd.randint(0, 10**6), rnd.randint(1, 3), rnd.choice("xy")) for _ in range(150)]
+    lots = spark.createDataFrame(rows, "category string, item_id long, poll_epoch long, page int, place long, price int, content_hash string")
+    polls = lots.select("category", "poll_epoch").distinct()
+    base = spark.createDataFrame([(c, i, 2, "x", i % 3) for c in "ab" for i in range(2, 7)], "category string, item_id long, price int, content_hash string, miss_count int")
+    base = base.withColumn("price", F.col("price").cast("decimal(20,8)"))
+    polled = spark.createDataFrame([("a", 3, 3), ("b", 5, 4)], snapshots.POLLED)
+    want = snapshots.history_step(snapshots.last_wins(lots, [*snapshots.KEY, "poll_epoch"], ["page", "place"]), polls, base, polled)
+    got = snapshots.history_step(lots, polls, base, polled, position=["page", "place"])
+    for g, w in zip(got, want):
+        assert sorted(map(str, g.collect())) == sorted(map(str, w.collect())) and g.count()
+    plan = snapshots.history_step(lots, polls, base, polled, position=["page", "place"])[1]
+    assert sum("item_id" in e for e in exchanges(plan)) == 1
+
+
+def test_parts_in_turn_are_even_and_bounded(spark):
+    rnd = random.Random(7)
+    rows = [(t, rnd.choice([0, 1, 2, 50 if t == 5 else 3])) for t in range(40) for _ in range(5)] + [(None, 9)]
+    frame = spark.createDataFrame(rows, "at long, n int")
+    whole = sum(n for t, n in rows if t is not None)
+    for most in (10**6, 20):
+        parts = [[(r.at, r.n) for r in p.collect()] for p in streams.in_turn(frame, "at", F.col("n"), most)]
+        assert sorted(x for p in parts for x in p) == sorted(x for x in rows if x[0] is not None)
+        assert all(max(a)[0] < min(b)[0] for a, b in zip(parts, parts[1:]))
+        width, one = min(most, whole // 2 + 5), max(sum(n for u, n in rows if u == t) for t in range(40))
+        assert all(sum(n for _, n in p) < width + one for p in parts)
+        assert len(parts) == 2 if most > whole else len(parts) > 4
+    assert streams.in_turn(frame.limit(0), "at", F.col("n"), 5) == []
+
+
+def test_polls_in_more_batches_give_the_same_log(spark, monkeypatch):
+    """Batches of a bounded number of lots; the page files of those before are gone."""
+    monkeypatch.setattr(queries, "LOTS_A_BATCH", 1500)
+    data, folders, shared_folder = "/root/testdata/sf0.001", [], streams.shared_folder
+    monkeypatch.setattr(streams, "shared_folder", lambda *args: folders.append(shared_folder(*args)) or folders[0])
+    got = queries.QUERIES["ss1_polls_to_log"](spark, data)
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    for table in ("lineitem", "part"):
+        con.execute(f"create view {table} as select * from '{data}/{table}.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(queries.ORACLES["ss1_polls_to_log"]).fetchall())
+    assert log._markers(spark, f"{folders[0]}/log").count() >= 4 and not id_index.exists(spark, f"{folders[0]}/recorded")
+    assert spark.read.text(f"{folders[0]}/pages").select(F.input_file_name()).distinct().count() < 10
+    assert len({r[0].split("slice=")[1][0] for r in spark.read.text(f"{folders[0]}/pages").select(F.input_file_name()).collect()}) == 1
+
+
 def test_page_and_feed_files(spark, tmp_path):
     """Malformed files and lines are set apart with their file; unknown fields are ignored; the category of the envelope fills in."""
     (tmp_path / "one.json").write_text(json.dumps(json.loads(page("a", 1, 1, [(1, 10.5, "x"), (2, 5, "é")])), indent=1))
